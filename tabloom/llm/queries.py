@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import table
+from tabloom.llm.decontaminate import hit_words, matches
 from tabloom.llm.mixing import mix_sources
 from tabloom.llm.url_filter import url_filter
 
@@ -30,9 +31,21 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = matches(docs, table(spark, sf_dir, "benchmark"), drop=("text",))
+    n_hit = hit_words()
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        "longest", "longest_at", "longest_item",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
+    "op3_decontamination": op3_decontamination,
 }
 
 ORACLES: dict[str, str] = {
