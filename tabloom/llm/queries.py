@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import table
 from tabloom.llm.decontaminate import hit_words, matches
+from tabloom.llm.minhash import near_duplicates
 from tabloom.llm.mixing import mix_sources
 from tabloom.llm.url_filter import url_filter
 
@@ -42,10 +43,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
+    "op9_minhash": op9_minhash,
 }
 
 ORACLES: dict[str, str] = {
