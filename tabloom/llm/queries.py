@@ -11,6 +11,7 @@ from tabloom.llm.common import table
 from tabloom.llm.decontaminate import hit_words, matches
 from tabloom.llm.minhash import near_duplicates
 from tabloom.llm.mixing import mix_sources
+from tabloom.llm.repeats import remove_repeats
 from tabloom.llm.url_filter import url_filter
 
 RULES = [
@@ -43,6 +44,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op9_minhash": op9_minhash,
 }
 
