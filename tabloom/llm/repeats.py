@@ -122,7 +122,7 @@ def _decide(length: int):
         base = np.concatenate(([0], np.cumsum(size)))[:-1]
         data = np.frombuffer(b"".join([*texts, b"\xff" * 512]), np.uint8)
         packed = packed_bytes(data)
-        order = suffix_array(packed, 8, length)
+        order = suffix_array(packed, 8, len(data) + 1)  # Kasai's rule needs the order of whole suffixes
         prefix = common_prefixes(packed, order, length)
         owner = np.full(len(data), -1, np.int64)  # the context of each window start
         count = cols["windows"].astype(np.int64)
