@@ -1,10 +1,67 @@
-"""Corpus pipeline: documents through five stages, each one of the numbered operators."""
+"""Corpus pipeline: documents through five stages, each one of the numbered operators.
+
+Every stage takes all that the one before it kept, and returns the columns of documents; the last adds
+what the mix says of each copy. run() writes each stage as Parquet into the folder of the checkpoints
+that executors share, and reads it again, so a lost executor costs one stage's tasks at most.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tabloom.llm.chunks import without_repeats
+from tabloom.llm.common import table
+from tabloom.llm.decontaminate import decontaminate
+from tabloom.llm.minhash import drop_near_duplicates
+from tabloom.llm.mixing import emit_copies, mix_sources
+from tabloom.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents whose toxicity is 0.5 or more, by a model of the labelled ones."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of links between sets of 5-word shingles of similarity 0.8 or more."""
+    return drop_near_duplicates(docs, n=5, percent=80)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the chunks that stand elsewhere before."""
+    return without_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold ten words in a row of a benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every copy that the mix to target weights takes."""
+    return emit_copies(mix_sources(docs)).drop("copies", "taken")
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("substrings", substrings),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: The stages are not expressible in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
+    place = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}_{name}")
+        docs = spark.read.parquet(f"{place}/{k}_{name}")
+    return docs

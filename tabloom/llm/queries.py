@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.llm.chunks import dedup_substrings
 from tabloom.llm.common import table
 from tabloom.llm.decontaminate import hit_words, matches
 from tabloom.llm.minhash import near_duplicates
 from tabloom.llm.mixing import mix_sources
+from tabloom.llm.quality import grade_quality
+from tabloom.llm.quantise import search
+from tabloom.llm.quotes import link_quotes
 from tabloom.llm.repeats import remove_repeats
+from tabloom.llm.toxicity import toxicity
 from tabloom.llm.url_filter import url_filter
 
 RULES = [
@@ -44,20 +49,48 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents")).withColumnRenamed("kept", "text")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 of low quality, 1 readable but toxic, 2 readable and clean."""
+    ratings = table(spark, sf_dir, "labels").selectExpr("doc_id", "quality + quality * (1 - toxic) AS grade")
+    return grade_quality(table(spark, sf_dir, "documents"), ratings, least=1)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return search(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_quality": op5_quality,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op8_quotes": op8_quotes,
     "op9_minhash": op9_minhash,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLES: dict[str, str] = {
