@@ -7,11 +7,12 @@ by the pigeonhole principle, a chunk with one error at most, so both are found u
 chunk without the symbol in error: every document is indexed under 8 x 4 such keys.  (A pair of
 similarity 0.8 has no common key with probability 1e-6.)  Candidates are then confirmed on full sets.
 
-A bucket of n documents is not expanded into pairs.  Documents with equal sets are one class.  Each
-bucket compares all its members with its smallest one first; only members that the links so far leave
-in different components are compared further, so a group of near copies costs about one comparison a
-member.  A bucket that still holds many components is split again by the keys of its other chunks,
-which keeps every pair under the distance.
+A bucket of n documents is not expanded into pairs of rows.  Documents with equal sets are one class.
+All members of a bucket also share its pivot, the class of the smallest id, so classes are
+grouped by pivot, and each group compares its members with the pivot first.  Only in groups that the
+links so far leave in several components, members outside the pivot's component are compared with those
+inside and with each other: in blocks of a bounded size, by a matrix product of the block's incidence of
+shingles, of which only links between different components leave the task.
 """
 
 from __future__ import annotations
@@ -29,10 +30,8 @@ from tabloom.llm.common import components, cut
 from tabloom.llm.docmap import add_columns
 
 CHUNKS, SYMBOLS = 8, 4
-#: Two signatures further apart than this are no candidates; the keys guarantee all pairs up to 15.
-FARTHEST = 20
-#: Members of a bucket that are compared pair by pair.
-SMALL_BUCKET = 64
+#: Members of a block, about.
+BLOCK = 128
 
 _seeds = np.random.default_rng(7919).integers(1, 2**63, (2, CHUNKS * SYMBOLS), dtype=np.uint64) | np.uint64(1)
 _CHUNK_KEYS = [[s for s in range(SYMBOLS) if s != left_out] for left_out in range(SYMBOLS)]
@@ -118,60 +117,85 @@ def index_keys(classes: DataFrame) -> DataFrame:
     return classes.select("id", "signature").mapInArrow(run, "key long, id long")
 
 
-def split_keys(members: DataFrame) -> DataFrame:
-    """(key, id, component) of large buckets under finer keys.
-
-    In a bucket two members differ by one symbol at most in its chunk; under a distance of 15, one of
-    the 7 other chunks has two errors at most, so a key of each pair of its symbols finds them.
-    """
-    pairs = [(a, b) for a in range(SYMBOLS) for b in range(a + 1, SYMBOLS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            symbols = _symbols(batch.column("signature")).astype(np.uint64)
-            old = batch.column("key").to_numpy()
-            own = (old >> 48) // SYMBOLS  # the chunk of the key
-            for chunk in range(CHUNKS):
-                rows = np.flatnonzero(own != chunk)
-                for k, (a, b) in enumerate(pairs):
-                    new = np.uint64(chunk * 6 + k) << np.uint64(32) | symbols[rows, chunk * SYMBOLS + a] << np.uint64(16) | symbols[rows, chunk * SYMBOLS + b]
-                    new = mix(mix(old[rows].view(np.uint64)) ^ new).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(new), batch.column("id").take(pa.array(rows)), batch.column("component").take(pa.array(rows))], names=["key", "id", "component"])
-
-    return members.mapInArrow(run, "key long, id long, component long")
-
-
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures are near enough."""
-    sides = [classes.select(F.col("id").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                differ = (_symbols(batch.column("sa")) != _symbols(batch.column("sb"))).sum(axis=1)
-                yield batch.select(["a", "b"]).filter(pa.array(differ <= FARTHEST))
-
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    field = T.StructField("shingles", T.ArrayType(T.LongType()))
-    sets = add_columns(texts.join(ids, "id", "left_semi"), _full_set(n), [field], "text", drop=("text",))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-
-def _crossing(members: DataFrame) -> DataFrame:
-    """Of (key, id, component), the rows whose bucket holds more than one component, with the number of
-    its members."""
-    keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-    return members.join(keys.where("lo < hi").select("key", "n"), "key")
+LINK = "a long, b long"
+#: Shingles that a matrix product takes at once.
+_WIDTH = 8_192
+
+
+def _common(shingles: np.ndarray, owner: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each of the sets `first` with each of `second`."""
+    n = int(owner.max(initial=-1)) + 1
+    _, number, count = np.unique(shingles, return_inverse=True, return_counts=True)
+    several = count > 1
+    renumber = np.cumsum(several) - 1
+    keep = several[number]
+    number, owner = renumber[number[keep]], owner[keep]
+    by = np.argsort(number, kind="stable")
+    number, owner = number[by], owner[by]
+    out = np.zeros((len(first), len(second)), np.float32)
+    for low in range(0, int(several.sum()), _WIDTH):
+        at, end = np.searchsorted(number, (low, low + _WIDTH))
+        incidence = np.zeros((n, min(_WIDTH, number[end - 1] - low + 1)), np.float32)
+        incidence[owner[at:end], number[at:end] - low] = 1
+        out += incidence[first] @ incidence[second].T
+    return out.astype(np.int64)
+
+
+def _compare(percent: int):
+    """Links of a block: between its rows of side 0 and of side 1, or, without the former, among all. Of
+    the links between two components one is enough."""
+
+    def block(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side, ids, component = (table.column(c).to_numpy() for c in ("side", "id", "component"))
+        lists = pa.concat_arrays(table.column("shingles").chunks)
+        size = lists.value_lengths().to_numpy()
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        first = first if len(first) else second
+        common = _common(lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), size), first, second)
+        linked = 100 * common >= percent * (size[first][:, None] + size[second] - common)
+        x, y = np.nonzero(linked & (component[first][:, None] != component[second]))
+        x, y = first[x], second[y]
+        pairs = np.stack([np.minimum(component[x], component[y]), np.maximum(component[x], component[y])])
+        _, one = np.unique(pairs, axis=1, return_index=True)
+        return pa.table([pa.array(ids[x[one]], pa.int64()), pa.array(ids[y[one]], pa.int64())], names=["a", "b"])
+
+    return block
+
+
+def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within the blocks (pivot, i, j) of members, which have side, id and component."""
+    dealt = members.join(sets, "id").select("pivot", "i", "j", "side", "id", "component", "shingles")
+    return dealt.groupBy("pivot", "i", "j").applyInArrow(_compare(percent), LINK)
+
+
+def star_blocks(groups: DataFrame) -> DataFrame:
+    """Of (pivot, id), blocks of members (side 1) with their pivot (side 0)."""
+    parts = groups.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(4 * BLOCK)).alias("parts"))
+    members = groups.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("parts")).alias("i"), F.lit(1).alias("side"), "id")
+    pivots = parts.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.lit(0).alias("side"), F.col("pivot").alias("id"))
+    return members.union(pivots).select("pivot", "i", F.lit(0).alias("j"), "side", "id", F.col("id").alias("component"))
+
+
+def crossing_blocks(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """Of groups (pivot, id) in several components, the pairs of blocks that show every pair of members of
+    which one at least is outside the pivot's component.  Blocks of the pivot's component are 0, 1, ...,
+    those of others -1, -2, ...; a pair of blocks is dealt to every member of both."""
+    of = found.select("id", "component")
+    both = groups.union(groups.select("pivot", F.col("pivot").alias("id")).distinct())
+    both = both.join(of, "id", "left").join(of.select(F.col("id").alias("pivot"), F.col("component").alias("home")), "pivot", "left")
+    both = cut(both.select("pivot", "id", F.coalesce("component", "id").alias("component"), (F.coalesce("component", "id") == F.coalesce("home", "pivot")).alias("inside")))
+    counts = both.groupBy("pivot").agg(F.count_if("inside").alias("n_in"), F.count_if(~F.col("inside")).alias("n_out")).where("n_out > 0 and n_in + n_out > 1")
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("long")
+    rows = both.join(counts.select("pivot", blocks("n_in").alias("ins"), blocks("n_out").alias("outs")), "pivot")
+    mine = F.when(F.col("inside"), F.pmod(F.xxhash64("id"), F.col("ins"))).otherwise(-1 - F.pmod(F.xxhash64("id"), F.col("outs")))
+    rows = rows.withColumn("mine", mine)
+    outer = F.sequence(-F.col("outs"), F.lit(-1).cast("long"))
+    others = F.when(F.col("inside"), outer).otherwise(F.concat(outer, F.sequence(F.lit(0).cast("long"), F.col("ins") - 1)))
+    rows = rows.select("pivot", "id", "component", "mine", F.explode(others).alias("other"))
+    i, j = F.least("mine", "other"), F.greatest("mine", "other")
+    side = F.when((F.col("mine") == i), 1).otherwise(0)  # a block with itself has side 1 only
+    return rows.select("pivot", i.alias("i"), j.alias("j"), side.alias("side"), "id", "component")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,26 +217,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     classes = cut(known.groupBy(*same).agg(F.min("id").alias("id"), F.min("signature").alias("signature")))
 
     keys = index_keys(classes)
-    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("key", "a")
-    buckets = cut(keys.join(shared, "key").select("key", "id", "a"))
-    tried = buckets.where("a < id").select("a", F.col("id").alias("b")).distinct()
-    near = cut(_near(tried, classes))
-    links = cut(_confirmed(near, texts, n, percent))
-    found = components(links)
+    shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
+    groups = cut(keys.join(shared, "key").where("pivot < id").select("pivot", "id").distinct())
+    ids = groups.select("id").union(groups.select("pivot")).distinct()
+    field = T.StructField("shingles", T.ArrayType(T.LongType()))
+    sets = cut(add_columns(texts.join(ids, "id", "left_semi"), _full_set(n), [field], "text", drop=("text",)).where("size(shingles) > 0"))
 
-    members = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    rest = cut(_crossing(members))
-    if not rest.isEmpty():
-        small, large = rest.where(F.col("n") <= SMALL_BUCKET), rest.where(F.col("n") > SMALL_BUCKET)
-        if not large.isEmpty():
-            finer = split_keys(large.join(classes.select("id", "signature"), "id").select("key", "id", "component", "signature"))
-            small = cut(small.unionByName(_crossing(finer.distinct())))
-        a, b = (small.select("key", F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        pairs = a.join(b, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
-        near = cut(_near(pairs, classes))
-        if not near.isEmpty():
-            links = cut(links.union(_confirmed(near, texts, n, percent)))
-            found = components(links)
+    links = cut(_links(star_blocks(groups), sets, percent))
+    found = components(links)
+    more = cut(_links(crossing_blocks(groups, found), sets, percent))
+    if not more.isEmpty():
+        found = components(links.union(more))
 
     named = classes.join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
     out = rows.select("id", *same).join(named, same, "left")

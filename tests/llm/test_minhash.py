@@ -59,7 +59,7 @@ def test_chains_and_groups(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = brute(docs)
     assert sorted(map(tuple, near_duplicates(df, n=4).collect())) == want
-    monkeypatch.setattr("tabloom.llm.minhash.SMALL_BUCKET", 8)  # large buckets are split by finer keys
+    monkeypatch.setattr("tabloom.llm.minhash.BLOCK", 7)  # groups are compared in several blocks
     assert sorted(map(tuple, near_duplicates(df, n=4).collect())) == want
 
 
