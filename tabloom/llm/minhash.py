@@ -31,7 +31,7 @@ from tabloom.llm.docmap import add_columns
 
 CHUNKS, SYMBOLS = 8, 4
 #: Members of a block, about.
-BLOCK = 128
+BLOCK = 384
 
 _seeds = np.random.default_rng(7919).integers(1, 2**63, (2, CHUNKS * SYMBOLS), dtype=np.uint64) | np.uint64(1)
 _CHUNK_KEYS = [[s for s in range(SYMBOLS) if s != left_out] for left_out in range(SYMBOLS)]
@@ -171,7 +171,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def star_blocks(groups: DataFrame) -> DataFrame:
     """Of (pivot, id), blocks of members (side 1) with their pivot (side 0)."""
-    parts = groups.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(4 * BLOCK)).alias("parts"))
+    parts = groups.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
     members = groups.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("parts")).alias("i"), F.lit(1).alias("side"), "id")
     pivots = parts.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.lit(0).alias("side"), F.col("pivot").alias("id"))
     return members.union(pivots).select("pivot", "i", F.lit(0).alias("j"), "side", "id", F.col("id").alias("component"))
