@@ -6,8 +6,9 @@ and the bytes of a run with its last window are its context: equal windows lie i
 minimisers are equal K-grams.  That routes the work without losing a repeat:
 
 1. minimisers are counted over all documents; contexts of those that occur once have no repeats;
-2. equal contexts are collapsed to one with its number of places, and contexts of a minimiser go to
-   the same shard, of a few megabytes;
+2. equal contexts are collapsed to one with its number of places. A minimiser with one context is
+   done: all windows of that one are repeated. Contexts of other minimisers go to one shard each, of a
+   few megabytes;
 3. every shard builds a suffix array of its contexts (Larsson-Sadakane) and Kasai's common prefixes;
    neighbours with LENGTH common bytes are one class, repeated if its places are two or more;
 4. a minimiser with very many contexts is dealt to several shards. Each publishes one row for each of
@@ -33,7 +34,7 @@ from tabloom.llm.suffix import common_prefixes, packed_bytes, suffix_array
 
 LENGTH = 400
 K = 100
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 2_000_000
 #: Distinct contexts of one minimiser in a shard.
 MOST_CONTEXTS = 2_000
 _POSITION = np.uint64((1 << 28) - 1)
@@ -178,12 +179,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     places = cut(places.groupBy(*RUN.names).agg(F.count("*").alias("n")))
     contexts = places.groupBy(*CONTEXT).agg(F.sum("n").alias("n"), F.min(F.struct("doc", "start")).alias("at"))
     contexts = cut(contexts.select(*CONTEXT, "n", "at.doc", "at.start"))
+    several = contexts.groupBy("anchor").count().where(F.col("count") > 1)
+    alone = contexts.join(several, "anchor", "left_anti").where("n > 1")
+    contexts = cut(contexts.join(several, "anchor"))
     total = contexts.agg(F.sum(F.col("windows") + F.lit(length - 1))).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
 
-    crowds = contexts.groupBy("anchor").count().where(F.col("count") > MOST_CONTEXTS)
-    parts = F.coalesce(F.ceil(F.col("count") / F.lit(MOST_CONTEXTS)), F.lit(1))
-    dealt = contexts.join(crowds, "anchor", "left").withColumn("divided", parts > 1)
+    parts = F.ceil(F.col("count") / F.lit(MOST_CONTEXTS))
+    dealt = contexts.withColumn("divided", parts > 1)
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("anchor", F.when(F.col("divided"), F.pmod(F.col("context"), parts))), F.lit(shards)))
     wanted = dealt.groupBy("doc").agg(F.collect_list(F.struct("shard", *CONTEXT, "n", "divided", "start")).alias("wanted"))
     # One row of each wanted text: the least id. (Rows with the same id and text give contexts twice; shards drop those.)
@@ -199,7 +202,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     published = windows.where("weight > 0").select("anchor", "class", "weight").withColumn("range", F.shiftrightunsigned("class", 64 - max(1, math.ceil(math.log2(shards + 1)))))
     common = published.groupBy("range").applyInArrow(_merge, "anchor long, class long")
     crossing = windows.join(common, ["anchor", "class"]).select(*CONTEXT, "place", F.col("place").alias("last"))
-    stretches = sure.union(crossing).groupBy(*CONTEXT).agg(F.collect_list(F.struct("place", "last")).alias("found"))
+    whole = alone.select(*CONTEXT, F.lit(0).alias("place"), (F.col("windows") - 1).alias("last"))
+    stretches = sure.union(crossing).union(whole).groupBy(*CONTEXT).agg(F.collect_list(F.struct("place", "last")).alias("found"))
 
     back = places.select(*CONTEXT, "doc", "start").join(stretches, CONTEXT)
     moved = F.transform("found", lambda x: F.struct((x["place"] + F.col("start")).alias("from"), (x["last"] + F.col("start") + F.lit(length)).alias("to")))
