@@ -33,7 +33,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 
     Sources in code-point order, null last, take the weights in turn. Every target is
     min(most * size, weight * level), with the one level at which the targets share the sum of all
-    sizes: sources are capped in the order of most * size / weight, so prefix sums give the level.
+    sizes: sources are capped in the order of most * size / weight, so prefix sums give the level. It is
+    that of the first source that stays below its cap; later ones would give smaller levels.
     These windows run over one row per source, not over documents.
     """
     turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
@@ -50,7 +51,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     )
     level = (F.col("total") - F.col("capped")) / F.col("weights")  # if this source and those after it are uncapped
     rows = rows.withColumn("level", F.when(level * F.col("weight") <= F.col("cap"), level))
-    rows = rows.withColumn("level", F.min("level").over(every))
+    rows = rows.withColumn("level", F.max("level").over(every))
     return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")).alias("target"))
 
 

@@ -127,7 +127,7 @@ ORACLES: dict[str, str] = {
                    sum(source_size) OVER () AS total
             FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        m AS (SELECT min((total - capped) / weights) FILTER ((total - capped) / weights * weight <= cap) AS level FROM l),
+        m AS (SELECT max((total - capped) / weights) FILTER ((total - capped) / weights * weight <= cap) AS level FROM l),
         t AS (
             SELECT l.source, l.source_size, least(cap, coalesce(level * weight, cap)) AS target,
                    ('0x' || substr(md5('mix|' || coalesce(l.source, chr(0))), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
