@@ -1,10 +1,411 @@
-"""Registered queries and the SQL they are compared with."""
+"""Registered queries and the SQL they are compared with. Doubles are rounded to six digits on both sides."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabloom.operators import associate, diagnose, metrics, model, prepare, split, tracking
+from tabloom.streaming.profile import windowed_profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(f"`{c}`", 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+def query(sql: str | None = None, doubles: str = ""):
+    """Registers a query under its function's name; doubles are the columns of sql to be rounded."""
+
+    def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")))
+        if sql:
+            replace = ", ".join(f"round({c}, 6) AS {c}" for c in doubles.split())
+            ORACLES[f.__name__] = f"SELECT * REPLACE ({replace}) FROM ({sql})" if replace else sql
+        return f
+
+    return add
+
+
+NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+PROFILE = """SELECT '{c}' AS "column", count(*) AS n, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS n_unique, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max,
+    avg({c})::DOUBLE AS mean, stddev_samp({c})::DOUBLE AS std, skewness({c}) AS skew, kurtosis_pop({c}) AS kurtosis,
+    quantile_cont({c}, 0.25)::DOUBLE AS q1, quantile_cont({c}, 0.5)::DOUBLE AS median, quantile_cont({c}, 0.75)::DOUBLE AS q3 FROM lineitem"""
+
+
+@query(" UNION ALL ".join(PROFILE.format(c=c) for c in NUMBERS), "min max mean std skew kurtosis q1 median q3")
+def profile_lineitem(t):
+    return diagnose.profile_numeric(t("lineitem"), NUMBERS)
+
+
+@query("""SELECT "column", value, count, rank FROM (SELECT "column", value, count(*) AS count, CAST(row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, value) AS INTEGER) AS rank
+    FROM (SELECT 'o_orderstatus' AS "column", o_orderstatus AS value FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders) GROUP BY 1, 2) WHERE rank <= 10""")
+def top_values(t):
+    return diagnose.top_values(t("orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("""WITH d AS (SELECT DISTINCT ts FROM events), s AS (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts) AS x FROM d)
+    SELECT min(ts) AS min, max(ts) AS max, (SELECT CASE WHEN count(*) >= 3 AND min(x) = max(x) THEN min(x) / 1e6::DOUBLE END FROM s) AS step_seconds FROM events""", "step_seconds")
+def datetime_range(t):
+    out = diagnose.datetime_range(t("events"), "ts")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("min", "max")})
+
+
+def _role(c: str, kind: str) -> str:
+    base = f"count(DISTINCT {c}) AS u, count(*) AS n, count({c}) AS k, bool_and(lower(CAST({c} AS VARCHAR)) IN ('0', '1')) OR bool_and(lower(CAST({c} AS VARCHAR)) IN ('1', '2')) AS b, avg(length(CAST({c} AS VARCHAR))) AS len FROM events"
+    if kind == "datetime":
+        rule = "CASE WHEN u <= 1 THEN 'constant' ELSE 'datetime' END"
+    elif kind == "string":
+        rule = "CASE WHEN u <= 1 THEN 'constant' WHEN u = 2 AND b THEN 'boolean' WHEN u > 0.95 * n AND len <= 50 THEN 'identifier' WHEN len > 50 THEN 'text_freeform' ELSE 'categorical_nominal' END"
+    else:
+        whole = "WHEN u <= 20 THEN 'numeric_discrete'" if kind == "long" else ""
+        rule = f"CASE WHEN u <= 1 THEN 'constant' WHEN u = 2 AND b THEN 'boolean' WHEN u > 0.95 * n THEN 'identifier' {whole} ELSE 'numeric_continuous' END"
+    return f"SELECT '{c}' AS \"column\", {rule} AS role, u AS n_unique, n - k AS missing FROM (SELECT {base})"
+
+
+@query(" UNION ALL ".join(_role(c, k) for c, k in (("event_id", "long"), ("ts", "datetime"), ("user_id", "long"), ("event_type", "string"), ("value", "double"), ("props", "string"))))
+def column_roles(t):
+    return diagnose.column_roles(t("events")).drop("confidence")
+
+
+@query("SELECT 'quality' AS target, count(DISTINCT quality) AS n_unique, 'classification' AS task, 'high' AS confidence, false AS needs_clarification FROM labels")
+def target_task(t):
+    return diagnose.infer_task(t("labels"), diagnose.infer_target(t("labels").columns, "predict the quality of a text"))
+
+
+@query("SELECT o_orderstatus AS value, count(*) AS count, count(*) / sum(count(*)) OVER ()::DOUBLE AS share FROM orders GROUP BY 1", "share")
+def class_balance(t):
+    return diagnose.class_balance(t("orders"), "o_orderstatus")
+
+
+def _taxed(t):
+    return t("lineitem").select(*NUMBERS[:3], F.nullif("l_tax", F.lit(0.0)).alias("l_tax"))
+
+
+@query("""SELECT 'l_tax' AS "column", count(*) - count(x) AS missing, 100.0::DOUBLE * avg((x IS NULL)::INT) AS missing_pct,
+    greatest(abs(corr((x IS NULL)::INT::DOUBLE, l_quantity)), abs(corr((x IS NULL)::INT::DOUBLE, l_extendedprice)), abs(corr((x IS NULL)::INT::DOUBLE, l_discount))) AS max_abs_r, max_abs_r >= 0.3 AS likely_mar
+    FROM (SELECT *, nullif(l_tax, 0) AS x FROM lineitem)""", "missing_pct max_abs_r")
+def missingness(t):
+    return diagnose.missingness(_taxed(t))
+
+
+BOUNDS = """WITH b AS ({b}) SELECT 'value' AS "column", lower, upper, (SELECT count(*) FROM events, b WHERE value < lower OR value > upper) AS n_outliers FROM b"""
+
+
+@query(BOUNDS.format(b="SELECT q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM (SELECT quantile_cont(value, 0.25)::DOUBLE AS q1, quantile_cont(value, 0.75)::DOUBLE AS q3 FROM events)"), "lower upper")
+def outliers_iqr(t):
+    return diagnose.outliers(t("events"), ["value"])
+
+
+@query(BOUNDS.format(b="SELECT avg(value) - 3 * stddev_samp(value) AS lower, avg(value) + 3 * stddev_samp(value) AS upper FROM events"), "lower upper")
+def outliers_zscore(t):
+    return diagnose.outliers(t("events"), ["value"], "zscore")
+
+
+@query("""WITH j AS (SELECT l_quantity, l_shipdate, l_extendedprice, l_extendedprice * 1.0::DOUBLE AS copy, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    x AS (SELECT 'l_quantity' AS "column", round(count(DISTINCT l_quantity) / count(*)::DOUBLE, 4) AS unique_ratio, round(abs(corr(l_quantity, l_extendedprice)), 4) AS abs_r, NULL::DOUBLE AS after_outcome FROM j
+    UNION ALL SELECT 'copy', round(count(DISTINCT copy) / count(*)::DOUBLE, 4), round(abs(corr(copy, l_extendedprice)), 4), NULL FROM j
+    UNION ALL SELECT 'l_shipdate', round(count(DISTINCT l_shipdate) / count(*)::DOUBLE, 4), NULL, round(avg((l_shipdate > o_orderdate)::INT), 4) FROM j)
+    SELECT *, concat_ws(',', CASE WHEN unique_ratio > 0.95 THEN 'identifier_like' END, CASE WHEN abs_r >= 0.98 THEN 'high_correlation' END, CASE WHEN after_outcome > 0.5 THEN 'timestamped_after_outcome' END) AS suspects FROM x""", "unique_ratio")
+def leakage_audit(t):
+    j = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_quantity", "l_shipdate", "l_extendedprice", (F.col("l_extendedprice") * 1.0).alias("copy"), "o_orderdate")
+    return diagnose.leakage(j, "l_extendedprice", "o_orderdate")
+
+
+@query("""WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS a,
+    rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0::DOUBLE AS b FROM lineitem) SELECT count(*) AS n, corr(a, b) AS rho FROM r""", "rho")
+def assoc_spearman(t):
+    return associate.spearman(t("lineitem"), "l_quantity", "l_extendedprice")
+
+
+CHI = """WITH c AS (SELECT {a} AS a, {b} AS b, count(*) AS n FROM {t} GROUP BY 1, 2), g AS (SELECT x.a, y.b, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT a FROM c) x CROSS JOIN (SELECT DISTINCT b FROM c) y LEFT JOIN c ON c.a = x.a AND c.b = y.b),
+    s AS (SELECT n, sum(n) OVER (PARTITION BY a) * sum(n) OVER (PARTITION BY b) / (sum(n) OVER ())::DOUBLE AS e FROM g),
+    z AS (SELECT CAST(sum(n) AS BIGINT) AS n, (SELECT count(DISTINCT a)::INT FROM c) AS r, (SELECT count(DISTINCT b)::INT FROM c) AS k, sum({x}) AS chi2 FROM s) SELECT *, sqrt(chi2 / (n * (least(r, k) - 1))) AS v FROM z"""
+
+
+@query(CHI.format(a="l_returnflag", b="l_linestatus", t="lineitem", x="(n - e) * (n - e) / e"), "chi2 v")
+def assoc_cramers_v(t):
+    return associate.cramers_v(t("lineitem"), "l_returnflag", "l_linestatus")
+
+
+@query(CHI.format(a="quality", b="toxic", t="labels", x="greatest(abs(n - e) - 0.5, 0) * greatest(abs(n - e) - 0.5, 0) / e"), "chi2 v")
+def assoc_cramers_v_yates(t):
+    return associate.cramers_v(t("labels"), "quality", "toxic")
+
+
+@query("""WITH g AS (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS m, var_pop(o_totalprice) AS v FROM orders GROUP BY 1), a AS (SELECT avg(o_totalprice) AS m, var_pop(o_totalprice) * count(*) AS t, count(*) AS n FROM orders)
+    SELECT count(*) AS k, CAST(sum(g.n) AS BIGINT) AS n, sum(g.n * (g.m - a.m) * (g.m - a.m)) / (count(*) - 1) / (sum(g.n * v) / (sum(g.n) - count(*))) AS f, sum(g.n * (g.m - a.m) * (g.m - a.m)) / max(a.t) AS eta2 FROM g, a""", "f eta2")
+def assoc_anova(t):
+    return associate.anova(t("orders"), "o_orderpriority", "o_totalprice")
+
+
+@query("""WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2), s AS (SELECT n, sum(n) OVER (PARTITION BY a) AS ra, sum(n) OVER (PARTITION BY b) AS cb, sum(n) OVER () AS t FROM c)
+    SELECT sum(n / t * ln(n * t / (ra * cb))) AS mi FROM s""", "mi")
+def assoc_mutual_info(t):
+    return associate.mutual_information(t("lineitem"), "l_returnflag", "l_linestatus")
+
+
+@query("""WITH c AS (SELECT l_quantity AS v, count(*) FILTER (l_linestatus = 'O')::DOUBLE AS a, count(*) FILTER (l_linestatus <> 'O')::DOUBLE AS b FROM lineitem GROUP BY 1),
+    s AS (SELECT sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER () AS n1, sum(b) OVER () AS n2 FROM c WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING))
+    SELECT CAST(max(n1) AS BIGINT) AS n1, CAST(max(n2) AS BIGINT) AS n2, max(abs(ca / n1 - cb / n2)) AS d FROM s""", "d")
+def shift_ks(t):
+    return associate.ks_two_samples(t("lineitem").withColumn("first", F.col("l_linestatus") == "O"), "l_quantity", "first")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", r * r * (n - 2) / (1 - r * r) AS f FROM (SELECT corr({c}, l_extendedprice) AS r, count(*) AS n FROM lineitem)" for c in ("l_quantity", "l_discount", "l_tax")), "f")
+def select_filter(t):
+    return associate.f_scores(t("lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+
+
+ORDERED = "row_number() OVER ({by} ORDER BY md5(concat(CAST({key} AS VARCHAR), '|42')), {key})"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {ORDERED.format(by='', key='o_orderkey')} <= ceil(count(*) OVER () * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part FROM orders")
+def split_random(t):
+    return split.random_split(t("orders").select("o_orderkey"), "o_orderkey")
+
+
+@query(f"SELECT o_orderkey, o_orderstatus, CASE WHEN {ORDERED.format(by='PARTITION BY o_orderstatus', key='o_orderkey')} <= round(count(*) OVER (PARTITION BY o_orderstatus) * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part FROM orders")
+def split_stratified(t):
+    return split.stratified_split(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")
+
+
+@query(f"WITH g AS (SELECT DISTINCT o_custkey FROM orders), p AS (SELECT o_custkey, CASE WHEN {ORDERED.format(by='', key='o_custkey')} <= ceil(count(*) OVER () * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part FROM g) SELECT o_orderkey, o_custkey, part FROM orders JOIN p USING (o_custkey)")
+def split_group(t):
+    return split.group_split(t("orders").select("o_orderkey", "o_custkey"), "o_custkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderdate, o_orderkey) <= greatest(1, least(round_even(count(*) OVER () * 0.8::DOUBLE, 0), count(*) OVER () - 1)) THEN 'train' ELSE 'test' END AS part FROM orders")
+def split_time(t):
+    return split.time_split(t("orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").drop("o_orderdate")
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, {ORDERED.format(by='', key='o_orderkey')} - 1 AS pos, count(*) OVER () AS n FROM orders)
+    SELECT o_orderkey, CAST(CASE WHEN pos < (n % 5) * (n // 5 + 1) THEN pos // (n // 5 + 1) ELSE n % 5 + (pos - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold FROM p""")
+def folds_random(t):
+    return split.random_folds(t("orders").select("o_orderkey"), "o_orderkey", 5)
+
+
+@query(f"SELECT o_orderkey, CAST(({ORDERED.format(by='PARTITION BY o_orderstatus', key='o_orderkey')} - 1) % 5 AS INTEGER) AS fold FROM orders")
+def folds_stratified(t):
+    return split.stratified_folds(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", 5).drop("o_orderstatus")
+
+
+@query("""WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT o_custkey, (row_number() OVER (ORDER BY n DESC, md5(CAST(o_custkey AS VARCHAR)), o_custkey) - 1) % 10 AS turn FROM s)
+    SELECT o_orderkey, CAST(CASE WHEN turn < 5 THEN turn ELSE 9 - turn END AS INTEGER) AS fold FROM orders JOIN r USING (o_custkey)""")
+def folds_group(t):
+    return split.group_folds(t("orders").select("o_orderkey", "o_custkey"), "o_custkey", 5).drop("o_custkey")
+
+
+@query("""WITH p AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS pos, count(*) OVER () AS n FROM events)
+    SELECT event_id, CAST(CASE WHEN pos <= n - 5 * (n // 6) THEN 0 ELSE 1 + (pos - (n - 5 * (n // 6)) - 1) // (n // 6) END AS INTEGER) AS block FROM p""")
+def folds_time(t):
+    return split.time_folds(t("events").select("event_id", "ts"), "ts", "event_id", 5).drop("ts")
+
+
+@query("""SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS w, CAST(quarter(o_orderdate) AS INTEGER) AS q,
+    last_day(o_orderdate) = o_orderdate::DATE AS e FROM orders""")
+def derive_datetime_parts(t):
+    parts = [("y", "year"), ("m", "month"), ("w", "weekday"), ("q", "quarter"), ("e", "is_month_end")]
+    defs = [{"name": n, "expression_type": "row_wise", "definition": {"kind": "datetime_part", "column": "o_orderdate", "part": p}} for n, p in parts]
+    return prepare.derive(t("orders").select("o_orderkey", "o_orderdate"), defs).drop("o_orderdate")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice / nullif(l_discount, 0) AS ratio, l_extendedprice * (1 - l_discount) + pow(l_tax, 2) AS net, l_quantity > 25 AND l_tax <= 0.04 AS big FROM lineitem""", "ratio net")
+def derive_arithmetic(t):
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_quantity", "l_tax")
+    defs = [("ratio", {"kind": "ratio", "numerator": "l_extendedprice", "denominator": "l_discount"}), ("net", {"kind": "arithmetic", "expression": "l_extendedprice * (1 - l_discount) + l_tax ** 2"}), ("big", {"kind": "arithmetic", "expression": "(l_quantity > 25) & (l_tax <= 0.04)"})]
+    return prepare.derive(rows, [{"name": n, "expression_type": "row_wise", "definition": d} for n, d in defs]).select("l_orderkey", "l_linenumber", "ratio", "net", "big")
+
+
+@query("""WITH tr AS (SELECT * FROM lineitem WHERE l_linenumber <= 3), g AS (SELECT l_suppkey, l_returnflag, avg(l_quantity) AS v FROM tr GROUP BY 1, 2)
+    SELECT l_orderkey, l_linenumber, coalesce(v, (SELECT avg(l_quantity) FROM tr)) AS enc FROM lineitem LEFT JOIN g USING (l_suppkey, l_returnflag)""", "enc")
+def derive_group_aggregate(t):
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity")
+    return prepare.group_feature(rows.where("l_linenumber <= 3"), rows, "enc", ["l_suppkey", "l_returnflag"], "l_quantity").select("l_orderkey", "l_linenumber", "enc")
+
+
+IMPUTED = {"a": "mean", "b": "median", "c": "most_frequent", "d": "constant"}
+
+
+@query("""WITH x AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_retailprice END AS a, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size::DOUBLE END AS b, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS c, CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_type END AS d FROM part)
+    SELECT p_partkey, coalesce(a, (SELECT avg(a) FROM x)) AS a, coalesce(b, (SELECT median(b) FROM x)) AS b, coalesce(c, (SELECT c FROM x WHERE c IS NOT NULL GROUP BY c ORDER BY count(*) DESC, c LIMIT 1)) AS c, coalesce(d, '__missing__') AS d FROM x""", "a b")
+def impute(t):
+    hole = lambda c, k: F.when(F.col("p_size") % k != 0, F.col(c))
+    x = t("part").select("p_partkey", hole("p_retailprice", 3).alias("a"), hole("p_size", 4).cast("double").alias("b"), hole("p_brand", 5).alias("c"), hole("p_type", 2).alias("d"))
+    return prepare.impute(x, x, IMPUTED)
+
+
+@query("""WITH tr AS (SELECT * FROM orders WHERE o_custkey % 2 = 0), f AS (SELECT o_orderpriority, count(*) / sum(count(*)) OVER ()::DOUBLE AS v, row_number() OVER (ORDER BY o_orderpriority) - 1 AS c FROM tr GROUP BY 1)
+    SELECT o_orderkey, coalesce(v, 0.0::DOUBLE) AS freq, CAST(coalesce(c, -1) AS INTEGER) AS code FROM orders LEFT JOIN f USING (o_orderpriority)""", "freq")
+def encode_frequency_label(t):
+    rows = t("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    train = rows.where("o_custkey % 2 = 0")
+    return prepare.encode_label(train, prepare.encode_frequency(train, rows, "o_orderpriority", "freq"), "o_orderpriority", "code").select("o_orderkey", "freq", "code")
+
+
+@query("SELECT o_orderkey, (o_orderstatus = 'F')::INT AS \"o_orderstatus_F\", (o_orderstatus = 'O')::INT AS \"o_orderstatus_O\", (o_orderstatus = 'P')::INT AS \"o_orderstatus_P\" FROM orders")
+def encode_one_hot(t):
+    rows = t("orders").select("o_orderkey", "o_orderstatus")
+    return prepare.encode_one_hot(rows, rows, "o_orderstatus").drop("o_orderstatus")
+
+
+@query("""WITH g AS (SELECT c_nationkey, sum(c_acctbal) AS s, count(c_acctbal) AS m FROM customer GROUP BY 1), a AS (SELECT avg(c_acctbal) AS v FROM customer)
+    SELECT c_custkey, (s + 10 * v) / (m + 10) AS enc FROM customer JOIN g USING (c_nationkey), a""", "enc")
+def encode_target(t):
+    rows = t("customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return prepare.encode_target(rows, rows, "c_nationkey", "c_acctbal", "enc").select("c_custkey", "enc")
+
+
+@query("""WITH r AS (SELECT *, c_custkey % 5 AS fold FROM customer), a AS (SELECT avg(c_acctbal) AS v FROM customer)
+    SELECT x.c_custkey, (coalesce(sum(y.c_acctbal), 0) + 10 * max(a.v)) / (count(y.c_acctbal) + 10) AS enc FROM r x LEFT JOIN r y ON x.c_nationkey = y.c_nationkey AND x.fold <> y.fold CROSS JOIN a GROUP BY 1""", "enc")
+def encode_target_oof(t):
+    rows = t("customer").select("c_custkey", "c_nationkey", "c_acctbal", (F.col("c_custkey") % 5).alias("fold"))
+    return prepare.encode_target_out_of_fold(rows, "c_nationkey", "c_acctbal", "enc").select("c_custkey", "enc")
+
+
+def _scaled(t, method):
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    return prepare.scale(rows, rows, ["l_extendedprice", "l_quantity"], method)
+
+
+SCALED = "WITH f AS (SELECT {a} FROM lineitem) SELECT l_orderkey, l_linenumber, (l_extendedprice - c1) / w1 AS l_extendedprice, (l_quantity - c2) / w2 AS l_quantity FROM lineitem, f"
+
+
+@query(SCALED.format(a="avg(l_extendedprice) AS c1, stddev_pop(l_extendedprice) AS w1, avg(l_quantity) AS c2, stddev_pop(l_quantity) AS w2"), "l_extendedprice l_quantity")
+def scale_standard(t):
+    return _scaled(t, "standard")
+
+
+@query(SCALED.format(a="min(l_extendedprice) AS c1, max(l_extendedprice) - min(l_extendedprice) AS w1, min(l_quantity) AS c2, max(l_quantity) - min(l_quantity) AS w2"), "l_extendedprice l_quantity")
+def scale_minmax(t):
+    return _scaled(t, "minmax")
+
+
+@query(SCALED.format(a=", ".join(f"quantile_cont({c}, 0.5)::DOUBLE AS c{i}, quantile_cont({c}, 0.75)::DOUBLE - quantile_cont({c}, 0.25) AS w{i}" for i, c in ((1, "l_extendedprice"), (2, "l_quantity")))), "l_extendedprice l_quantity")
+def scale_robust(t):
+    return _scaled(t, "robust")
+
+
+FENCE = "WITH q AS (SELECT quantile_cont(value, 0.25)::DOUBLE AS a, quantile_cont(value, 0.75)::DOUBLE AS b FROM events), f AS (SELECT a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi FROM q) "
+
+
+@query(FENCE + "SELECT event_id, least(greatest(value, lo), hi) AS value FROM events, f", "value")
+def outlier_cap(t):
+    rows = t("events").select("event_id", "value")
+    return prepare.handle_outliers(rows, rows, ["value"])
+
+
+@query(FENCE + "SELECT event_id, value FROM events, f WHERE value IS NULL OR value BETWEEN lo AND hi", "value")
+def outlier_remove(t):
+    rows = t("events").select("event_id", "value")
+    return prepare.handle_outliers(rows, rows, ["value"], "remove")
+
+
+@query("SELECT event_id, sign(value) * ln(1 + abs(value)) AS value FROM events", "value")
+def outlier_transform(t):
+    rows = t("events").select("event_id", "value")
+    return prepare.handle_outliers(rows, rows, ["value"], "transform")
+
+
+def _called(t):
+    rows = t("labels").join(t("documents").select("doc_id", "n_chars"), "doc_id")
+    return rows.select("quality", (F.col("n_chars") > 1000).cast("int").alias("p"), (F.least(F.col("n_chars"), F.lit(5000)) / 5000).alias("s"))
+
+
+CALLED = "WITH x AS (SELECT quality AS y, (n_chars > 1000)::INT AS p, least(n_chars, 5000) / 5000.0::DOUBLE AS s FROM labels JOIN documents USING (doc_id)) "
+
+
+@query(CALLED + "SELECT avg((y = p)::INT) AS accuracy, (SELECT avg(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + w, 0), 0)) FROM (SELECT l, count(*) FILTER (y = l AND p = l) AS tp, count(*) FILTER ((y = l) <> (p = l)) AS w FROM x, (SELECT DISTINCT y AS l FROM x UNION SELECT DISTINCT p FROM x) GROUP BY l)) AS f1_macro FROM x", "accuracy f1_macro")
+def metrics_classification(t):
+    return metrics.classification(_called(t), "quality", "p")
+
+
+@query("SELECT sqrt(avg((l_extendedprice - p) * (l_extendedprice - p))) AS rmse, avg(abs(l_extendedprice - p)) AS mae, 1 - sum((l_extendedprice - p) * (l_extendedprice - p)) / (count(*) * var_pop(l_extendedprice)) AS r2 FROM (SELECT *, l_quantity * 1500.0::DOUBLE AS p FROM lineitem)", "rmse mae r2")
+def metrics_regression(t):
+    return metrics.regression(t("lineitem").withColumn("p", F.col("l_quantity") * 1500.0), "l_extendedprice", "p")
+
+
+@query(CALLED + ", r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS k FROM x) SELECT count(*) AS n, CAST(sum(y) AS BIGINT) AS n_positive, (sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y)))::DOUBLE AS auc FROM r", "auc")
+def metrics_auc(t):
+    return metrics.roc_auc(_called(t), "quality", "s")
+
+
+@query(CALLED + """SELECT k / 100.0::DOUBLE AS threshold, coalesce(count(*) FILTER (s >= k / 100.0::DOUBLE AND y = 1) / nullif(count(*) FILTER (s >= k / 100.0::DOUBLE), 0)::DOUBLE, 0) AS precision,
+    count(*) FILTER (s >= k / 100.0::DOUBLE AND y = 1) / sum(y)::DOUBLE AS recall, 2 * count(*) FILTER (s >= k / 100.0::DOUBLE AND y = 1) / (count(*) FILTER (s >= k / 100.0::DOUBLE) + sum(y))::DOUBLE AS f1 FROM x, range(1, 100) t(k) GROUP BY k""", "threshold precision recall f1")
+def threshold_sweep(t):
+    return metrics.thresholds(_called(t), "quality", "s")
+
+
+@query("WITH c AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1) SELECT max(n) / sum(n)::DOUBLE AS accuracy, 2 * max(n) / (sum(n) + max(n))::DOUBLE / count(*) AS f1_macro FROM c", "accuracy f1_macro")
+def baseline_classification(t):
+    return metrics.baseline_classification(t("orders"), "o_orderstatus")
+
+
+@query("SELECT stddev_pop(o_totalprice) AS rmse, avg(abs(o_totalprice - (SELECT avg(o_totalprice) FROM orders))) AS mae, 0.0::DOUBLE AS r2 FROM orders", "rmse mae r2")
+def baseline_regression(t):
+    out = metrics.baseline_regression(t("orders"), "o_totalprice")
+    return out.withColumn("r2", F.abs(F.round("r2", 6)))
+
+
+@query("""WITH q AS (SELECT quantile_cont(o_totalprice, 0.25)::DOUBLE AS a, quantile_cont(o_totalprice, 0.5)::DOUBLE AS b, quantile_cont(o_totalprice, 0.75)::DOUBLE AS c FROM orders)
+    SELECT CAST(CASE WHEN o_totalprice <= a THEN 1 WHEN o_totalprice <= b THEN 2 WHEN o_totalprice <= c THEN 3 ELSE 4 END AS VARCHAR) AS segment, count(*) AS n, avg((o_orderstatus <> 'F')::INT) AS error_rate FROM orders, q GROUP BY 1""", "error_rate")
+def segment_errors(t):
+    return metrics.segment_errors(metrics.quartile(t("orders").withColumn("p", F.lit("F")), "o_totalprice"), "quartile", "o_orderstatus", "p")
+
+
+@query("""WITH c AS (SELECT toxic, count(*) AS n FROM labels GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, min(n) / max(n)::DOUBLE AS ratio, CASE WHEN min(n) / max(n)::DOUBLE >= 0.3 THEN 'none' WHEN sum(n) >= 200 AND min(n) / max(n)::DOUBLE * sum(n) >= 6 THEN 'oversample_smote' ELSE 'class_weight' END AS strategy FROM c""", "ratio")
+def imbalance(t):
+    return metrics.imbalance(t("labels"), "toxic")
+
+
+@query("SELECT toxic AS class, (SELECT count(*) FROM labels) / ((SELECT count(DISTINCT toxic) FROM labels) * count(*))::DOUBLE AS weight FROM labels GROUP BY 1", "weight")
+def class_weights(t):
+    return metrics.class_weights(t("labels"), "toxic")
+
+
+@query("WITH c AS (SELECT toxic, count(*) AS n FROM labels GROUP BY 1) SELECT toxic, (SELECT max(n) FROM c) AS n FROM c")
+def resample_over(t):
+    return model.resample(t("labels"), "toxic", "doc_id", "over").groupBy("toxic").agg(F.count("*").alias("n"))
+
+
+@query("WITH c AS (SELECT toxic, count(*) AS n FROM labels GROUP BY 1) SELECT toxic, (SELECT min(n) FROM c) AS n FROM c")
+def resample_under(t):
+    return model.resample(t("labels"), "toxic", "doc_id", "under").groupBy("toxic").agg(F.count("*").alias("n"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max FROM events GROUP BY 1", "mean std min max")
+def windowed_events(t):
+    return windowed_profile(t("events"), "ts", "value").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("SELECT 'b' AS run, 0.9::DOUBLE AS number UNION ALL SELECT 'a', 0.7", "number")
+def runs_compared(t):
+    rows = [("e", "a", "metric", "f1", None, 0.5, 1.0), ("e", "a", "metric", "f1", None, 0.7, 2.0), ("e", "b", "metric", "f1", None, 0.9, 1.0), ("e", "c", "param", "f1", "x", None, 1.0)]
+    spark = t("region").sparkSession
+    return tracking.compare_runs(spark.createDataFrame(rows, tracking.EVENTS), "e", "f1")
+
+
+# y: 0.2 * 2 / 4; x: 0.3 for the bucket and 0.5 * (1 + 1) / 2 for the roles.
+@query("SELECT 'y' AS id, 0.1::DOUBLE AS distance UNION ALL SELECT 'x', 0.8", "distance")
+def cases_similar(t):
+    kind = "id string, row_bucket string, n_columns int, role_mix map<string,int>, task string, scope string"
+    rows = [("x", "small", 4, {"boolean": 4}, "classification", "private"), ("y", "tiny", 2, {"identifier": 2}, "classification", "private"), ("z", "tiny", 2, {"identifier": 2}, "regression", "private")]
+    cases = t("region").sparkSession.createDataFrame(rows, kind)
+    return tracking.similar_cases(cases, {"row_bucket": "tiny", "n_columns": 4, "role_mix": {"identifier": 2}}, "classification").select("id", "distance")
+
+
+@query()
+def cv_linear(t):
+    rows = split.random_folds(t("orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 7).alias("a"), F.length("o_orderpriority").alias("b")), "o_orderkey", 3)
+    return model.cross_validate(rows, ["a", "b"], "o_totalprice", "linear", "regression", with_train=True)
+
+
+@query()
+def cv_trees(t):
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice", (F.col("l_orderkey") % 3).cast("int").alias("fold"))
+    return model.cross_validate(rows, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "tree_ensemble", "regression", maxIter=5)
