@@ -60,7 +60,7 @@ def packed_bytes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def common_prefixes(packed: np.ndarray, order: np.ndarray, most: int, lanes: int = 2048) -> np.ndarray:
+def common_prefixes(packed: np.ndarray, order: np.ndarray, most: int, lanes: int = 16_384) -> np.ndarray:
     """Kasai: length of the common prefix of each suffix in `order` with the one before, up to `most`.
 
     The text is cut into lanes, each scanned from left to right with Kasai's rule that the length
