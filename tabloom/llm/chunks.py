@@ -122,8 +122,20 @@ def _key(doc_id: str, text: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), late)
 
 
-def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_run: int = MIN_RUN, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, columns named in keep, n_bytes, n_chunks, n_removed, n_runs, kept) for every row of docs.
+def _deduped(docs: DataFrame, doc_id: str, text: str, min_run: int, keep: tuple[str, ...]) -> DataFrame:
+    """dedup_substrings with the id as _id and the columns named in keep as _k0, _k1, ..."""
+    rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)))
+    rows = rows.withColumn("_key", _key("_id", "text"))
+    pairs = explode_rows(rows.where(F.octet_length("text") > 0).select("_key", "text"), _pairs, T.StructType([T.StructField("digest", T.LongType()), T.StructField("key", T.LongType())]))
+    owners = cut(pairs.groupBy("digest").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner < last").select("digest", "owner"))
+    gone = pairs.join(owners, "digest").where("key <> owner").groupBy("key").agg(F.collect_list("digest").alias("_gone"))
+    joined = rows.join(gone.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+    out = add_columns(joined, _removal(min_run), REMOVED, drop=("text", "_gone"))
+    return out.select("_id", *(f"_k{i}" for i in range(len(keep))), *(f.name for f in REMOVED))
+
+
+def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+    """(doc_id, n_bytes, n_chunks, n_removed, n_runs, kept) for every row of docs.
 
     kept is the text without its repeats: of every chunk that occurs more than once, in the same text
     or in others, the one place stays that comes first in the document of the smallest id, unless the
@@ -132,22 +144,16 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     document. Null texts have no chunks and come out empty; texts are cut between characters.
     An empty table gives no rows.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)))
-    rows = rows.withColumn("_key", _key("_id", "text"))
-    pairs = explode_rows(rows.where(F.octet_length("text") > 0).select("_key", "text"), _pairs, T.StructType([T.StructField("digest", T.LongType()), T.StructField("key", T.LongType())]))
-    owners = cut(pairs.groupBy("digest").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner < last").select("digest", "owner"))
-    gone = pairs.join(owners, "digest").where("key <> owner").groupBy("key").agg(F.collect_list("digest").alias("_gone"))
-    joined = rows.join(gone.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
-    out = add_columns(joined, _removal(min_run), REMOVED, drop=("text", "_gone"))
-    return out.select(F.col("_id").alias(doc_id), *(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), *(f.name for f in REMOVED))
+    return _deduped(docs, doc_id, text, min_run, ()).withColumnRenamed("_id", doc_id)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs, with their columns, whose texts have lost their repeats; n_chars follows if it is there. A
     document of which nothing but white space is left goes, unless it had nothing else before."""
     names = docs.columns
-    others = tuple(c for c in names if c not in ("doc_id", "text", "n_chars"))
-    out = dedup_substrings(docs, keep=others + (("n_chars",) if "n_chars" in names else ()))
-    out = out.where("n_removed = 0 or trim(kept) <> ''")
-    made = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
-    return out.select(*(made[c].alias(c) if c in made else F.col(f"`{c}`") for c in names))
+    others = tuple(c for c in names if c not in ("doc_id", "text"))
+    out = _deduped(docs, "doc_id", "text", MIN_RUN, others).where("n_removed = 0 or trim(kept) <> ''")
+    made = {"doc_id": F.col("_id"), "text": F.col("kept")} | {c: F.col(f"_k{i}") for i, c in enumerate(others)}
+    if "n_chars" in names:
+        made["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(made["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(made[c].alias(c) for c in names))

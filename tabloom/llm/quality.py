@@ -24,7 +24,8 @@ from tabloom.llm.docmap import add_columns
 BUCKETS = 1 << 16
 SAMPLE = 6_000
 SAMPLE_BYTES = 10_000
-EPOCHS, BATCH, RATE, DECAY = 20, 64, 0.1, 1e-5
+#: As many passes over the sample as make UPDATES steps of BATCH documents.
+UPDATES, BATCH, RATE, DECAY = 1_875, 64, 0.1, 1e-5
 #: What all n-grams of a text weigh together, beside each of its bins at 1.
 GRAM_WEIGHT = 20.0
 
@@ -92,7 +93,7 @@ def fit(ids: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, top
     start = np.log((1 - np.array(share)) / np.array(share))
     first, steps = start[0], np.log(np.maximum(np.diff(start), 0.05))
     seen_t = np.full(top, 1e-3)
-    for _ in range(EPOCHS):
+    for _ in range(-(-UPDATES * BATCH // max(len(grades), BATCH))):
         order = rng.permutation(len(grades))
         for begin in range(0, len(order), BATCH):
             rows = order[begin : begin + BATCH]

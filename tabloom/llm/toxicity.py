@@ -24,7 +24,8 @@ DIMENSION = 8
 GRAMS = (3, 4, 5)
 SAMPLE_PER_CLASS = 2_000
 SAMPLE_BYTES = 10_000
-EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.05, 1e-6
+#: As many passes over the sample as make UPDATES steps of BATCH documents.
+UPDATES, BATCH, RATE, DECAY = 750, 64, 0.05, 1e-6
 
 _EDGES = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -64,7 +65,7 @@ def fit(ids: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, pri
     seen_v, seen_s, seen_b = np.full(BUCKETS, 1e-3, np.float32), np.full_like(softmax, 1e-3), np.full_like(bias, 1e-3)
     shares = [(c / max(c.sum(), 1)).astype(np.float32) for c in counts]
     scale = np.float32(100.0)  # averages of thousands of n-grams are small
-    for _ in range(EPOCHS):
+    for _ in range(-(-UPDATES * BATCH // max(len(labels), BATCH))):
         order = rng.permutation(len(labels))
         for first in range(0, len(order), BATCH):
             rows = order[first : first + BATCH]
