@@ -139,4 +139,24 @@ ORACLES: dict[str, str] = {
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target,
                CAST(floor(u + step * k) - floor(u + step * (k - 1)) AS BIGINT) * size AS taken FROM r""",
+    "op9_minhash": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        e AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4
+                THEN list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingles
+            FROM d),
+        s AS (SELECT doc_id, unnest(shingles) AS shingle FROM e),
+        n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles FROM e),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+              FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+              WHERE 100 * common >= 80 * (x.n_shingles + y.n_shingles - common)),
+        u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS id, doc_id AS reached FROM n UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.reached)
+        SELECT doc_id, n_shingles, min(reached) AS component_id, doc_id = min(reached) AS kept
+        FROM n JOIN r ON r.id = n.doc_id GROUP BY doc_id, n_shingles""",
 }

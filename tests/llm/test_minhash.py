@@ -73,3 +73,13 @@ def test_edges(spark):
     assert near_duplicates(df.limit(0)).count() == 0
     left = drop_near_duplicates(df)
     assert left.columns == df.columns and sorted(r.kept for r in left.collect()) == [0, 1, 2, 4, 5, 6, 7, 9]
+
+
+def test_query_against_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.sql(queries.ORACLES["op9_minhash"])
+    assert want.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert sorted(map(tuple, queries.op9_minhash(spark, sf_dir).collect())) == sorted(want.fetchall())
