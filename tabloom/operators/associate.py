@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import corr
+from tabloom.functions.columns import corr, finite
+from tabloom.functions.tails import chi_square_tail, f_tail, ks_tail, normality_z, t_tail
 
 
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
@@ -87,6 +88,26 @@ def ks_two_samples(df: DataFrame, value: str, first: str) -> DataFrame:
     return steps.agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(F.abs(F.try_divide("ca", "n1") - F.try_divide("cb", "n2"))).alias("d"))
 
 
+def shift(df: DataFrame, value: str, first: str, alpha: float = 0.05) -> DataFrame:
+    """(n1, n2, d, p_value, shifted): whether the two samples of value come from different distributions."""
+    found = ks_two_samples(df, value, first).withColumn("p_value", ks_tail(F.col("d"), F.col("n1").cast("double"), F.col("n2")))
+    return found.withColumn("shifted", F.col("p_value") < alpha)
+
+
+def normality(df: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFrame:
+    """(column, n, k2, p_value, is_normal) by D'Agostino and Pearson's test, all columns in one aggregation.
+    With fewer than 8 values, or equal ones, k2 and p_value are null and is_normal is false."""
+    rows = []
+    for c in columns:
+        x = finite(F.col(f"`{c}`").cast("double"))
+        rows.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurtosis"), F.stddev_pop(x).alias("std")))
+    moments = df.agg(F.array(*rows).alias("all")).select(F.inline("all"))
+    # Null instead of n keeps untested columns out of formulas that divide by n - 3 and less.
+    tested = moments.select("column", F.col("n").alias("count"), F.when(F.expr("n >= 8 and std > 0"), F.col("n").cast("double")).alias("n"), "skew", "kurtosis")
+    tested = normality_z(tested).withColumn("k2", F.col("z1") * F.col("z1") + F.col("z2") * F.col("z2")).withColumn("p_value", F.exp(-F.col("k2") / 2))
+    return tested.select("column", F.col("count").alias("n"), "k2", "p_value", F.coalesce(F.col("p_value") > alpha, F.lit(False)).alias("is_normal"))
+
+
 def f_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """(column, f) of univariate regression on the target."""
     rows = []
@@ -98,19 +119,31 @@ def f_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
 
 def associate(df: DataFrame, a: str, b: str, a_numeric: bool, b_numeric: bool, weak: float = 0.1) -> dict:
     """The measure that fits both kinds, and mutual information too where it is weaker than `weak`."""
+    p_value = None  # where the test is not defined
     if a_numeric and b_numeric:
-        method, strength = "spearman", abs(spearman(df, a, b).first().rho)
+        found = spearman(df, a, b).first()
+        method, strength = "spearman", abs(found.rho)
+        if found.n > 2:
+            p_value = t_tail(found.rho * ((found.n - 2) / (1 - found.rho**2)) ** 0.5, found.n - 2) if strength < 1 else 0.0
     elif a_numeric or b_numeric:
         x, g = (a, b) if a_numeric else (b, a)
-        method, strength = "anova", (anova(df, g, x).first().eta2 or 0.0) ** 0.5
+        found = anova(df, g, x).first()
+        method, strength = "anova", (found.eta2 or 0.0) ** 0.5
+        if found.f is not None:
+            p_value = f_tail(found.f, found.k - 1, found.n - found.k)
     else:
-        method, strength = "cramers_v", cramers_v(df, a, b).first().v
-    out = {"method": method, "strength": strength, "escalated_to_mi": strength < weak}
+        found = cramers_v(df, a, b).first()
+        method, strength = "cramers_v", found.v or 0.0
+        if found.n and min(found.r, found.k) > 1:
+            p_value = chi_square_tail(found.chi2, (found.r - 1) * (found.k - 1))
+    out = {"method": method, "strength": strength, "p_value": p_value, "escalated_to_mi": strength < weak}
     if strength < weak:
         binned = df
         for c, number in ((a, a_numeric), (b, b_numeric)):
             if number:
                 edges = df.agg(F.percentile(F.col(c).cast("double"), [i / 10 for i in range(1, 10)]).alias("q")).first().q
-                binned = binned.withColumn(c, F.size(F.filter(F.array(*map(F.lit, edges)), lambda e, c=c: e < F.col(c))))
+                x = F.col(c)
+                below = sum((F.lit(e) < x).cast("int") for e in edges or [])
+                binned = binned.withColumn(c, below if edges else F.lit(None).cast("int"))
         out["mutual_information"] = mutual_information(binned, a, b).first().mi
     return out

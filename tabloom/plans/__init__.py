@@ -156,6 +156,33 @@ def shift_ks(t):
     return associate.ks_two_samples(t("lineitem").withColumn("first", F.col("l_linestatus") == "O"), "l_quantity", "first")
 
 
+KS_P = """WITH c AS (SELECT l_extendedprice AS v, count(*) FILTER (l_linenumber < 3)::DOUBLE AS a, count(*) FILTER (NOT l_linenumber < 3)::DOUBLE AS b FROM lineitem GROUP BY 1),
+    s AS (SELECT sum(a) OVER o AS ca, sum(b) OVER o AS cb, sum(a) OVER () AS n1, sum(b) OVER () AS n2 FROM c WINDOW o AS (ORDER BY v)),
+    d AS (SELECT max(n1) AS n1, max(n2) AS n2, max(abs(ca / n1 - cb / n2)) AS d FROM s), x AS (SELECT *, d * d * n1 * n2 / (n1 + n2) AS x2 FROM d),
+    p AS (SELECT n1, n2, d, CASE WHEN x2 < 0.04 THEN 1.0::DOUBLE ELSE greatest(0, least(1, (SELECT sum(CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE ELSE -2 END * exp(-2.0::DOUBLE * k * k * x2)) FROM range(1, 101) r(k)))) END AS p_value FROM x)
+    SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, d, p_value, p_value < 0.05 AS shifted FROM p"""
+
+
+@query(KS_P, "d p_value")
+def shift_test(t):
+    return associate.shift(t("lineitem").withColumn("first", F.col("l_linenumber") < 3), "l_extendedprice", "first")
+
+
+K2 = """WITH a AS (SELECT count(o_totalprice)::DOUBLE AS n, avg(o_totalprice) AS mu, var_pop(o_totalprice) AS v FROM orders),
+    g AS (SELECT any_value(n) AS n, avg(power((o_totalprice - mu) / sqrt(v), 3)) AS s, kurtosis_pop(o_totalprice) AS k FROM orders, a),
+    h AS (SELECT *, s * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w,
+                 (k + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
+                 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS r FROM g),
+    i AS (SELECT *, 6 + 8 / r * (2 / r + sqrt(1 + 4 / (r * r))) AS a FROM h), j AS (SELECT *, 1 + x * sqrt(2 / (a - 4)) AS b FROM i),
+    z AS (SELECT n, asinh(y / sqrt(2 / (w - 1))) / sqrt(ln(w) / 2) AS z1, (1 - 2 / (9 * a) - sign(b) * cbrt((1 - 2 / a) / abs(b))) / sqrt(2 / (9 * a)) AS z2 FROM j)
+    SELECT 'o_totalprice' AS "column", CAST(n AS BIGINT) AS n, z1 * z1 + z2 * z2 AS k2, exp(-(z1 * z1 + z2 * z2) / 2) AS p_value, exp(-(z1 * z1 + z2 * z2) / 2) > 0.05 AS is_normal FROM z"""
+
+
+@query(K2, "k2 p_value")
+def normality(t):
+    return associate.normality(t("orders"), ["o_totalprice"])
+
+
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", r * r * (n - 2) / (1 - r * r) AS f FROM (SELECT corr({c}, l_extendedprice) AS r, count(*) AS n FROM lineitem)" for c in ("l_quantity", "l_discount", "l_tax")), "f")
 def select_filter(t):
     return associate.f_scores(t("lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.operators import diagnose, metrics, model, prepare, split, tracking
+from tabloom.operators import associate, diagnose, metrics, model, prepare, split, tracking
 from tabloom.sources.tables import handle, load_dataset, load_part, save_split
 from tabloom.streaming.profile import windowed_profile
 
@@ -102,3 +102,39 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q = windowed_profile(stream, "ts", "value").writeStream.format("memory").queryName("p").outputMode("complete").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(str, spark.table("p").collect())) == sorted(map(str, windowed_profile(events, "ts", "value").collect()))
+
+
+def test_tails_have_their_published_values():
+    from tabloom.functions import tails
+
+    for got, want in [
+        (tails.chi_square_tail(3.841458820694124, 1), 0.05),
+        (tails.chi_square_tail(18.307038053275146, 10), 0.05),
+        (tails.chi_square_tail(2.0, 2), 0.36787944117144233),
+        (tails.t_tail(2.2281388519649385, 10), 0.05),
+        (tails.t_tail(-12.706204736432095, 1), 0.05),
+        (tails.f_tail(4.964602743730711, 1, 10), 0.05),
+        (tails.f_tail(1.0, 7, 7), 0.5),
+    ]:
+        assert got == pytest.approx(want, rel=1e-9)
+    assert tails.chi_square_tail(0, 3) == tails.f_tail(0, 2, 9) == 1.0
+
+
+def test_normality_of_few_equal_and_skewed_values(spark):
+    from statistics import NormalDist
+
+    bell = [NormalDist().inv_cdf((i + 0.5) / 500) for i in range(500)]
+    rows = [(bell[i], bell[i] ** 2, 1.0, float(i) if i < 7 else None, float("nan")) for i in range(500)]
+    got = {r.column: r for r in associate.normality(spark.createDataFrame(rows, "bell double, skewed double, same double, few double, none double"), ["bell", "skewed", "same", "few", "none"]).collect()}
+    assert got["bell"].is_normal and not got["skewed"].is_normal and got["skewed"].p_value < 1e-9
+    assert [(got[c].n, got[c].k2, got[c].is_normal) for c in ("same", "few", "none")] == [(500, None, False), (7, None, False), (0, None, False)]
+
+
+def test_shift_and_p_values_of_associations(spark):
+    rows = spark.range(2000).selectExpr("id % 2 = 0 AS first", "cast((id * 7919) % 1000 AS double) AS x", "cast((id * 7919) % 1000 + if(id % 2 = 0, 300, 0) AS double) AS y", "id % 3 AS g", "cast(id % 3 + (id * 31) % 7 AS double) AS z")
+    assert not associate.shift(rows, "x", "first").first().shifted
+    assert associate.shift(rows, "y", "first").first().shifted
+    assert associate.associate(rows, "g", "z", False, True)["p_value"] < 1e-9
+    assert associate.associate(rows, "x", "z", True, True)["p_value"] > 0.01
+    assert associate.associate(rows, "x", "x", True, True)["p_value"] == 0.0
+    assert associate.associate(rows, "g", "first", False, False)["p_value"] > 0.9
