@@ -1,8 +1,8 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
 Each shard (a few megabytes of whole documents, where Spark reads them) gets a suffix array over its
-words; every suffix of every benchmark item is binary-searched in it, which gives its longest
-verbatim match with places, and all places of every window. Documents are only read, so the operator
+words; every suffix of every benchmark item is binary-searched in it, which gives all places of every
+window, and the longest verbatim match of every place of the shard. Documents are only read, so the operator
 has no shuffle; a shard does not depend on others and is simply made again if its executor is lost.
 """
 
@@ -66,32 +66,43 @@ class Tests:
 
 
 def shard_matches(tests: Tests, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Places, lengths and items of all window occurrences; then, for test suffixes with a match,
-    place, length and item of their longest one."""
+    """Places, lengths and items of all window occurrences; then, for every place of the shard, the
+    length of its longest match with a test suffix (0 if none) and the first item that has it."""
     order = suffix_array(tokens, 1, tests.depth)
     n = len(tests.start)
     lo, hi = np.zeros(n, np.int64), np.full(n, len(order), np.int64)
-    longest, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
     found_lo, found_hi = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    longest, whose = np.zeros(len(order), np.int32), np.zeros(len(order), np.int64)
+    first_of = np.zeros(len(order) + 1, np.int64)
     alive = np.arange(n)
     first = tokens[order]
-    for depth in range(tests.depth):
+    depth = 0
+    while len(alive):
+        # Ranges of one depth are the same or disjoint. Suffixes that leave a range with the first of its
+        # test suffixes match `depth` words; those that another one takes further are set again later.
+        first_of[lo[alive[::-1]]] = alive[::-1]
+        heads = alive[first_of[lo[alive]] == alive]
+        old_lo, old_hi = lo[heads], hi[heads]
+        done = alive[tests.left[alive] <= depth]
+        hi[done] = lo[done]
         alive = alive[tests.left[alive] > depth]
-        if not len(alive):
-            break
         if depth == 0:
-            wanted = tests.tokens[tests.start]
-            lo, hi = np.searchsorted(first, wanted, "left"), np.searchsorted(first, wanted, "right")
+            wanted = tests.tokens[tests.start[alive]]
+            lo[alive], hi[alive] = np.searchsorted(first, wanted, "left"), np.searchsorted(first, wanted, "right")
         else:
             lo[alive], hi[alive] = search(tokens, order, tests.tokens, depth, tests.start[alive], lo[alive], hi[alive])
+            for begin, size in ((old_lo, lo[heads] - old_lo), (hi[heads], old_hi - hi[heads])):
+                slots = ranges(begin, size)
+                longest[slots], whose[slots] = depth, np.repeat(tests.item[heads], size)
         alive = alive[lo[alive] < hi[alive]]
-        longest[alive], place[alive] = depth + 1, order[lo[alive]]
         full = alive[tests.windowed[alive] & (tests.window[alive] == depth + 1)]
         found_lo[full], found_hi[full] = lo[full], hi[full]
+        depth += 1
     counts = found_hi - found_lo
     places = order[ranges(found_lo, counts)]
-    some = np.flatnonzero(longest > 0)
-    return places, np.repeat(tests.window, counts), np.repeat(tests.item, counts), place[some], longest[some], tests.item[some]
+    by_place = np.zeros(len(order), np.int32), np.zeros(len(order), np.int64)
+    by_place[0][order], by_place[1][order] = longest, whose
+    return places, np.repeat(tests.window, counts), np.repeat(tests.item, counts), *by_place
 
 
 def _lists(values: np.ndarray, rows: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
@@ -103,8 +114,8 @@ def _lists(values: np.ndarray, rows: np.ndarray, n: int, kind: pa.DataType) -> p
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, drop: tuple[str, ...] = ()) -> DataFrame:
     """Documents with what they share with the benchmark: n_words; hit_from and hit_to, the disjoint
     stretches of words [from, to) inside occurring windows; items, the distinct ids, as sorted
-    strings, of items with occurring windows; and the document's longest match found from a test
-    suffix: its words (0 if none), its first word and its item.
+    strings, of items with occurring windows; and the document's longest match with any item, the first
+    of them: its words (0 if none), its first word and an item that has it.
 
     Words are the runs of ASCII letters and digits and of characters from U+0080 on, with A-Z lower-cased.
     A window is `window` consecutive words of an item, or a whole item of fewer. Null and empty
@@ -127,7 +138,7 @@ def _kernel(tests: Tests, follows: bool):
     def kernel(data: np.ndarray, off: np.ndarray, rows: pa.RecordBatch) -> list[pa.Array]:
         tokens, at, n_words = tokens_of(data, off)
         n = len(n_words)
-        places, sizes, items, where, longest, whose = shard_matches(tests, tokens)
+        places, sizes, items, longest, whose = shard_matches(tests, tokens)
         change = np.zeros(len(tokens) + 1, np.int64)
         np.add.at(change, places, 1)
         np.add.at(change, places + sizes, -1)
@@ -149,13 +160,15 @@ def _kernel(tests: Tests, follows: bool):
         if follows:
             best, best_at = (rows.column(c).fill_null(-1).to_numpy().astype(np.int64) for c in ("longest", "longest_at"))
             best_item = np.array(rows.column("longest_item").to_pylist(), object)
-        if len(where):
+        if n:
+            most = np.maximum.reduceat(longest, at[:-1])  # every document has a token, the 0 after it
+            where = np.flatnonzero((longest > 0) & (longest == np.repeat(most, np.diff(at))))
             doc = np.searchsorted(at, where, "right") - 1
-            by = np.lexsort((where, -longest, doc))
-            top = by[np.append(True, np.diff(doc[by]) > 0)]  # the longest of each document, the first of them
-            top = top[longest[top] > best[doc[top]]]
-            d = doc[top]
-            best[d], best_at[d], best_item[d] = longest[top], where[top] - at[d], tests.names[whose[top]]
+            top = where[np.append(True, np.diff(doc) > 0)] if len(where) else where  # the first of each document
+            d = np.searchsorted(at, top, "right") - 1
+            better = (longest[top] > best[d]) | ((longest[top] == best[d]) & (top - at[d] < best_at[d]))
+            top, d = top[better], d[better]
+            best[d], best_at[d], best_item[d] = longest[top], top - at[d], tests.names[whose[top]]
         return [
             pa.array(n_words, pa.int64()),
             _lists(begin - at[row], row, n, pa.int32()),

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -91,3 +92,38 @@ def test_empty_tables(spark):
     docs, bench, *_ = small(spark)
     assert matches(docs.limit(0), bench).count() == 0
     assert {len(r["items"]) for r in matches(docs, bench.limit(0)).collect()} == {0}
+
+
+def longest_brute(text, items):
+    w, best = words(text), (0, None, set())
+    for k in range(len(w)):
+        for i, t in items:
+            v = words(t)
+            for j in range(len(v) if i is not None else 0):
+                n = 0
+                while k + n < len(w) and j + n < len(v) and w[k + n] == v[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, k, {str(i)})
+                elif n and (n, k) == best[:2]:
+                    best[2].add(str(i))
+    return best
+
+
+def test_longest_of_every_document(spark, monkeypatch):
+    long = " ".join(f"w{i}" for i in range(50))
+    copies = [f"a {long} b", f"a {long} b", f"x y {long}", " ".join(f"w{i}" for i in range(12)) + " z", "w3 w4 q w48 w49 q w0", "z " + " ".join(f"w{i}" for i in range(20, 35)), "r r r r r", "r r", "", None, "none", "w49"]
+    items = [(1, long), (2, "w20 w21 w22 w23 w99 r r r"), (3, "w3 w4 q w48"), (None, "none"), (4, None), (5, "r r r r r r r")]
+    rng = random.Random(1)
+    copies += [" ".join(rng.choices("abcr", k=rng.randint(1, 40))) for _ in range(60)]
+    items += [(10 + k, " ".join(rng.choices("abcr", k=rng.randint(1, 25)))) for k in range(12)]
+    docs = spark.createDataFrame(list(enumerate(copies)), "doc_id int, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (1 << 20, 100):
+        monkeypatch.setattr("tabloom.llm.decontaminate.BLOCK_BYTES", block)
+        got = matches(docs, bench).collect()
+        assert len(got) == len(copies)
+        for r in got:
+            n, at, names = longest_brute(copies[r.doc_id], items)
+            assert (r.longest, r.longest_at) == (n, at), r
+            assert r.longest_item in names if n else r.longest_item is None
