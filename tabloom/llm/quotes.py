@@ -66,8 +66,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """
     rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", own_text().alias("content"), passages().alias("_p"))
     rows = rows.withColumn("n_quotes", F.size(F.filter("_p", lambda p: p["level"] > 0)).cast("long"))
-    known = messages.where("conv_id is not null and turn is not null")
-    known = known.select("conv_id", F.col("turn").cast("long").alias("turn"), F.posexplode(passages()).alias("n", "p"))
+    placed = messages.where("conv_id is not null and turn is not null")
+    known = placed.select("conv_id", F.col("turn").cast("long").alias("turn"), F.posexplode(passages()).alias("n", "p"))
     whole = F.array_join("p.lines", " ")
     pieces = known.select("conv_id", "turn", "n", F.col("p.level").alias("level"), F.explode(F.array_distinct(F.concat(F.array(whole), F.col("p.lines")))).alias("piece"))
     pieces = pieces.select("conv_id", "turn", "n", "level", F.xxhash64("piece").alias("hash"), F.length("piece").cast("long").alias("size"))
@@ -93,7 +93,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
             break
         chain = chain.drop("moved")
 
-    follows = known.select("conv_id", (F.col("turn") + 1).alias("turn")).distinct().withColumn("_follows", F.lit(True))
+    follows = placed.select("conv_id", (F.col("turn").cast("long") + 1).alias("turn")).distinct().withColumn("_follows", F.lit(True))
     facts = links.join(found, ["conv_id", "turn"]).join(chain.select("conv_id", "turn", "up", "d"), ["conv_id", "turn"])
     out = rows.join(facts, ["conv_id", "turn"], "left").join(follows, ["conv_id", "turn"], "left")
     before = F.when(F.col("_follows"), F.col("turn") - 1)

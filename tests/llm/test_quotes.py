@@ -34,6 +34,14 @@ def test_links(spark):
     assert order == [0, 2, 3, 5, 1, 4]
 
 
+def test_turn_after_an_empty_one(spark):
+    texts = ["Hello", None, "after null", "", "after empty", " \t", "after space", "> \n>>", "after marks"]
+    rows = [(1, i, "user", x) for i, x in enumerate(texts)] + [(2, 0, "user", None), (2, 2, "user", "after a gap")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.root, r.depth) for r in link_quotes(df).collect()}
+    assert got == {(1, i): (i - 1 if i else None, i, 0) for i in range(len(texts))} | {(2, 0): (None, 0, 0), (2, 2): (None, 2, 0)}
+
+
 def test_long_chain(spark):
     rows = [(1, i, "user", (f"> message {i - 1}\n" if i else "") + f"message {i}", 1) for i in range(40)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, root int")
