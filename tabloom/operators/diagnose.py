@@ -5,12 +5,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.columns import corr, outside, skew
 
+#: Ranges in which the distinct values of string columns are numbered.
+RANGES = 64
+TIMED = (T.TimestampType, T.TimestampNTZType, T.DateType, T.StringType)
 VOCABULARIES = [["true", "false"], ["yes", "no"], ["0", "1"], ["1", "2"]]
 
 
@@ -115,17 +118,55 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
     return counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
 
 
+def with_codes(values: DataFrame) -> DataFrame:
+    """values, whose (column, value) are distinct, with code: the number of smaller known values of the column,
+    -1 for null. Values are counted by range and numbered within a range, so no task sees a whole column."""
+    known = values.where("value is not null")
+    some = known.orderBy(F.xxhash64("column", "value"), "column", "value").limit(32 * RANGES).select("column", F.left("value", F.lit(200)).alias("value")).collect()
+    cuts = sorted(set(some))[:: max(1, len(some) // RANGES)]
+    bounds = F.array(*(F.struct(F.lit(r.column).alias("column"), F.lit(r.value).alias("value")) for r in cuts))
+    key = F.struct("column", "value")
+    known = known.withColumn("_b", F.size(F.filter(bounds, lambda x: x <= key)) if cuts else F.lit(0))
+    upto = Window.partitionBy("column").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = known.groupBy("column", "_b").agg(F.count("*").alias("_n")).select("column", "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("column", "_b").orderBy("value")) - 1
+    known = known.withColumn("_i", inside).join(F.broadcast(before), ["column", "_b"])
+    return known.select(*values.columns, (F.col("_before") + F.col("_i")).alias("code")).unionByName(values.where("value is null").withColumn("code", F.lit(-1).cast("long")))
+
+
 def missingness(df: DataFrame) -> DataFrame:
-    """Of each column with missing values: their share and the largest |r| between its null mask and another numeric column."""
+    """Of each column with missing values: their share and the largest |r| between its null mask and another column:
+    numbers as they are, strings and booleans as the codes of their sorted values (null: -1)."""
     rows = []
     for c in df.columns:
         mask = F.col(f"`{c}`").isNull().cast("double")
         others = [F.abs(corr(mask, F.col(f"`{o}`"))) for o in numeric(df) if o != c]
-        rows.append(F.struct(F.lit(c).alias("column"), (F.count("*") - F.count(F.col(f"`{c}`"))).alias("missing"), (100 * F.avg(mask)).alias("missing_pct"), F.greatest(*others, F.lit(0.0)).alias("max_abs_r")))
+        rows.append(F.struct(F.lit(c).alias("column"), (F.count("*") - F.count(F.col(f"`{c}`"))).alias("missing"), (100 * F.avg(mask)).alias("missing_pct"), F.greatest(*others, F.lit(0.0), F.lit(0.0)).alias("max_abs_r")))
     out = df.agg(F.array(*rows).alias("all")).select(F.inline("all")).where("missing > 0")
+    texts = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.CharType, T.VarcharType, T.BooleanType))]
+    if texts and (gaps := [r.column for r in out.select("column").collect()]):
+        by_code = _mask_by_code(df, texts, gaps)
+        out = out.join(F.broadcast(by_code), "column", "left").select("column", "missing", "missing_pct", F.greatest("max_abs_r", "_r").alias("max_abs_r"))
     return out.withColumn("likely_mar", F.col("max_abs_r") >= 0.3)
 
 
+def _mask_by_code(df: DataFrame, texts: list[str], gaps: list[str]) -> DataFrame:
+    """(column, _r) of each of the columns gaps: the largest |r| of its null mask with the codes of another one of texts."""
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in texts]
+    masks = [F.col(f"`{g}`").isNull().cast("long").alias(f"_m{i}") for i, g in enumerate(gaps)]
+    values = df.select(F.explode(F.array(*pairs)).alias("p"), *masks).groupBy("p.column", "p.value").agg(F.count("*").alias("_n"), *(F.sum(f"_m{i}").alias(f"_m{i}") for i in range(len(gaps))))
+    x = F.col("code").cast("double")
+    n, m = F.sum("_n").cast("double"), F.sum(x * F.col("_n"))
+    spread = F.sum(x * x * F.col("_n")) - m * m / n
+    found = []
+    for i, g in enumerate(gaps):
+        k = F.sum(f"_m{i}").cast("double")
+        r = F.when(F.count("*") > 1, F.abs(F.try_divide(F.sum(x * F.col(f"_m{i}")) - m * k / n, F.sqrt(spread * (k - k * k / n)))))
+        found.append(F.struct(F.lit(g).alias("gap"), r.alias("_r")))
+    each = with_codes(values).groupBy("column").agg(F.array(*found).alias("all")).select("column", F.inline("all"))
+    return each.where("column <> gap").groupBy(F.col("gap").alias("column")).agg(F.max("_r").alias("_r"))
+
+
 def outliers(df: DataFrame, columns: list[str], method: str = "iqr") -> DataFrame:
     """(column, lower, upper, n_outliers) by Tukey's fence or by three standard deviations."""
     if method not in ("iqr", "zscore"):
@@ -144,15 +185,21 @@ def outliers(df: DataFrame, columns: list[str], method: str = "iqr") -> DataFram
     return bounds.join(found, "column", "left").select("column", "lower", "upper", F.coalesce("n", F.lit(0)).alias("n_outliers"))
 
 
+def _time(df: DataFrame, column: str) -> Column:
+    x = F.col(f"`{column}`")
+    return F.try_to_timestamp(x) if isinstance(df.schema[column].dataType, T.StringType) else x
+
+
 def leakage(df: DataFrame, target: str, outcome_time: str | None = None, threshold: float = 0.98) -> DataFrame:
-    """(column, unique_ratio, abs_r, after_outcome, suspects) for every other column."""
+    """(column, unique_ratio, abs_r, after_outcome, suspects) for every other column. Strings are compared with the
+    outcome's time where they can be read as a time."""
     rows, numbers = [], numeric(df)
     for c in [c for c in df.columns if c not in (target, outcome_time)]:
         x = F.col(f"`{c}`")
         ratio = F.round(F.count_distinct(x) / F.count("*"), 4)
         r = F.abs(corr(x, F.col(f"`{target}`"))) if c in numbers and target in numbers else F.lit(None).cast("double")
-        timed = outcome_time and isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
-        after = F.avg(F.coalesce((x > F.col(outcome_time)).cast("double"), F.lit(0.0))) if timed else F.lit(None).cast("double")
+        timed = outcome_time and isinstance(df.schema[c].dataType, TIMED)
+        after = F.avg(F.coalesce((_time(df, c) > _time(df, outcome_time)).cast("double"), F.lit(0.0))) if timed else F.lit(None).cast("double")
         why = F.array_compact(F.array(F.when(ratio > 0.95, "identifier_like"), F.when(r >= threshold, "high_correlation"), F.when(after > 0.5, "timestamped_after_outcome")))
         rows.append(F.struct(F.lit(c).alias("column"), ratio.alias("unique_ratio"), F.round(r, 4).alias("abs_r"), F.round(after, 4).alias("after_outcome"), F.array_join(why, ",").alias("suspects")))
     return df.agg(F.array(*rows).alias("all")).select(F.inline("all"))

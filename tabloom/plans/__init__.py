@@ -93,6 +93,14 @@ def missingness(t):
     return diagnose.missingness(_taxed(t))
 
 
+# The mask follows the flag, which no number tells; as a text, the order's key has a value for every four rows or so.
+@query("""WITH x AS (SELECT l_linenumber, l_returnflag, l_linestatus, CAST(l_orderkey AS VARCHAR) AS k, CASE WHEN l_returnflag <> 'N' THEN l_tax END AS tax FROM lineitem),
+    c AS (SELECT *, dense_rank() OVER (ORDER BY l_returnflag) AS a, dense_rank() OVER (ORDER BY l_linestatus) AS b, dense_rank() OVER (ORDER BY k) AS d, (tax IS NULL)::INT::DOUBLE AS m FROM x)
+    SELECT 'tax' AS "column", count(*) - count(tax) AS missing, 100.0::DOUBLE * avg(m) AS missing_pct, greatest(abs(corr(m, l_linenumber)), abs(corr(m, a)), abs(corr(m, b)), abs(corr(m, d))) AS max_abs_r, max_abs_r >= 0.3 AS likely_mar FROM c""", "missing_pct max_abs_r")
+def missingness_categories(t):
+    return diagnose.missingness(t("lineitem").select("l_linenumber", "l_returnflag", "l_linestatus", F.col("l_orderkey").cast("string").alias("k"), F.expr("CASE WHEN l_returnflag <> 'N' THEN l_tax END").alias("tax")))
+
+
 BOUNDS = """WITH b AS ({b}) SELECT 'value' AS "column", lower, upper, (SELECT count(*) FROM events, b WHERE value < lower OR value > upper) AS n_outliers FROM b"""
 
 

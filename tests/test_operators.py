@@ -35,6 +35,29 @@ def test_diagnostics(frame):
         diagnose.outliers(frame, ["x"], "other")
 
 
+def test_missing_by_category(spark):
+    rows = [("xyz"[i % 3] if i % 11 else None, None if i % 3 == 2 else 1.0, i % 2 == 0, None if i % 2 else f"t{i % 50:03d}", "same", i) for i in range(330)]
+    df = spark.createDataFrame(rows, "flag string, v double, b boolean, t string, same string, i int").repartition(3)
+    frame = df.toPandas()
+    code = lambda c: frame[c].map({v: k for k, v in enumerate(sorted(frame[c].dropna().unique()))}).fillna(-1).astype(float)
+    got = {r.column: r for r in diagnose.missingness(df).collect()}
+    assert set(got) == {"flag", "v", "t"}
+    for c in got:
+        mask = frame[c].isna().astype(float)
+        others = [code(o) if o in ("flag", "b", "t") else frame[o] for o in ("flag", "b", "t", "v", "i") if o != c]
+        assert got[c].max_abs_r == pytest.approx(max(abs(r) for r in map(mask.corr, others) if r == r))
+    assert got["v"].likely_mar and got["t"].likely_mar and not got["flag"].likely_mar
+    assert {r.column: r.max_abs_r for r in diagnose.missingness(df.select("v", "same")).collect()} == {"v": 0.0}
+
+
+def test_leaking_date_as_text(spark):
+    rows = [("2024-03-01", "2024-02-01", "word", f"2024-01-0{i}", i) for i in range(1, 10)]
+    df = spark.createDataFrame(rows, "late string, early string, note string, outcome string, y int")
+    for data in (df, df.withColumn("outcome", F.to_date("outcome"))):
+        got = {r.column: (r.after_outcome, r.suspects) for r in diagnose.leakage(data.withColumn("early", F.lit("2023-01-01")), "y", "outcome").collect()}
+        assert got == {"late": (1.0, "timestamped_after_outcome"), "early": (0.0, ""), "note": (0.0, "")}
+
+
 def test_splits_are_stable_and_disjoint(spark, frame):
     for make in (lambda d: split.random_split(d, "id"), lambda d: split.stratified_split(d, "id", "c"), lambda d: split.group_split(d, "group by"), lambda d: split.split_dataset(d, "id", "c")):
         a = {r.id: r.part for r in make(frame).collect()}
