@@ -23,8 +23,8 @@ def get_model(family: str, task: str, n_classes: int = 2, **params: object) -> E
     table = {
         ("linear", "regression"): LinearRegression(regParam=1e-3, elasticNetParam=0.0),
         ("linear", "classification"): LogisticRegression(regParam=1e-3, maxIter=100),
-        ("tree_ensemble", "regression"): GBTRegressor(maxIter=20, stepSize=0.1, seed=42),
-        ("tree_ensemble", "classification"): GBTClassifier(maxIter=20, stepSize=0.1, seed=42) if n_classes <= 2 else RandomForestClassifier(numTrees=100, seed=42),
+        ("tree_ensemble", "regression"): GBTRegressor(maxIter=200, stepSize=0.1, seed=42),
+        ("tree_ensemble", "classification"): GBTClassifier(maxIter=200, stepSize=0.1, seed=42) if n_classes <= 2 else RandomForestClassifier(numTrees=200, seed=42),
     }
     if (family, task) not in table:
         raise ValueError(f"no model {family} for {task}")
@@ -141,7 +141,7 @@ def select_features(df: DataFrame, features: list[str], target: str, task: str,
         return features
     method = ("embedded" if len(features) > 50 else "filter") if method == "auto" else method
     keep = max(1, int(share * len(features)))
-    forest = lambda names: dict(zip(names, Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_f", handleInvalid="keep"), (RandomForestRegressor if task == "regression" else RandomForestClassifier)(labelCol=target, featuresCol="_f", numTrees=100, seed=42)]).fit(df).stages[-1].featureImportances.toArray(), strict=True))
+    forest = lambda names: dict(zip(names, Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_f", handleInvalid="keep"), (RandomForestRegressor if task == "regression" else RandomForestClassifier)(labelCol=target, featuresCol="_f", numTrees=200, seed=42)]).fit(df).stages[-1].featureImportances.toArray(), strict=True))
     if method == "filter":
         found = {r.column: r.f for r in f_scores(df, features, target).collect()} if task == "regression" else {c: anova(df, target, c).first().f for c in features}
     elif method == "embedded":

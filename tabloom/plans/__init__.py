@@ -425,6 +425,12 @@ def runs_compared(t):
     return tracking.compare_runs(spark.createDataFrame(rows, tracking.EVENTS), "e", "f1")
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS run, arg_max_null(value, event_id) AS number FROM events WHERE event_type = 'click' GROUP BY 1", "number")
+def runs_compared_events(t):
+    rows = t("events").select(F.col("event_type").alias("experiment"), F.col("user_id").cast("string").alias("run"), F.lit("metric").alias("kind"), F.lit("value").alias("key"), F.lit(None).cast("string").alias("value"), F.col("value").alias("number"), F.col("event_id").cast("double").alias("at"))
+    return tracking.compare_runs(rows, "click", "value")
+
+
 # y: 0.2 * 2 / 4; x: 0.3 for the bucket and 0.5 * (1 + 1) / 2 for the roles.
 @query("SELECT 'y' AS id, 0.1::DOUBLE AS distance UNION ALL SELECT 'x', 0.8", "distance")
 def cases_similar(t):
@@ -434,6 +440,16 @@ def cases_similar(t):
     return tracking.similar_cases(cases, {"row_bucket": "tiny", "n_columns": 4, "role_mix": {"identifier": 2}}, "classification").select("id", "distance")
 
 
+@query("""WITH c AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 4 AS bucket, o_custkey % 10 + 1 AS n, (o_orderkey % 3)::DOUBLE AS a, (o_custkey % 4)::DOUBLE AS b FROM orders WHERE o_orderstatus = 'F')
+    SELECT id, round(0.3::DOUBLE * abs(bucket - 1) + 0.2::DOUBLE * abs(n - 4) / greatest(n, 4) + 0.5::DOUBLE * (abs(0.5::DOUBLE - a / greatest(a + b, 1)) + abs(0.5::DOUBLE - b / greatest(a + b, 1))) / 2, 4) AS distance FROM c ORDER BY 2, 1 LIMIT 5""", "distance")
+def cases_similar_orders(t):
+    mix = F.create_map(F.lit("boolean"), (F.col("o_orderkey") % 3).cast("int"), F.lit("identifier"), (F.col("o_custkey") % 4).cast("int"))
+    bucket = F.element_at(F.array(*map(F.lit, tracking.BUCKETS)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    task = F.when(F.col("o_orderstatus") == "F", "classification").otherwise("regression")
+    cases = t("orders").select(F.col("o_orderkey").cast("string").alias("id"), bucket.alias("row_bucket"), (F.col("o_custkey") % 10 + 1).cast("int").alias("n_columns"), mix.alias("role_mix"), task.alias("task"), F.lit("private").alias("scope"))
+    return tracking.similar_cases(cases, {"row_bucket": "small", "n_columns": 4, "role_mix": {"boolean": 2, "identifier": 2}}, "classification").select("id", "distance")
+
+
 @query()
 def cv_linear(t):
     rows = split.random_folds(t("orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 7).alias("a"), F.length("o_orderpriority").alias("b")), "o_orderkey", 3)
@@ -443,4 +459,4 @@ def cv_linear(t):
 @query()
 def cv_trees(t):
     rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice", (F.col("l_orderkey") % 3).cast("int").alias("fold"))
-    return model.cross_validate(rows, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "tree_ensemble", "regression", maxIter=5)
+    return model.cross_validate(rows, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "tree_ensemble", "regression")

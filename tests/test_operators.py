@@ -161,3 +161,17 @@ def test_shift_and_p_values_of_associations(spark):
     assert associate.associate(rows, "x", "z", True, True)["p_value"] > 0.01
     assert associate.associate(rows, "x", "x", True, True)["p_value"] == 0.0
     assert associate.associate(rows, "g", "first", False, False)["p_value"] > 0.9
+
+
+def test_rounds_and_trees_of_the_reference(spark, monkeypatch):
+    assert model.get_model("tree_ensemble", "regression").getMaxIter() == 200
+    assert model.get_model("tree_ensemble", "classification").getMaxIter() == 200
+    assert model.get_model("tree_ensemble", "classification", n_classes=3).getNumTrees() == 200
+    trees = []
+    for kind in ("RandomForestRegressor", "RandomForestClassifier"):
+        real = getattr(model, kind)
+        monkeypatch.setattr(model, kind, lambda real=real, **p: (trees.append(p["numTrees"]), real(**p | {"numTrees": 2}))[1])
+    rows = spark.createDataFrame([(float(i), float(i % 3), i % 2) for i in range(40)], "a double, b double, y int")
+    for task in ("regression", "classification"):
+        model.select_features(rows, ["a", "b"], "y", task, "embedded")
+    assert trees == [200, 200]
