@@ -42,8 +42,18 @@ def score(predicted: DataFrame, target: str, task: str) -> dict[str, float]:
     if task == "regression":
         return metrics.regression(predicted, target, "prediction").first().asDict()
     out = metrics.classification(predicted.withColumn("prediction", F.col("prediction").cast("int")), target, "prediction").first().asDict()
-    auc = metrics.roc_auc(predicted.withColumn("_s", vector_to_array("probability")[1]), target, "_s").first()
-    return out | ({"roc_auc": auc.auc} if auc.auc is not None else {})
+    auc = _auc(predicted.withColumn("_p", vector_to_array("probability")), target)
+    return out | ({"roc_auc": auc} if auc is not None else {})
+
+
+def _auc(predicted: DataFrame, target: str) -> float | None:
+    """Of two classes that of class 1; of more the mean over classes, each against the rest. None if a class is absent."""
+    row = predicted.select(F.size("_p").alias("n")).first()
+    if row is None or row.n <= 2:
+        return metrics.roc_auc(predicted.withColumn("_s", F.col("_p")[1]), target, "_s").first().auc if row else None
+    hit = lambda c: predicted.select((F.col(f"`{target}`") == c).cast("int").alias("y"), F.col("_p")[c].alias("s"))
+    each = [metrics.roc_auc(hit(c), "y", "s").first().auc for c in range(row.n)]
+    return None if None in each else sum(each) / len(each)
 
 
 def cross_validate(df: DataFrame, features: list[str], target: str, family: str, task: str, fold: str = "fold", with_train: bool = False, **params: object) -> DataFrame:

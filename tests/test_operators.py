@@ -175,3 +175,17 @@ def test_rounds_and_trees_of_the_reference(spark, monkeypatch):
     for task in ("regression", "classification"):
         model.select_features(rows, ["a", "b"], "y", task, "embedded")
     assert trees == [200, 200]
+
+
+def test_auc_of_three_classes(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i % 3, float(i % 2), Vectors.dense([(i * 7 % 10) / 20, (i * 3 % 11) / 30, 1 - (i * 7 % 10) / 20 - (i * 3 % 11) / 30])) for i in range(30)]
+    df = spark.createDataFrame(rows, ["y", "prediction", "probability"])
+
+    def auc(c):
+        pairs = [(a[2][c], b[2][c]) for a in rows for b in rows if a[0] == c and b[0] != c]
+        return sum(1.0 if p > q else 0.5 if p == q else 0.0 for p, q in pairs) / len(pairs)
+
+    assert model.score(df, "y", "classification")["roc_auc"] == pytest.approx(sum(map(auc, range(3))) / 3)
+    assert "roc_auc" not in model.score(df.where("y < 2"), "y", "classification")
