@@ -1,20 +1,14 @@
-"""Associations and tests between columns. Ranks and distributions are taken over distinct values with
-cumulative counts, so a window sees one row for each distinct value, not each row."""
+"""Associations and tests between columns. Ranks and distributions are taken over counts of distinct values, in
+ranges of values, so no task sees a whole column; tables of categories are never filled up to a grid."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import corr, finite
 from tabloom.functions.tails import chi_square_tail, f_tail, ks_tail, normality_z, t_tail
-
-
-def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """(value, rank): the average rank of each distinct value."""
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select("value", (upto - (F.col("n") - 1) / 2.0).alias("rank"))
+from tabloom.operators.ranges import average_ranks, quantiles, running, with_range
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -30,23 +24,29 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, n) of all cells of the grid of known values, with 0 for absent ones."""
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
-    grid = cells.select("a").distinct().join(cells.select("b").distinct())  # categories, not rows
-    return grid.join(cells, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
+    """(a, b, n) of the cells of known values that occur."""
+    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+
+
+def _with_totals(cells: DataFrame) -> DataFrame:
+    """cells with the totals ra and cb of their row and column."""
+    rows, columns = (cells.groupBy(c).agg(F.sum("n").alias(t)) for c, t in (("a", "ra"), ("b", "cb")))
+    return cells.join(rows, "a").join(columns, "b")
 
 
 def chi_square(cells: DataFrame) -> DataFrame:
-    """(n, r, k, chi2) of a grid of cells; Yates's correction for 2 x 2."""
-    all_, rows, columns = Window.partitionBy(), Window.partitionBy("a"), Window.partitionBy("b")
-    with_sums = cells.select(
-        "n", F.sum("n").over(rows).alias("ra"), F.sum("n").over(columns).alias("cb"), F.sum("n").over(all_).alias("t"),
-        F.size(F.collect_set("a").over(all_)).alias("r"), F.size(F.collect_set("b").over(all_)).alias("k"),
-    )
+    """(n, r, k, chi2) of the cells that occur; Yates's correction for 2 x 2. An absent cell adds its expectation e,
+    and all expectations add up to n, so absent ones need no rows."""
+    rows, columns = (cells.groupBy(c).agg(F.sum("n").alias("m")) for c in ("a", "b"))
+    sides = rows.agg(F.sum("m").alias("t"), F.count("*").cast("int").alias("r"), F.sum(1.0 / F.col("m")).alias("ir")).join(F.broadcast(columns.agg(F.count("*").cast("int").alias("k"), F.sum(1.0 / F.col("m")).alias("ic"))))
     e = F.col("ra") * F.col("cb") / F.col("t")
-    off = F.abs(F.col("n") - e)
-    off = F.when((F.col("r") == 2) & (F.col("k") == 2), F.greatest(off - 0.5, F.lit(0.0))).otherwise(off)
-    return with_sums.select("t", "r", "k", (off * off / e).alias("x")).agg(F.max("t").alias("n"), F.max("r").alias("r"), F.max("k").alias("k"), F.sum("x").alias("chi2"))
+    off = F.col("n") - e
+    found = _with_totals(cells).join(F.broadcast(sides.select("t"))).agg(F.sum(off * off / e).alias("x"), F.sum(e).alias("e"), F.max(F.abs(off)).alias("off"))
+    # In a 2 x 2 table all cells are equally far off, and 1 / e adds up to n times the sums of 1 / total.
+    yates = F.pow(F.greatest(F.col("off") - 0.5, F.lit(0.0)), 2) * F.col("t") * F.col("ir") * F.col("ic")
+    plain = F.col("x") + F.greatest(F.col("t") - F.col("e"), F.lit(0.0))
+    chi2 = F.when((F.col("r") == 2) & (F.col("k") == 2), yates).otherwise(plain)
+    return sides.join(F.broadcast(found)).select(F.col("t").alias("n"), "r", "k", chi2.alias("chi2"))  # one row each
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -73,19 +73,17 @@ def anova(df: DataFrame, category: str, value: str) -> DataFrame:
 
 def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """Plug-in estimate in nats over known pairs."""
-    cells = contingency(df, a, b).where("n > 0")
-    t = F.sum("n").over(Window.partitionBy())
-    ra, cb = F.sum("n").over(Window.partitionBy("a")), F.sum("n").over(Window.partitionBy("b"))
-    return cells.select((F.col("n") / t * F.log(F.col("n") * t / (ra * cb))).alias("x")).agg(F.sum("x").alias("mi"))
+    n, t = F.col("n"), F.col("t")
+    cells = _with_totals(contingency(df, a, b)).select("n", (n * F.log(n / (F.col("ra") * F.col("cb")))).alias("x"))
+    return cells.agg(F.sum("n").alias("t"), F.sum("x").alias("x")).select((F.col("x") / t + F.log(t)).alias("mi"))
 
 
 def ks_two_samples(df: DataFrame, value: str, first: str) -> DataFrame:
     """(n1, n2, d): first is a boolean column that tells the samples apart."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(first)).alias("a"), F.count_if(~F.col(first)).alias("b"))
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    steps = counts.select(F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb"), F.sum("a").over(every).alias("n1"), F.sum("b").over(every).alias("n2"))
-    return steps.agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(F.abs(F.try_divide("ca", "n1") - F.try_divide("cb", "n2"))).alias("d"))
+    known = with_range(df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.col(first).alias("f")), "v", "_b")
+    counts = known.groupBy("_b", "v").agg(F.count_if("f").alias("a"), F.count_if(~F.col("f")).alias("b"))
+    steps = running(counts, ["v"], ["a", "b"])
+    return steps.agg(F.max("all_a").alias("n1"), F.max("all_b").alias("n2"), F.max(F.abs(F.try_divide("upto_a", "all_a") - F.try_divide("upto_b", "all_b"))).alias("d"))
 
 
 def shift(df: DataFrame, value: str, first: str, alpha: float = 0.05) -> DataFrame:
@@ -141,7 +139,7 @@ def associate(df: DataFrame, a: str, b: str, a_numeric: bool, b_numeric: bool, w
         binned = df
         for c, number in ((a, a_numeric), (b, b_numeric)):
             if number:
-                edges = df.agg(F.percentile(F.col(c).cast("double"), [i / 10 for i in range(1, 10)]).alias("q")).first().q
+                edges = quantiles(df, [c], [i / 10 for i in range(1, 10)])[c]
                 x = F.col(c)
                 below = sum((F.lit(e) < x).cast("int") for e in edges or [])
                 binned = binned.withColumn(c, below if edges else F.lit(None).cast("int"))

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.columns import corr, outside, skew
+from tabloom.operators.ranges import counted, quantiles, quantiles_of, with_codes
 
-#: Ranges in which the distinct values of string columns are numbered.
-RANGES = 64
 TIMED = (T.TimestampType, T.TimestampNTZType, T.DateType, T.StringType)
 VOCABULARIES = [["true", "false"], ["yes", "no"], ["0", "1"], ["1", "2"]]
 
@@ -28,16 +27,67 @@ def long_form(df: DataFrame, columns: list[str], kind: str = "double") -> DataFr
 
 
 def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row a column: n, missing, n_unique, min, max, mean, std, skew, kurtosis, q1, median, q3."""
+    """One row a column: n, missing, n_unique, min, max, mean, std, skew, kurtosis, q1, median, q3. Moments come from
+    one aggregation of rows, the rest from the counts of values."""
+    columns = columns or numeric(df)
     parts = []
-    for c in columns or numeric(df):
+    for c in columns:
         x = F.col(f"`{c}`").cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         parts.append(F.struct(
-            F.lit(c).alias("column"), F.count("*").alias("n"), (F.count("*") - F.count(x)).alias("missing"), F.count_distinct(x).alias("n_unique"), F.min(x).alias("min"), F.max(x).alias("max"),
-            F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), skew(x).alias("skew"), F.kurtosis(x).alias("kurtosis"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"),
+            F.lit(c).alias("column"), F.count("*").alias("n"), (F.count("*") - F.count(x)).alias("missing"), F.min(x).alias("min"), F.max(x).alias("max"),
+            F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), skew(x).alias("skew"), F.kurtosis(x).alias("kurtosis"),
         ))
-    return df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
+    moments = df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
+    counts = quantiles_of(counted(df, columns), [0.25, 0.5, 0.75]).select("column", "n_unique", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    joined = moments.join(F.broadcast(counts), "column", "left")  # a row for each column
+    return joined.select("column", "n", "missing", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "min", "max", "mean", "std", "skew", "kurtosis", "q1", "median", "q3")
+
+
+def profile_dataset(df: DataFrame, depth: str = "full") -> DataFrame:
+    """One row a column of any type: column, dtype, missing_pct; numbers (booleans as 0 and 1) have min, max, mean,
+    std and skew, times their first, last and frequency, strings and booleans their cardinality. depth "full" adds
+    kurtosis and normality_stat, normality_p and is_normal (null below eight values), and the ten most frequent
+    values of strings as top_values; "quick" leaves these null."""
+    if depth not in ("full", "quick"):
+        raise ValueError(f"unknown depth: {depth}")
+    from tabloom.operators.associate import normality
+
+    kinds = {f.name: f.dataType for f in df.schema}
+    flags = [c for c, k in kinds.items() if isinstance(k, T.BooleanType)]
+    numbers = numeric(df) + flags
+    words = [c for c, k in kinds.items() if isinstance(k, (T.StringType, T.CharType, T.VarcharType))] + flags
+    times = [c for c, k in kinds.items() if isinstance(k, (T.TimestampType, T.TimestampNTZType, T.DateType))]
+    number = lambda c: F.col(f"`{c}`").cast("int").cast("double") if c in flags else F.col(f"`{c}`").cast("double")
+    none = F.lit(None).cast("double")
+    rows = []
+    for c, kind in kinds.items():
+        x = number(c) if c in numbers else none
+        made = {"min": F.min(x), "max": F.max(x), "mean": F.avg(x), "std": F.stddev_samp(x), "skew": skew(x), "kurtosis": F.kurtosis(x)} if c in numbers else dict.fromkeys(["min", "max", "mean", "std", "skew", "kurtosis"], none)
+        if depth == "quick":
+            made["kurtosis"] = none
+        ends = [f(F.col(f"`{c}`").cast("timestamp")) if c in times else F.lit(None).cast("timestamp") for f in (F.min, F.max)]
+        rows.append(F.struct(F.lit(c).alias("column"), F.lit(kind.simpleString()).alias("dtype"), (100 * F.avg(F.col(f"`{c}`").isNull().cast("double"))).alias("missing_pct"), *(v.alias(k) for k, v in made.items()), ends[0].alias("first"), ends[1].alias("last")))
+    out = df.agg(F.array(*rows).alias("all")).select(F.inline("all"))
+    if times:
+        made = df.sparkSession.createDataFrame([(c, frequency(df, c)) for c in times], "column string, frequency string")
+        out = out.join(F.broadcast(made), "column", "left")
+    else:
+        out = out.withColumn("frequency", F.lit(None).cast("string"))
+    if words:
+        counts = distinct_values(df, words).groupBy("column").agg(F.count("value").alias("cardinality"))
+        out = out.join(F.broadcast(counts), "column", "left").withColumn("cardinality", F.when(F.col("column").isin(words), F.coalesce("cardinality", F.lit(0))))
+    else:
+        out = out.withColumn("cardinality", F.lit(None).cast("long"))
+    if depth == "full" and numbers:
+        tested = normality(df.select(*(number(c).alias(c) for c in numbers)), numbers).select("column", F.col("k2").alias("normality_stat"), F.col("p_value").alias("normality_p"), F.when(F.col("n") >= 8, F.col("is_normal")).alias("is_normal"))
+        out = out.join(F.broadcast(tested), "column", "left")
+    else:
+        out = out.withColumns({"normality_stat": none, "normality_p": none, "is_normal": F.lit(None).cast("boolean")})
+    kind = "array<struct<value:string,count:bigint>>"
+    if depth == "full" and words:
+        ranked = top_values(df, words).groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))), lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count"))).alias("top_values"))
+        return out.join(F.broadcast(ranked), "column", "left")
+    return out.withColumn("top_values", F.lit(None).cast(kind))
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
@@ -60,35 +110,78 @@ def datetime_range(df: DataFrame, column: str) -> DataFrame:
     return within.crossJoin(F.broadcast(between)).select("min", "max", F.when((F.col("n") >= 3) & (least == most), least / 1e6).alias("step_seconds"))
 
 
+def frequency(df: DataFrame, column: str) -> str | None:
+    """The alias of the one step between neighbouring distinct times: s, min, h, D, W-<day> or a multiple, or MS, ME,
+    QS, QE, YS, YE where all times are the first or last days of consecutive months, quarters or years. None otherwise,
+    or below three times."""
+    found = datetime_range(df, column).first()
+    if found.step_seconds:
+        step = found.step_seconds
+        if step % 604_800 == 0:
+            return f"{int(step // 604_800) if step > 604_800 else ''}W-{found.min.strftime('%a').upper()}"
+        size, alias = next(((s, a) for s, a in ((86_400, "D"), (3_600, "h"), (60, "min"), (1, "s")) if step % s == 0), (None, None))
+        return None if size is None else f"{int(step // size) if step > size else ''}{alias}"
+    t = F.col(f"`{column}`").cast("timestamp")
+    midnight = t == F.date_trunc("day", t)
+    month = F.year(t) * 12 + F.month(t)
+    row = df.where(t.isNotNull()).agg(F.every(midnight & (F.dayofmonth(t) == 1)).alias("first"), F.every(midnight & (F.to_date(t) == F.last_day(t))).alias("last"), F.min(month).alias("a"), F.max(month).alias("b"), F.count_distinct(month).alias("n"), F.count_distinct(t).alias("u"), F.count_distinct(month % 3).alias("q"), F.count_distinct(month % 12).alias("y")).first()
+    if row.n < 3 or row.u != row.n or not (row.first or row.last):
+        return None
+    steps, rest = divmod(row.b - row.a, row.n - 1)
+    alias = {1: "M", 3: "Q", 12: "Y"}.get(steps) if rest == 0 else None
+    fits = alias == "M" or (alias == "Q" and row.q == 1) or (alias == "Y" and row.y == 1)
+    return alias + ("S" if row["first"] else "E") if fits else None
+
+
+def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n): how often each value occurs, nulls too; long ones are known by a digest. One shuffle for
+    all columns, of counts that were summed up before it."""
+    short = lambda s: F.when(F.length(s) > 64, F.sha2(s, 256)).otherwise(s)
+    pairs = [F.struct(F.lit(c).alias("column"), short(F.col(f"`{c}`").cast("string")).alias("value")) for c in columns]
+    return df.select(F.inline(F.array(*pairs))).groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
+def _dated(df: DataFrame, columns: list[str]) -> dict[str, bool]:
+    """Whether the first 50 known values of each string column all are dates or times."""
+    if not columns:
+        return {}
+    first = [df.select(F.lit(c).alias("column"), F.col(f"`{c}`").alias("s")).where("s is not null").limit(50) for c in columns]
+    fits = F.col("s").rlike(r"^\d{4}-\d{2}-\d{2}([ T].*)?$") & F.try_to_timestamp("s").isNotNull()
+    return {r.column: r.fits for r in reduce(DataFrame.union, first).groupBy("column").agg(F.every(fits).alias("fits")).collect()}
+
+
 def column_roles(df: DataFrame) -> DataFrame:
-    """(column, role, confidence, n_unique) by the first rule that fits: constant, datetime, boolean, numbers by
-    distinct values, then strings that look like dates, identifiers, free text or categories."""
-    parts = []
+    """(column, role, confidence, n_unique, missing) by the first rule that fits: constant, datetime, boolean,
+    identifier, then numbers by the number and share of distinct values, strings by that share and their length."""
+    strings = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.CharType, T.VarcharType))]
+    dated = _dated(df, strings)
+    kinds = {}
     for f in df.schema:
-        c = F.col(f"`{f.name}`")
-        s = c.cast("string")
-        number = isinstance(f.dataType, T.NumericType)
-        whole = isinstance(f.dataType, T.IntegralType)
-        n, known, unique = F.count("*"), F.count(c), F.count_distinct(c)
-        low = F.lower(F.regexp_replace(s, r"\.0$", "")) if number else F.lower(s)
-        boolean = reduce(lambda a, b: a | b, [F.coalesce(F.every(low.isin(v)), F.lit(False)) for v in VOCABULARIES])
-        dates = F.coalesce(F.every(F.coalesce(s.rlike(r"^\d{4}-\d{2}-\d{2}([ T].*)?$") & F.try_to_timestamp(s).isNotNull(), c.isNull())), F.lit(False)) if isinstance(f.dataType, T.StringType) else F.lit(False)
-        says = lambda role, sure: F.struct(F.lit(role).alias("role"), F.lit(sure).alias("confidence"))
-        role = F.when(unique <= 1, says("constant", "high"))
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            role = role.otherwise(says("datetime", "high"))
+            kinds[f.name] = "time"
+        elif isinstance(f.dataType, T.NumericType):
+            kinds[f.name] = "number"
         elif isinstance(f.dataType, T.BooleanType):
-            role = role.otherwise(says("boolean", "high"))
-        elif number:
-            role = role.when((unique == 2) & boolean, says("boolean", "medium")).when(unique > 0.95 * n, says("identifier", "medium"))
-            role = role.when((unique <= 20), says("numeric_discrete", "medium")) if whole else role
-            role = role.otherwise(says("numeric_continuous", "high"))
+            kinds[f.name] = "boolean"
+        elif f.name in strings:
+            kinds[f.name] = "dated" if dated.get(f.name) else "string"
         else:
-            role = role.when(dates, says("datetime", "medium")).when((unique == 2) & boolean, says("boolean", "medium"))
-            role = role.when((unique > 0.95 * n) & (F.avg(F.length(s)) <= 50), says("identifier", "medium")).when(F.avg(F.length(s)) > 50, says("text_freeform", "medium"))
-            role = role.when(unique <= F.greatest(F.lit(20), 0.05 * n), says("categorical_nominal", "high")).otherwise(says("categorical_nominal", "medium"))
-        parts.append(F.struct(F.lit(f.name).alias("column"), role.alias("r"), unique.alias("n_unique"), (n - known).alias("missing")))
-    return df.agg(F.array(*parts).alias("all")).select(F.inline("all")).select("column", "r.role", "r.confidence", "n_unique", "missing")
+            kinds[f.name] = "other"
+    lengths = df.agg(F.array(*(F.struct(F.lit(c).alias("column"), (F.avg(F.length(f"`{c}`")) if c in strings else F.lit(None).cast("double")).alias("len"), F.lit(k).alias("kind")) for c, k in kinds.items())).alias("all")).select(F.inline("all"))
+    low = F.lower("value")
+    boolean = reduce(lambda a, b: a | b, [F.coalesce(F.every(low.isin(v)), F.lit(False)) for v in VOCABULARIES])
+    facts = distinct_values(df, df.columns).groupBy("column").agg(F.count("value").alias("u"), F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"), boolean.alias("b"))
+    # A row for each column; an empty table has no values.
+    rows = lengths.join(F.broadcast(facts), "column", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("u", "n", "missing")})
+    u, n, kind = F.col("u"), F.col("n"), F.col("kind")
+    share = u / F.greatest(n - F.col("missing"), F.lit(1))
+    says = lambda role, sure: F.struct(F.lit(role).alias("role"), F.lit(sure).alias("confidence"))
+    role = F.when(u <= 1, says("constant", "high")).when(kind == "time", says("datetime", "high")).when(kind == "dated", says("datetime", "medium"))
+    role = role.when(kind == "boolean", says("boolean", "high")).when((u == 2) & F.coalesce("b", F.lit(False)), says("boolean", "medium")).when(u > 0.95 * n, says("identifier", "high"))
+    role = role.when((kind == "number") & ((u > 20) | (share > 0.05)), says("numeric_continuous", "high")).when(kind == "number", says("numeric_discrete", "medium"))
+    role = role.when((kind == "string") & (share > 0.5) & (F.col("len") > 30), says("text_freeform", "medium"))
+    role = role.when((kind == "string") & (u <= 50), says("categorical_nominal", "high")).when(kind == "string", says("categorical_nominal", "medium"))
+    return rows.withColumn("r", role.otherwise(says("unknown", "low"))).select("column", "r.role", "r.confidence", u.alias("n_unique"), "missing")
 
 
 def infer_target(columns: list[str], goal: str, target: str | None = None) -> str:
@@ -118,22 +211,6 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
     return counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
 
 
-def with_codes(values: DataFrame) -> DataFrame:
-    """values, whose (column, value) are distinct, with code: the number of smaller known values of the column,
-    -1 for null. Values are counted by range and numbered within a range, so no task sees a whole column."""
-    known = values.where("value is not null")
-    some = known.orderBy(F.xxhash64("column", "value"), "column", "value").limit(32 * RANGES).select("column", F.left("value", F.lit(200)).alias("value")).collect()
-    cuts = sorted(set(some))[:: max(1, len(some) // RANGES)]
-    bounds = F.array(*(F.struct(F.lit(r.column).alias("column"), F.lit(r.value).alias("value")) for r in cuts))
-    key = F.struct("column", "value")
-    known = known.withColumn("_b", F.size(F.filter(bounds, lambda x: x <= key)) if cuts else F.lit(0))
-    upto = Window.partitionBy("column").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = known.groupBy("column", "_b").agg(F.count("*").alias("_n")).select("column", "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("column", "_b").orderBy("value")) - 1
-    known = known.withColumn("_i", inside).join(F.broadcast(before), ["column", "_b"])
-    return known.select(*values.columns, (F.col("_before") + F.col("_i")).alias("code")).unionByName(values.where("value is null").withColumn("code", F.lit(-1).cast("long")))
-
-
 def missingness(df: DataFrame) -> DataFrame:
     """Of each column with missing values: their share and the largest |r| between its null mask and another column:
     numbers as they are, strings and booleans as the codes of their sorted values (null: -1)."""
@@ -167,22 +244,28 @@ def _mask_by_code(df: DataFrame, texts: list[str], gaps: list[str]) -> DataFrame
     return each.where("column <> gap").groupBy(F.col("gap").alias("column")).agg(F.max("_r").alias("_r"))
 
 
-def outliers(df: DataFrame, columns: list[str], method: str = "iqr") -> DataFrame:
-    """(column, lower, upper, n_outliers) by Tukey's fence or by three standard deviations."""
+def outliers(df: DataFrame, columns: list[str], method: str = "iqr", key: str | None = None) -> DataFrame:
+    """(column, lower, upper, n_outliers) by Tukey's fence or by three standard deviations; with a key also examples,
+    the smallest five keys of rows outside."""
     if method not in ("iqr", "zscore"):
         raise ValueError(f"unknown method: {method}")
-    rows = []
-    for c in columns:
-        x = F.col(f"`{c}`").cast("double")
-        if method == "iqr":
-            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
-            lower, upper = q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])
-        else:
-            lower, upper = (F.when(F.stddev_samp(x) > 0, F.avg(x) + k * F.stddev_samp(x)) for k in (-3, 3))
-        rows.append(F.struct(F.lit(c).alias("column"), lower.alias("lower"), upper.alias("upper")))
-    bounds = F.broadcast(df.agg(F.array(*rows).alias("all")).select(F.inline("all")))  # a row for each column
-    found = long_form(df, columns).join(bounds, "column").where(outside(F.col("value"), F.col("lower"), F.col("upper"))).groupBy("column").agg(F.count("*").alias("n"))
-    return bounds.join(found, "column", "left").select("column", "lower", "upper", F.coalesce("n", F.lit(0)).alias("n_outliers"))
+    if method == "iqr":
+        q = quantiles(df, columns, [0.25, 0.75])
+        rows = [(c, q[c][0] - 1.5 * (q[c][1] - q[c][0]), q[c][1] + 1.5 * (q[c][1] - q[c][0])) if q[c] else (c, None, None) for c in columns]
+        bounds = df.sparkSession.createDataFrame(rows, "column string, lower double, upper double")
+    else:
+        x = {c: F.col(f"`{c}`").cast("double") for c in columns}
+        rows = [F.struct(F.lit(c).alias("column"), *(F.when(F.stddev_samp(x[c]) > 0, F.avg(x[c]) + k * F.stddev_samp(x[c])).alias(n) for k, n in ((-3, "lower"), (3, "upper")))) for c in columns]
+        bounds = df.agg(F.array(*rows).alias("all")).select(F.inline("all"))
+    bounds = F.broadcast(bounds)  # a row for each column
+    keys = [F.col(f"`{key}`").alias("_key")] if key else []
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns]
+    hits = df.select(F.explode(F.array(*pairs)).alias("p"), *keys).select("p.*", *(["_key"] if key else [])).join(bounds, "column").where(outside(F.col("value"), F.col("lower"), F.col("upper")))
+    out = bounds.join(hits.groupBy("column").agg(F.count("*").alias("n")), "column", "left").select("column", "lower", "upper", F.coalesce("n", F.lit(0)).alias("n_outliers"))
+    if not key:
+        return out
+    first = hits.withColumn("_r", F.row_number().over(Window.partitionBy("column").orderBy("_key"))).where("_r <= 5").groupBy("column").agg(F.sort_array(F.collect_list("_key")).alias("examples"))
+    return out.join(F.broadcast(first), "column", "left")
 
 
 def _time(df: DataFrame, column: str) -> Column:
@@ -194,12 +277,15 @@ def leakage(df: DataFrame, target: str, outcome_time: str | None = None, thresho
     """(column, unique_ratio, abs_r, after_outcome, suspects) for every other column. Strings are compared with the
     outcome's time where they can be read as a time."""
     rows, numbers = [], numeric(df)
-    for c in [c for c in df.columns if c not in (target, outcome_time)]:
-        x = F.col(f"`{c}`")
-        ratio = F.round(F.count_distinct(x) / F.count("*"), 4)
-        r = F.abs(corr(x, F.col(f"`{target}`"))) if c in numbers and target in numbers else F.lit(None).cast("double")
+    tested = [c for c in df.columns if c not in (target, outcome_time)]
+    for c in tested:
+        r = F.abs(corr(F.col(f"`{c}`"), F.col(f"`{target}`"))) if c in numbers and target in numbers else F.lit(None).cast("double")
         timed = outcome_time and isinstance(df.schema[c].dataType, TIMED)
         after = F.avg(F.coalesce((_time(df, c) > _time(df, outcome_time)).cast("double"), F.lit(0.0))) if timed else F.lit(None).cast("double")
-        why = F.array_compact(F.array(F.when(ratio > 0.95, "identifier_like"), F.when(r >= threshold, "high_correlation"), F.when(after > 0.5, "timestamped_after_outcome")))
-        rows.append(F.struct(F.lit(c).alias("column"), ratio.alias("unique_ratio"), F.round(r, 4).alias("abs_r"), F.round(after, 4).alias("after_outcome"), F.array_join(why, ",").alias("suspects")))
-    return df.agg(F.array(*rows).alias("all")).select(F.inline("all"))
+        rows.append(F.struct(F.lit(c).alias("column"), r.alias("r"), after.alias("after"), F.count("*").alias("n")))
+    facts = df.agg(F.array(*rows).alias("all")).select(F.inline("all"))
+    unique = distinct_values(df, tested).groupBy("column").agg(F.count("value").alias("u"))
+    ratio = F.round(F.coalesce("u", F.lit(0)) / F.col("n"), 4)
+    why = F.array_compact(F.array(F.when(ratio > 0.95, "identifier_like"), F.when(F.col("r") >= threshold, "high_correlation"), F.when(F.col("after") > 0.5, "timestamped_after_outcome")))
+    joined = facts.join(F.broadcast(unique), "column", "left")  # a row for each column
+    return joined.select("column", ratio.alias("unique_ratio"), F.round("r", 4).alias("abs_r"), F.round("after", 4).alias("after_outcome"), F.array_join(why, ",").alias("suspects"))

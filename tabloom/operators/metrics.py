@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.operators.ranges import quantiles, running, with_range
+
 
 def classification(df: DataFrame, y: str, p: str) -> DataFrame:
     """(accuracy, f1_macro) over the labels that occur in either column."""
@@ -23,13 +25,23 @@ def regression(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """(n, n_positive, auc) by average ranks of distinct scores; y is 0 or 1; auc is null for one class."""
-    counts = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.select("pos", "n", (upto - (F.col("n") - 1) / 2.0).alias("rank"))
+    known = with_range(df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).select(F.col(y).alias("y"), F.col(score).alias("s")), "s", "_b")
+    counts = known.groupBy("_b", "s").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    ranked = running(counts, ["s"], ["n"]).select("pos", "n", (F.col("upto_n") - (F.col("n") - 1) / 2.0).alias("rank"))
     n, n1 = F.sum("n"), F.sum("pos")
     return ranked.agg(n.alias("n"), n1.alias("n_positive"), F.try_divide(F.sum(F.expr("pos * rank")) - n1 * (n1 + 1) / 2.0, n1 * (n - n1)).alias("auc"))
 
 
+def roc_auc_classes(df: DataFrame, y: str, scores: str) -> DataFrame:
+    """(class, n, n_positive, auc): each class 0, 1, ... against the rest; scores is an array with a score for each class.
+    One range count and one running sum for all classes."""
+    rows = df.where(F.col(y).isNotNull() & F.col(scores).isNotNull()).select(F.col(y).cast("int").alias("y"), F.posexplode(scores).alias("class", "s")).where("s is not null")
+    counts = with_range(rows, "s", "_b").groupBy("class", "_b", "s").agg(F.count_if(F.col("y") == F.col("class")).alias("pos"), F.count("*").alias("n"))
+    ranked = running(counts, ["s"], ["n"], ["class"]).select("class", "pos", "n", (F.col("upto_n") - (F.col("n") - 1) / 2.0).alias("rank"))
+    n, n1 = F.sum("n"), F.sum("pos")
+    return ranked.groupBy("class").agg(n.alias("n"), n1.alias("n_positive"), F.try_divide(F.sum(F.expr("pos * rank")) - n1 * (n1 + 1) / 2.0, n1 * (n - n1)).alias("auc"))
+
+
 def thresholds(df: DataFrame, y: str, score: str) -> DataFrame:
     """(threshold, precision, recall, f1) at 0.01, 0.02, ... 0.99 for score >= threshold: scores are counted by
     the last threshold they reach, and sums taken from above."""
@@ -68,10 +80,10 @@ def segment_errors(df: DataFrame, segment: str, y: str, p: str) -> DataFrame:
 
 def quartile(df: DataFrame, column: str) -> DataFrame:
     """df with `quartile` 1..4 by right-closed edges at the exact quartiles."""
-    q = df.agg(F.percentile(F.col(column).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    x = F.col(column)
-    bin_ = F.when(x <= F.col("_q")[0], 1).when(x <= F.col("_q")[1], 2).when(x <= F.col("_q")[2], 3).when(x.isNotNull(), 4)
-    return df.join(F.broadcast(q)).withColumn("quartile", bin_).drop("_q")
+    q, x = quantiles(df, [column], [0.25, 0.5, 0.75])[column], F.col(f"`{column}`")
+    if q is None:
+        return df.withColumn("quartile", F.lit(None).cast("int"))
+    return df.withColumn("quartile", F.when(x <= q[0], 1).when(x <= q[1], 2).when(x <= q[2], 3).when(x.isNotNull(), 4))
 
 
 def fold_summary(scores: DataFrame) -> DataFrame:

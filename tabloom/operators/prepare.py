@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import re
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import clip, part_of_date, signed_log
+from tabloom.operators.ranges import quantiles, running, with_codes, with_range
 
 AGGREGATES = {
     "mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "median": F.median, "std": F.stddev_samp, "var": F.var_samp, "nunique": F.count_distinct,
@@ -78,28 +80,40 @@ def group_feature(train: DataFrame, rows: DataFrame, name: str, keys: list[str],
     return rows.join(small(fitted), same, "left").join(rest).withColumn(name, F.coalesce("_v", "_all")).drop("_v", "_all", *(f"_{k}" for k in keys))
 
 
+def fit_impute(train: DataFrame, strategies: dict[str, str]) -> dict[str, object]:
+    """The value that stands for null in each column: mean, median, most_frequent (ties: the smallest), constant (0 or
+    __missing__); model_based is the mean of a single column, and drop_rows falls back to the median or mode. One job
+    for all means, one for all medians and one for all modes."""
+    text = {c: train.schema[c].dataType.typeName() in ("string", "boolean") for c in strategies}
+    how = {c: ("most_frequent" if text[c] else "median") if s == "drop_rows" else "mean" if s == "model_based" else s for c, s in strategies.items()}
+    if unknown := set(how.values()) - {"mean", "median", "most_frequent", "constant"}:
+        raise ValueError(f"unknown strategy: {unknown.pop()}")
+    of = lambda s: [c for c in how if how[c] == s]
+    fill: dict[str, object] = {c: "__missing__" if text[c] else 0.0 for c in of("constant")}
+    if of("mean"):
+        row = train.agg(*(F.avg(f"`{c}`").alias(f"_{i}") for i, c in enumerate(of("mean")))).first()
+        fill |= dict(zip(of("mean"), row, strict=True))
+    if of("median"):
+        fill |= {c: q[0] if q else None for c, q in quantiles(train, of("median"), [0.5]).items()}
+    if modes := of("most_frequent"):
+        sides = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"), (F.lit(0.0) if text[c] else F.col(f"`{c}`").cast("double")).alias("order")) for c in modes]
+        counts = train.select(F.inline(F.array(*sides))).where("value is not null").groupBy("column", "value", "order").agg(F.count("*").alias("n"))
+        fill |= {r.column: r.value for r in counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("order"), F.col("value"))).alias("value")).collect()}
+    return {c: fill.get(c) for c in strategies}
+
+
+def apply_impute(rows: DataFrame, fill: dict[str, object]) -> DataFrame:
+    filled = {}
+    for c, v in fill.items():
+        kind = rows.schema[c].dataType
+        wide = "double" if isinstance(v, float) and kind.typeName() in ("byte", "short", "integer", "long", "float") else kind
+        filled[c] = F.coalesce(F.col(f"`{c}`").cast(wide), F.lit(v).cast(wide))
+    return rows.withColumns(filled)
+
+
 def impute(train: DataFrame, rows: DataFrame, strategies: dict[str, str]) -> DataFrame:
-    """mean, median, most_frequent (ties: the smallest), constant (0 or __missing__); model_based is the mean of a
-    single column, and drop_rows falls back to the median or mode."""
-    fill = []
-    for c, s in strategies.items():
-        x = F.col(f"`{c}`")
-        text = train.schema[c].dataType.typeName() == "string"
-        if s == "drop_rows":
-            s = "most_frequent" if text else "median"
-        how = {"mean": F.avg, "model_based": F.avg, "median": F.median}
-        if s == "most_frequent":
-            mode = train.where(x.isNotNull()).groupBy(x.alias("v")).count()
-            fill.append(mode.agg(F.min_by("v", F.struct(-F.col("count"), F.col("v"))).alias(c)))
-        elif s == "constant":
-            fill.append(train.sparkSession.range(1).select(F.lit("__missing__" if text else 0.0).alias(c)))
-        elif s in how:
-            fill.append(train.agg(how[s](x).alias(c)))
-        else:
-            raise ValueError(f"unknown strategy: {s}")
-    for c, one in zip(strategies, fill, strict=True):
-        rows = rows.join(F.broadcast(one.withColumnRenamed(c, "_fill"))).withColumn(c, F.coalesce(F.col(f"`{c}`"), "_fill")).drop("_fill")  # one row
-    return rows
+    """rows without nulls in the columns named, by the values fitted on train."""
+    return apply_impute(rows, fit_impute(train, strategies))
 
 
 def auto_impute(role: str, likely_mar: bool, missing_pct: float) -> str | None:
@@ -122,23 +136,42 @@ def lookup(rows: DataFrame, fitted: DataFrame, column: str, value: str, name: st
 
 def encode_frequency(train: DataFrame, rows: DataFrame, column: str, name: str) -> DataFrame:
     counts = train.groupBy(column).agg(F.count("*").alias("_n"))
-    shares = counts.select(column, (F.col("_n") / F.sum("_n").over(Window.partitionBy())).alias("_share"))
+    shares = counts.join(F.broadcast(train.agg(F.count("*").alias("_all")))).select(column, (F.col("_n") / F.col("_all")).alias("_share"))  # one row
     return lookup(rows, shares, column, "_share", name, F.lit(0.0))
 
 
+def label_codes(train: DataFrame, column: str) -> DataFrame:
+    """(column, _code): 0, 1, ... in the order of the known categories."""
+    known = train.select(F.col(f"`{column}`").alias("value")).where("value is not null").distinct()
+    if train.schema[column].dataType.typeName() == "string":
+        codes = with_codes(known.select(F.lit(column).alias("column"), "value"))
+    else:
+        codes = running(with_range(known, "value", "_b").withColumn("_one", F.lit(1).cast("long")), ["value"], ["_one"]).withColumn("code", F.col("upto__one") - 1)
+    return codes.select(F.col("value").alias(column), F.col("code").cast("int").alias("_code"))
+
+
 def encode_label(train: DataFrame, rows: DataFrame, column: str, name: str) -> DataFrame:
     """0, 1, ... in the order of the categories; unknown ones and nulls -1."""
-    codes = train.select(column).where(F.col(column).isNotNull()).distinct()
-    codes = codes.select(column, (F.row_number().over(Window.orderBy(column)) - 1).alias("_code"))
-    return lookup(rows, codes, column, "_code", name, F.lit(-1))
+    return lookup(rows, label_codes(train, column), column, "_code", name, F.lit(-1))
 
 
 def encode_one_hot(train: DataFrame, rows: DataFrame, column: str, most: int = 1_000) -> DataFrame:
-    """A 0/1 column for each category of train (`most` of them at most); unknown ones have only zeros."""
-    found = [r[0] for r in train.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()]
+    """A 0/1 column for each category of train; unknown ones have only zeros. A table of more than `most` columns is
+    refused, as Spark plans each column by itself; encode_one_hot_vector has no such bound."""
+    found = [r[0] for r in train.select(F.col(f"`{column}`")).where(F.col(f"`{column}`").isNotNull()).distinct().orderBy(F.col(f"`{column}`")).limit(most + 1).collect()]
     if len(found) > most:
-        raise ValueError(f"{column} has more than {most} categories")
-    return rows.withColumns({f"{column}_{v}": F.coalesce((F.col(column) == F.lit(v)).cast("int"), F.lit(0)) for v in found})
+        raise ValueError(f"{column} has more than {most} categories: use encode_one_hot_vector")
+    return rows.withColumns({f"{column}_{v}": F.coalesce((F.col(f"`{column}`") == F.lit(v)).cast("int"), F.lit(0)) for v in found})
+
+
+def encode_one_hot_vector(train: DataFrame, rows: DataFrame, column: str, name: str) -> DataFrame:
+    """One sparse vector column for any number of categories, in their order; unknown ones and nulls have only zeros."""
+    codes = label_codes(train, column)
+    size = codes.count()
+    out = lookup(rows, codes, column, "_code", "_at", F.lit(-1)).withColumn("_at", F.when(F.col("_at") < 0, size).otherwise(F.col("_at")).cast("double"))
+    # Categories 0 .. size, of which the last one, for unknown values, has no slot.
+    every = rows.sparkSession.range(size + 1).select(F.col("id").cast("double").alias("_at"))
+    return OneHotEncoder(inputCol="_at", outputCol=name, dropLast=True).fit(every).transform(out).drop("_at")
 
 
 def encode_target(train: DataFrame, rows: DataFrame, column: str, target: str, name: str, smoothing: float = 10.0) -> DataFrame:
@@ -159,26 +192,60 @@ def encode_target_out_of_fold(rows: DataFrame, column: str, target: str, name: s
     return out.withColumn(name, encoded).drop("_c", "_f", "_s", "_m", "_all")
 
 
+def fit_scale(train: DataFrame, columns: list[str], method: str = "standard") -> dict[str, tuple[float, float]]:
+    """(centre, width) of each column: standard (population deviation), minmax or robust. The width of a constant
+    column is 1, so it becomes 0; a column without known values has no entry."""
+    if method == "robust":
+        q = quantiles(train, columns, [0.25, 0.5, 0.75])
+        found = {c: (v[1], v[2] - v[0]) for c, v in q.items() if v}
+    elif method in ("standard", "minmax"):
+        fits = []
+        for i, c in enumerate(columns):
+            x = F.col(f"`{c}`").cast("double")
+            fits += [(F.avg(x) if method == "standard" else F.min(x)).alias(f"_c{i}"), (F.stddev_pop(x) if method == "standard" else F.max(x) - F.min(x)).alias(f"_w{i}")]
+        row = train.agg(*fits).first()
+        found = {c: (row[f"_c{i}"], row[f"_w{i}"]) for i, c in enumerate(columns) if row[f"_c{i}"] is not None}
+    else:
+        raise ValueError(f"unknown method: {method}")
+    return {c: (centre, width or 1.0) for c, (centre, width) in found.items()}
+
+
+def apply_scale(rows: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataFrame:
+    return rows.withColumns({c: (F.col(f"`{c}`") - F.lit(centre)) / F.lit(width) for c, (centre, width) in fitted.items()})
+
+
 def scale(train: DataFrame, rows: DataFrame, columns: list[str], method: str = "standard") -> DataFrame:
-    """standard (population deviation), minmax or robust; a constant column becomes 0."""
-    if method == "none":
-        return rows
-    fits = []
-    for i, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double")
-        if method == "standard":
-            centre, width = F.avg(x), F.stddev_pop(x)
-        elif method == "minmax":
-            centre, width = F.min(x), F.max(x) - F.min(x)
-        elif method == "robust":
-            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            centre, width = q[1], q[2] - q[0]
+    """rows with the columns scaled as fitted on train."""
+    return rows if method == "none" else apply_scale(rows, fit_scale(train, columns, method))
+
+
+def scaler_method(method: str = "auto", family: str | None = None) -> str:
+    """auto is none for tree ensembles and standard otherwise."""
+    if method == "auto":
+        return "none" if family == "tree_ensemble" else "standard"
+    if method not in ("standard", "minmax", "robust", "none"):
+        raise ValueError(f"unknown method: {method}")
+    return method
+
+
+def fit_outliers(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Tukey's fences of each column with known values."""
+    q = quantiles(train, columns, [0.25, 0.75])
+    return {c: (v[0] - 1.5 * (v[1] - v[0]), v[1] + 1.5 * (v[1] - v[0])) for c, v in q.items() if v}
+
+
+def apply_outliers(rows: DataFrame, bounds: dict[str, tuple[float, float]], strategy: str) -> DataFrame:
+    for c, (lower, upper) in bounds.items():
+        x = F.col(f"`{c}`")
+        if strategy == "cap":
+            rows = rows.withColumn(c, clip(x, F.lit(lower), F.lit(upper)))
+        elif strategy == "remove":
+            rows = rows.where(x.isNull() | x.between(lower, upper))
+        elif strategy == "transform":
+            rows = rows.withColumn(c, signed_log(x))
         else:
-            raise ValueError(f"unknown method: {method}")
-        fits += [centre.alias(f"_c{i}"), F.when(width == 0, 1.0).otherwise(width).alias(f"_w{i}")]
-    out = rows.join(F.broadcast(train.agg(*fits)))  # one row
-    out = out.withColumns({c: (F.col(f"`{c}`") - F.col(f"_c{i}")) / F.col(f"_w{i}") for i, c in enumerate(columns)})
-    return out.drop(*(f"_{x}{i}" for i in range(len(columns)) for x in "cw"))
+            raise ValueError(f"unknown strategy: {strategy}")
+    return rows
 
 
 def handle_outliers(train: DataFrame, rows: DataFrame, columns: list[str], strategy: str = "cap") -> DataFrame:
@@ -187,10 +254,4 @@ def handle_outliers(train: DataFrame, rows: DataFrame, columns: list[str], strat
         return rows.withColumns({c: signed_log(F.col(f"`{c}`")) for c in columns})
     if strategy not in ("cap", "remove"):
         raise ValueError(f"unknown strategy: {strategy}")
-    q = [F.percentile(F.col(f"`{c}`").cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q{i}") for i, c in enumerate(columns)]
-    out = rows.join(F.broadcast(train.agg(*q)))  # one row
-    for i, c in enumerate(columns):
-        a, b = F.col(f"_q{i}")[0], F.col(f"_q{i}")[1]
-        lower, upper, x = a - 1.5 * (b - a), b + 1.5 * (b - a), F.col(f"`{c}`")
-        out = out.withColumn(c, clip(x, lower, upper)) if strategy == "cap" else out.where(x.isNull() | x.between(lower, upper))
-    return out.drop(*(f"_q{i}" for i in range(len(columns))))
+    return apply_outliers(rows, fit_outliers(train, columns), strategy)

@@ -8,19 +8,33 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.functions.columns import shuffle_key
+from tabloom.operators.ranges import RANGES, running, with_range
 
 SEED = 42
 
 
-def position(df: DataFrame, key: str, by: list[str] | None = None, seed: int = SEED, digits: int = 2) -> DataFrame:
+def digits_for(rows: int) -> int:
+    """Digits of a digest that deal so many rows into buckets of about 5,000."""
+    return max(1, min(7, math.ceil(math.log(max(1, rows / 5_000), 16))))
+
+
+def position(df: DataFrame, key: str, by: list[str] | None = None, seed: int = SEED, digits: int | None = None) -> DataFrame:
     """df with pos (1, 2, ...) in shuffled order, and n, the number of rows; both within each value of `by`."""
     by = by or []
+    digits = digits_for(df.count()) if digits is None else digits
     rows = df.withColumn("_d", shuffle_key(F.col(key), seed)).withColumn("_b", F.substring("_d", 1, digits))
     counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*by, "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("n"))
+    upto = Window.partitionBy(*by, "_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # Buckets are summed up in two steps, by their first two digits and then by the rest.
+    counts = counts.withColumn("_g", F.substring("_b", 1, 2))
+    whole = counts.groupBy(*by, "_g").agg(F.sum("_n").alias("_s"))
+    over = Window.partitionBy(*by).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(*(F.col(c).alias(f"_w{i}") for i, c in enumerate([*by, "_g"])), F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_more"), F.sum("_s").over(Window.partitionBy(*by)).alias("n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).join(whole, [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate([*by, "_g"])])
+    counts = counts.select(*by, "_b", (F.col("_before") + F.col("_more")).alias("_before"), "n")
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*by, "_b"]]
     joined = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_d", key))).alias("r").join(counts.alias("c"), same)
     return joined.select(*(F.col(f"r.`{c}`") for c in df.columns), (F.col("c._before") + F.col("r._i")).alias("pos"), "c.n")
@@ -41,13 +55,18 @@ def group_split(df: DataFrame, group: str, test_size: float = 0.2) -> DataFrame:
 
 
 def time_position(df: DataFrame, time: str, key: str) -> DataFrame:
-    """df with pos in the order of time, nulls last, and n: counts by day, row numbers within a day."""
-    rows = df.withColumn("_t", F.col(time).cast("timestamp")).withColumn("_b", F.coalesce(F.date_format("_t", "yyyy-MM-dd"), F.lit("~")))
-    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("n"))
-    ranked = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(F.col("_t").asc_nulls_last(), key)))
-    return ranked.join(counts, "_b").withColumn("pos", F.col("_before") + F.col("_i")).drop("_b", "_t", "_i", "_before")
+    """df with pos in the order of time, nulls last, and of key, and n. Rows are counted by ranges of time and, in each, by
+    buckets of the key, so neither a busy day nor one time of very many rows is one task's work."""
+    rows = df.withColumn("_t", F.col(f"`{time}`").cast("timestamp")).withColumn("_k", F.col(f"`{key}`"))
+    rows = with_range(rows, "_t", "_b").withColumn("_b", F.when(F.col("_t").isNull(), F.lit(RANGES)).otherwise(F.col("_b")))
+    number = isinstance(df.schema[key].dataType, T.NumericType)
+    rows = with_range(rows, "_k", "_kb") if number else rows.withColumn("_kb", F.lit(0))
+    # Number of rows of each (time, range of the key) before the own one: times are distinct values now, not rows.
+    counts = rows.groupBy("_b", "_t", "_kb").agg(F.count("*").alias("_n"))
+    upto = running(counts, ["_t", "_kb"], ["_n"]).select(F.col("_t").alias("_u"), F.col("_kb").alias("_ub"), (F.col("upto__n") - F.col("_n")).alias("_before"), F.col("all__n").alias("n"))
+    ranked = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_t", "_kb").orderBy("_k")))
+    joined = ranked.join(upto, F.col("_t").eqNullSafe(F.col("_u")) & (F.col("_kb") == F.col("_ub")))
+    return joined.withColumn("pos", F.col("_before") + F.col("_i")).select(*(F.col(f"`{c}`") for c in df.columns), "pos", "n")
 
 
 def time_split(df: DataFrame, time: str, key: str, test_size: float = 0.2) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Registered queries and the SQL they are compared with. Doubles are rounded to six digits on both sides."""
+"""Registered queries and the SQL they are compared with. Doubles are rounded to nine digits on both sides (to four from
+1,000 on): short decimals, such as means of prices, are never halfway between two of those."""
 
 from __future__ import annotations
 
@@ -15,7 +16,8 @@ ORACLES: dict[str, str] = {}
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(f"`{c}`", 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+    near = lambda c: F.when(F.abs(f"`{c}`") < 1000, F.round(f"`{c}`", 9)).otherwise(F.round(f"`{c}`", 4)).alias(c)
+    return df.select(*(near(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
 def query(sql: str | None = None, doubles: str = ""):
@@ -24,7 +26,7 @@ def query(sql: str | None = None, doubles: str = ""):
     def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")))
         if sql:
-            replace = ", ".join(f"round({c}, 6) AS {c}" for c in doubles.split())
+            replace = ", ".join(f"CASE WHEN abs({c}) < 1000 THEN round({c}, 9) ELSE round({c}, 4) END AS {c}" for c in doubles.split())
             ORACLES[f.__name__] = f"SELECT * REPLACE ({replace}) FROM ({sql})" if replace else sql
         return f
 
@@ -55,21 +57,66 @@ def datetime_range(t):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("min", "max")})
 
 
-def _role(c: str, kind: str) -> str:
-    base = f"count(DISTINCT {c}) AS u, count(*) AS n, count({c}) AS k, bool_and(lower(CAST({c} AS VARCHAR)) IN ('0', '1')) OR bool_and(lower(CAST({c} AS VARCHAR)) IN ('1', '2')) AS b, avg(length(CAST({c} AS VARCHAR))) AS len FROM events"
-    if kind == "datetime":
-        rule = "CASE WHEN u <= 1 THEN 'constant' ELSE 'datetime' END"
-    elif kind == "string":
-        rule = "CASE WHEN u <= 1 THEN 'constant' WHEN u = 2 AND b THEN 'boolean' WHEN u > 0.95 * n AND len <= 50 THEN 'identifier' WHEN len > 50 THEN 'text_freeform' ELSE 'categorical_nominal' END"
-    else:
-        whole = "WHEN u <= 20 THEN 'numeric_discrete'" if kind == "long" else ""
-        rule = f"CASE WHEN u <= 1 THEN 'constant' WHEN u = 2 AND b THEN 'boolean' WHEN u > 0.95 * n THEN 'identifier' {whole} ELSE 'numeric_continuous' END"
-    return f"SELECT '{c}' AS \"column\", {rule} AS role, u AS n_unique, n - k AS missing FROM (SELECT {base})"
+def _role(table: str, c: str, kind: str) -> str:
+    words = [("true", "false"), ("yes", "no"), ("0", "1"), ("1", "2")]
+    within = " OR ".join(f"bool_and(lower(CAST({c} AS VARCHAR)) IN {w})" for w in words)
+    dated = f"(SELECT coalesce(bool_and(regexp_full_match(x, '\\d{{4}}-\\d{{2}}-\\d{{2}}([ T].*)?') AND try_cast(x AS TIMESTAMP) IS NOT NULL), false) FROM (SELECT {c} AS x FROM {table} WHERE {c} IS NOT NULL LIMIT 50))" if kind == "string" else "false"
+    length = f"avg(length({c}))" if kind == "string" else "NULL::DOUBLE"
+    base = f"count(DISTINCT {c}) AS u, count(*) AS n, count({c}) AS k, coalesce({within}, false) AS b, {length} AS len, {dated} AS dated FROM {table}"
+    rules = [
+        ("u <= 1", "constant", "high"), (f"'{kind}' = 'time'", "datetime", "high"), ("dated", "datetime", "medium"), ("u = 2 AND b", "boolean", "medium"), ("u / n::DOUBLE > 0.95::DOUBLE", "identifier", "high"),
+        (f"'{kind}' = 'number' AND (u > 20 OR u / greatest(k, 1)::DOUBLE > 0.05::DOUBLE)", "numeric_continuous", "high"), (f"'{kind}' = 'number'", "numeric_discrete", "medium"),
+        ("u / greatest(k, 1)::DOUBLE > 0.5::DOUBLE AND len > 30", "text_freeform", "medium"), ("u <= 50", "categorical_nominal", "high"), ("true", "categorical_nominal", "medium"),
+    ]
+    pick = lambda i: "CASE " + " ".join(f"WHEN {r[0]} THEN '{r[i]}'" for r in rules) + " END"
+    return f"SELECT '{c}' AS \"column\", {pick(1)} AS role, {pick(2)} AS confidence, u AS n_unique, n - k AS missing FROM (SELECT {base})"
 
 
-@query(" UNION ALL ".join(_role(c, k) for c, k in (("event_id", "long"), ("ts", "datetime"), ("user_id", "long"), ("event_type", "string"), ("value", "double"), ("props", "string"))))
+ROLES = {
+    "events": {"event_id": "number", "ts": "time", "user_id": "number", "event_type": "string", "value": "number", "props": "string"},
+    "lineitem": {"l_orderkey": "number", "l_partkey": "number", "l_suppkey": "number", "l_linenumber": "number", "l_quantity": "number", "l_extendedprice": "number", "l_discount": "number", "l_tax": "number", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "time"},
+    "labels": {"doc_id": "number", "quality": "number", "toxic": "number"},
+    "documents": {"doc_id": "number", "text": "string", "lang": "string", "source": "string", "n_chars": "number"},
+}
+
+
+def _roles(table: str) -> str:
+    return " UNION ALL ".join(_role(table, c, k) for c, k in ROLES[table].items())
+
+
+@query(_roles("events"))
 def column_roles(t):
-    return diagnose.column_roles(t("events")).drop("confidence")
+    return diagnose.column_roles(t("events"))
+
+
+@query(_roles("lineitem"))
+def column_roles_lineitem(t):
+    return diagnose.column_roles(t("lineitem"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS \"table\", * FROM ({_roles(x)})" for x in ("labels", "documents")))
+def column_roles_texts(t):
+    of = lambda x: diagnose.column_roles(t(x)).select(F.lit(x).alias("table"), "*")
+    return of("labels").union(of("documents"))
+
+
+# The order's date as text, but for what is no date from the 51st row on; the fraction of whole numbers.
+MADE = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE o_orderstatus WHEN 'F' THEN 'Yes' WHEN 'O' THEN 'no' END AS flag, (o_orderkey % 3)::DOUBLE AS third, (o_orderkey % 2)::DOUBLE AS half, 'x' AS same FROM orders"
+
+
+@query("WITH made AS (" + MADE + ") " + " UNION ALL ".join(_role("made", c, k) for c, k in {"o_orderkey": "number", "day": "string", "flag": "string", "third": "number", "half": "number", "same": "string"}.items()))
+def column_roles_made(t):
+    return diagnose.column_roles(t("orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 7 != 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') END AS day", "CASE o_orderstatus WHEN 'F' THEN 'Yes' WHEN 'O' THEN 'no' END AS flag", "CAST(o_orderkey % 3 AS DOUBLE) AS third", "CAST(o_orderkey % 2 AS DOUBLE) AS half", "'x' AS same"))
+
+
+@query("""SELECT 'o_orderkey' AS "column", 'bigint' AS dtype, 0.0::DOUBLE AS missing_pct, min(o_orderkey)::DOUBLE AS min, max(o_orderkey)::DOUBLE AS max, avg(o_orderkey) AS mean, stddev_samp(o_orderkey) AS std, skewness(o_orderkey) AS skew, NULL::TIMESTAMP AS first, NULL::TIMESTAMP AS last, NULL::BIGINT AS cardinality FROM orders
+    UNION ALL SELECT 'price', 'double', 100 * avg((price IS NULL)::INT), min(price), max(price), avg(price), stddev_samp(price), skewness(price), NULL, NULL, NULL FROM (SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price FROM orders)
+    UNION ALL SELECT 'o_orderdate', 'timestamp_ntz', 0.0, NULL, NULL, NULL, NULL, NULL, min(o_orderdate), max(o_orderdate), NULL FROM orders
+    UNION ALL SELECT 'o_orderpriority', 'string', 0.0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(DISTINCT o_orderpriority) FROM orders""", "missing_pct min max mean std skew")
+def profile_orders(t):
+    rows = t("orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 5 != 0 THEN o_totalprice END AS price", "o_orderdate", "o_orderpriority")
+    out = diagnose.profile_dataset(rows, "quick").drop("frequency", "kurtosis", "normality_stat", "normality_p", "is_normal", "top_values")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
 
 
 @query("SELECT 'quality' AS target, count(DISTINCT quality) AS n_unique, 'classification' AS task, 'high' AS confidence, false AS needs_clarification FROM labels")

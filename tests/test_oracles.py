@@ -19,7 +19,7 @@ def duck(sf_dir):
 
 def same(a, b):
     if isinstance(a, float) and isinstance(b, float):
-        return a == pytest.approx(b, rel=1e-9, abs=2e-6)
+        return a == pytest.approx(b, rel=1e-13, abs=0)
     return a == b
 
 
