@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.functions.columns import corr, finite
 from tabloom.functions.tails import chi_square_tail, f_tail, ks_tail, normality_z, t_tail
@@ -92,6 +93,35 @@ def shift(df: DataFrame, value: str, first: str, alpha: float = 0.05) -> DataFra
     return found.withColumn("shifted", F.col("p_value") < alpha)
 
 
+def shift_categories(df: DataFrame, value: str, first: str) -> DataFrame:
+    """(n1, n2, k, chi2) of the table of the known categories of value by sample; 0 for fewer than two categories."""
+    cells = contingency(df.select(F.col(f"`{value}`").cast("string").alias("v"), F.col(first).cast("int").alias("f")), "f", "v")
+    sizes = cells.agg(F.coalesce(F.sum(F.when(F.col("a") == 1, F.col("n"))), F.lit(0)).alias("n1"), F.coalesce(F.sum(F.when(F.col("a") == 0, F.col("n"))), F.lit(0)).alias("n2"))
+    return chi_square(cells).join(F.broadcast(sizes)).select("n1", "n2", "k", F.when((F.col("k") < 2) | (F.col("r") < 2), 0.0).otherwise(F.col("chi2")).alias("chi2"))  # one row each
+
+
+def validate_split(df: DataFrame, part: str = "part", target: str | None = None, force: bool = False, alpha: float = 0.05) -> DataFrame | None:
+    """(column, test, statistic, p_value, flagged) of every column but the target: whether its values in the train and the
+    test part come from different distributions, by the two-sample distance of numbers (booleans are 0 and 1) or
+    chi-square of categories, rounded to four digits. A column without values in a part has the test null and is not
+    flagged. None, without force, where train has more than 1,000 rows. One test a column; the results are one row each."""
+    rows = df.withColumn("_first", F.col(part) == "train")
+    if not force and rows.where("_first").limit(1_001).count() > 1_000:
+        return None
+    out = []
+    for c in (c for c in df.columns if c not in (part, target)):
+        kind = df.schema[c].dataType
+        if isinstance(kind, (T.NumericType, T.BooleanType)):
+            x = F.col(f"`{c}`")
+            r = ks_two_samples(rows.select((x.cast("int") if isinstance(kind, T.BooleanType) else x).cast("double").alias("v"), "_first"), "v", "_first").withColumn("p", ks_tail(F.col("d"), F.col("n1").cast("double"), F.col("n2"))).first()
+            found = ("ks", r.d, r.p) if r.n1 and r.n2 else None
+        else:
+            r = shift_categories(rows, c, "_first").first()
+            found = ("chi_square", r.chi2, chi_square_tail(r.chi2, r.k - 1) if r.k > 1 else 1.0) if r.n1 and r.n2 else None
+        out.append((c, found[0], round(found[1], 4), round(found[2], 4), found[2] < alpha) if found else (c, None, None, None, False))
+    return df.sparkSession.createDataFrame(out, "column string, test string, statistic double, p_value double, flagged boolean")
+
+
 def normality(df: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFrame:
     """(column, n, k2, p_value, is_normal) by D'Agostino and Pearson's test, all columns in one aggregation.
     With fewer than 8 values, or equal ones, k2 and p_value are null and is_normal is false."""

@@ -3,39 +3,63 @@
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
 
-from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tabloom.functions.columns import corr
 from tabloom.operators import metrics
-from tabloom.operators.split import position
+from tabloom.operators.diagnose import numeric
+from tabloom.operators.pipeline import FEATURES, Fitted, Spec, fit_spec, kept_number
+from tabloom.operators.split import position, time_position
 from tabloom.sources.tables import handle, load, save, store_dir
 
 
-def get_model(family: str, task: str, n_classes: int = 2, **params: object) -> Estimator:
-    """linear or tree_ensemble for classification or regression; parameters the model doesn't have are left out."""
+def get_model(family: str, task: str, n_classes: int = 2, n: int = 1, spread: float = 1.0, **params: object) -> Estimator:
+    """linear or tree_ensemble for classification or regression; parameters the model doesn't have are left out. Linear
+    models have the penalty of ridge regression with alpha 1, or of C = 1, on sums over n rows: Spark takes means, and a
+    regression's target in units of its deviation `spread`. alpha and C may be given."""
+    ridge = float(params.pop("alpha", 1.0)) * spread / max(1, n)
+    inverse = 1.0 / (float(params.pop("C", 1.0)) * max(1, n))
     table = {
-        ("linear", "regression"): LinearRegression(regParam=1e-3, elasticNetParam=0.0),
-        ("linear", "classification"): LogisticRegression(regParam=1e-3, maxIter=100),
-        ("tree_ensemble", "regression"): GBTRegressor(maxIter=200, stepSize=0.1, seed=42),
-        ("tree_ensemble", "classification"): GBTClassifier(maxIter=200, stepSize=0.1, seed=42) if n_classes <= 2 else RandomForestClassifier(numTrees=200, seed=42),
+        ("linear", "regression"): lambda: LinearRegression(regParam=ridge, elasticNetParam=0.0, standardization=False, solver="normal"),
+        ("linear", "classification"): lambda: LogisticRegression(regParam=inverse, elasticNetParam=0.0, standardization=False, maxIter=1000),
+        ("tree_ensemble", "regression"): lambda: GBTRegressor(maxIter=200, stepSize=0.1, seed=42),
+        ("tree_ensemble", "classification"): lambda: GBTClassifier(maxIter=200, stepSize=0.1, seed=42) if n_classes <= 2 else RandomForestClassifier(numTrees=200, seed=42),
     }
     if (family, task) not in table:
         raise ValueError(f"no model {family} for {task}")
-    model = table[family, task]
+    model = table[family, task]()
     return model._set(**{k: v for k, v in params.items() if model.hasParam(k)})
 
 
-def pipeline(features: list[str], target: str, family: str, task: str, n_classes: int = 2, **params: object) -> Pipeline:
-    model = get_model(family, task, n_classes, **params)
-    model = model._set(labelCol=target, featuresCol="_features") if not isinstance(model, OneVsRest) else model
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep"), model])
+class Pipe:
+    """Preparation and a model, fitted on the same rows."""
+
+    def __init__(self, prepared: Fitted, model: Model, target: str):
+        self.prepared, self.model, self.target = prepared, model, target
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.model.transform(self.prepared.transform(rows))
+
+
+def fit_pipe(train: DataFrame, features: list[str] | Spec, target: str, family: str, task: str, **params: object) -> Pipe:
+    """The features named, as they are, or what a Spec makes of the columns, and the model on them, both fitted on train."""
+    rows = train.where(F.col(f"`{target}`").isNotNull())
+    spec = features if isinstance(features, Spec) else Spec()
+    prepared = fit_spec(spec, rows if isinstance(features, Spec) else rows.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in features), F.col(f"`{target}`")), target)
+    y = F.col(f"`{target}`")
+    facts = rows.agg(F.count(y).alias("n"), F.stddev_pop(y).alias("s") if task == "regression" else F.lit(1.0).alias("s"), F.count_distinct(y).alias("k")).first()
+    model = get_model(family, task, facts.k, facts.n, facts.s or 1.0, **params)._set(labelCol=target, featuresCol=FEATURES)
+    return Pipe(prepared, model.fit(prepared.transform(rows, training=True)), target)
 
 
 def score(predicted: DataFrame, target: str, task: str) -> dict[str, float]:
@@ -48,23 +72,40 @@ def score(predicted: DataFrame, target: str, task: str) -> dict[str, float]:
 
 def _auc(predicted: DataFrame, target: str) -> float | None:
     """Of two classes that of class 1; of more the mean over classes, each against the rest. None if a class is absent."""
-    row = predicted.select(F.size("_p").alias("n")).first()
-    if row is None or row.n <= 2:
-        return metrics.roc_auc(predicted.withColumn("_s", F.col("_p")[1]), target, "_s").first().auc if row else None
-    hit = lambda c: predicted.select((F.col(f"`{target}`") == c).cast("int").alias("y"), F.col("_p")[c].alias("s"))
-    each = [metrics.roc_auc(hit(c), "y", "s").first().auc for c in range(row.n)]
-    return None if None in each else sum(each) / len(each)
-
-
-def cross_validate(df: DataFrame, features: list[str], target: str, family: str, task: str, fold: str = "fold", with_train: bool = False, **params: object) -> DataFrame:
-    """(fold, part, metric, value): fitted on the other folds, scored on each. One fit a fold; folds are few."""
+    each = {r["class"]: r.auc for r in metrics.roc_auc_classes(predicted, target, "_p").collect()}
+    if len(each) <= 2:
+        return each.get(1)
+    return None if None in each.values() else sum(each.values()) / len(each)
+
+
+def balanced(train: DataFrame, target: str, imbalance: str | None, key: str | None) -> DataFrame:
+    """Training rows after the strategy: oversample_random (which oversample_smote stands for) and undersample_random deal
+    in rows; class_weight and none leave them as they are, as does a class of a single row."""
+    if imbalance in (None, "none", "class_weight"):
+        return train
+    if imbalance not in ("oversample_smote", "oversample_random", "undersample_random"):
+        raise ValueError(f"unknown strategy: {imbalance}")
+    if train.groupBy(target).count().agg(F.min("count")).first()[0] <= 1:
+        return train
+    if key is None:
+        raise ValueError("resampling needs a key column")
+    return resample(train, target, key, "under" if imbalance == "undersample_random" else "over").drop("copy")
+
+
+def cross_validate(df: DataFrame, features: list[str] | Spec, target: str, family: str, task: str, fold: str = "fold", with_train: bool = False, ordered: bool = False, imbalance: str | None = None, key: str | None = None, **params: object) -> DataFrame:
+    """(fold, part, metric, value): preparation and model fitted on the other folds, scored on each. With ordered the
+    folds are blocks of time, and each after the first is scored by what the blocks before it teach. Resampling by
+    `imbalance` touches training rows only. One fit a fold; folds are few."""
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     rows = []
-    for k in folds:
-        train, held = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
-        fitted = pipeline(features, target, family, task, **params).fit(train)
+    for k in folds[1:] if ordered else folds:
+        train, held = df.where(F.col(fold) < k if ordered else F.col(fold) != k).drop(fold), df.where(F.col(fold) == k).drop(fold)
+        train = balanced(train, target, imbalance, key).persist()
+        without = lambda d: d.drop(key) if key and isinstance(features, Spec) else d
+        fitted = fit_pipe(without(train), features, target, family, task, **params)
         for part, data in (("validation", held), ("train", train))[: 1 + with_train]:
-            rows += [(k, part, m, v) for m, v in score(fitted.transform(data), target, task).items()]
+            rows += [(k, part, m, v) for m, v in score(fitted.transform(without(data)), target, task).items()]
+        train.unpersist()
     return df.sparkSession.createDataFrame(rows, "fold int, part string, metric string, value double")
 
 
@@ -76,28 +117,54 @@ def diagnose(scores: DataFrame, task: str) -> dict:
     return {"gap": row.gap, "std": row.std, "verdict": metrics.verdict(row.gap, row.std)}
 
 
-def sweep(df: DataFrame, features: list[str], target: str, task: str, alphas: list[float] | None = None) -> DataFrame:
-    """(alpha, score, best): accuracy or r2 of linear models over 20 regularisations from 1e-3 to 1e2; larger is better."""
+def sweep(df: DataFrame, features: list[str] | Spec, target: str, task: str, alphas: list[float] | None = None) -> DataFrame:
+    """(alpha, score, best): accuracy or r2 of linear models over 20 penalties from 1e-3 to 1e2 (of classification, C is
+    1 / alpha); larger is better. The rows are read once and kept for all fits."""
     alphas = alphas if alphas is not None else [10 ** (-3 + 5 * i / 19) for i in range(20)]
     metric = "r2" if task == "regression" else "accuracy"
-    rows = [(a, cross_validate(df, features, target, "linear", task, regParam=a).where(F.col("metric") == metric).agg(F.avg("value")).first()[0]) for a in alphas]
+    kept = df.persist()
+    rows = [(a, cross_validate(kept, features, target, "linear", task, alpha=a, C=1 / max(a, 1e-8)).where(F.col("metric") == metric).agg(F.avg("value")).first()[0]) for a in alphas]
+    kept.unpersist()
     top = max(rows, key=lambda r: (r[1], -r[0]))[0]
     return df.sparkSession.createDataFrame([(a, s, a == top) for a, s in rows], "alpha double, score double, best boolean")
 
 
-def finalize(train: DataFrame, features: list[str], target: str, family: str, task: str, **params: object) -> str:
-    """The id of a model fitted on all of train and saved; the same request is fitted once."""
+def finalize(train: DataFrame, features: list[str] | Spec, target: str, family: str, task: str, **params: object) -> str:
+    """The id of a model fitted on all of train and saved; the same request is fitted once. With a Spec its training rows
+    are saved too, for load_model fits the preparation on them again, which gives the same one."""
     spark = train.sparkSession
-    name = handle(sorted(features), target, family, task, params, train.schema.json(), train.agg(F.count("*"), F.sum(F.xxhash64(*train.columns).cast("decimal(38,0)"))).first())
+    made = features.name if isinstance(features, Spec) else sorted(features)
+    name = handle(made, target, family, task, params, train.schema.json(), train.agg(F.count("*"), F.sum(F.xxhash64(*train.columns).cast("decimal(38,0)"))).first())
     path = f"{store_dir(spark)}/models/{name}"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
-        pipeline(features, target, family, task, **params).fit(train).write().save(path)
+    if not _there(spark, path):
+        if isinstance(features, Spec):
+            train.write.mode("overwrite").parquet(f"{path}_rows")
+            facts = json.dumps({"spec": asdict(features), "target": target})
+            spark.createDataFrame([(facts,)], "facts string").coalesce(1).write.mode("overwrite").parquet(f"{path}_spec")
+            train = spark.read.parquet(f"{path}_rows")
+            PipelineModel([fit_pipe(train, features, target, family, task, **params).model]).write().save(path)
+        else:
+            facts = train.agg(F.count(target).alias("n"), F.stddev_pop(F.col(target)).alias("s") if task == "regression" else F.lit(1.0).alias("s"), F.count_distinct(target).alias("k")).first()
+            model = get_model(family, task, facts.k, facts.n, facts.s or 1.0, **params)._set(labelCol=target, featuresCol=FEATURES)
+            Pipeline(stages=[VectorAssembler(inputCols=features, outputCol=FEATURES, handleInvalid="keep"), model]).fit(train).write().save(path)
     return name
 
 
-def load_model(spark: SparkSession, name: str) -> PipelineModel:
-    return PipelineModel.load(f"{store_dir(spark)}/models/{name}")
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def load_model(spark: SparkSession, name: str) -> PipelineModel | Pipe:
+    path = f"{store_dir(spark)}/models/{name}"
+    fitted = PipelineModel.load(path)
+    if not _there(spark, f"{path}_spec"):
+        return fitted
+    facts = json.loads(spark.read.parquet(f"{path}_spec").first().facts)
+    spec = facts["spec"]
+    spec |= {k: tuple(spec[k]) for k in ("outliers", "selection") if spec[k]}
+    rows = spark.read.parquet(f"{path}_rows").where(F.col(f"`{facts['target']}`").isNotNull())
+    return Pipe(fit_spec(Spec(**spec), rows, facts["target"]), fitted.stages[0], facts["target"])
 
 
 def final_test(spark: SparkSession, split: str, model: str, test: DataFrame, target: str, task: str) -> dict[str, float]:
@@ -143,29 +210,34 @@ def coefficients(fitted: PipelineModel, features: list[str]) -> list[tuple[str,
     return sorted(zip(features, map(float, fitted.stages[-1].coefficients), strict=True), key=lambda x: -abs(x[1]))
 
 
-def select_features(df: DataFrame, features: list[str], target: str, task: str, method: str = "auto", share: float = 0.8) -> list[str]:
-    """filter (univariate F), embedded (forest importances) or wrapper (one feature dropped a round)."""
+def select_features(df: DataFrame, features: list[str], target: str, task: str, method: str = "auto", share: float | int = 0.8) -> list[str]:
+    """filter (univariate F), embedded (importances of a forest of 200 trees, the median or more) or wrapper (forests of 100
+    trees, one feature dropped a round); all are kept where there is one at most."""
     from tabloom.operators.associate import anova, f_scores
 
     if len(features) <= 1:
         return features
     method = ("embedded" if len(features) > 50 else "filter") if method == "auto" else method
-    keep = max(1, int(share * len(features)))
-    forest = lambda names: dict(zip(names, Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_f", handleInvalid="keep"), (RandomForestRegressor if task == "regression" else RandomForestClassifier)(labelCol=target, featuresCol="_f", numTrees=200, seed=42)]).fit(df).stages[-1].featureImportances.toArray(), strict=True))
+    keep = kept_number(share, len(features))
+    forest = lambda names, trees: dict(zip(names, Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_f", handleInvalid="keep"), (RandomForestRegressor if task == "regression" else RandomForestClassifier)(labelCol=target, featuresCol="_f", numTrees=trees, seed=42)]).fit(df).stages[-1].featureImportances.toArray(), strict=True))
     if method == "filter":
         found = {r.column: r.f for r in f_scores(df, features, target).collect()} if task == "regression" else {c: anova(df, target, c).first().f for c in features}
     elif method == "embedded":
-        found = forest(features)
+        found = forest(features, 200)
+        ordered = sorted(found.values())
+        middle = (ordered[(len(ordered) - 1) // 2] + ordered[len(ordered) // 2]) / 2
+        found = {c: w if w >= middle else -1.0 for c, w in found.items()}
+        keep = min(keep, sum(w >= 0 for w in found.values()))
     elif method == "wrapper":
         left = list(features)
         while len(left) > keep:
-            weights = forest(left)
+            weights = forest(left, 100)
             left.remove(min(left, key=lambda c: weights[c]))
         return left
     else:
         raise ValueError(f"unknown method: {method}")
     chosen = set(sorted(features, key=lambda c: -(found[c] or 0.0))[:keep])
-    return [c for c in features if c in chosen]
+    return [c for c in features if c in chosen] or features
 
 
 def resample(df: DataFrame, y: str, key: str, how: str = "over") -> DataFrame:
@@ -179,3 +251,60 @@ def resample(df: DataFrame, y: str, key: str, how: str = "over") -> DataFrame:
     return rows.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy"))
 
 
+def calibration_rows(train: DataFrame, key: str, share: float = 0.2) -> DataFrame:
+    """The last rows of train in the order of key, which calibrate() is fitted on."""
+    placed = time_position(train.withColumn("_no_time", F.lit(None).cast("timestamp")), "_no_time", key)
+    return placed.where(F.col("pos") > F.floor((1 - share) * F.col("n"))).select(train.columns)
+
+
+def explain(fitted: PipelineModel, rows: DataFrame, features: list[str], target: str, task: str, key: str, top: int = 5, most: int = 20, repeats: int = 10) -> dict:
+    """method, the `most` largest importances, and (inputs, actual, predicted) of the first `top` rows by key. Linear models
+    have coefficients, the mean of those of all classes if these are several; others permutation importances."""
+    last = fitted.stages[-1]
+    if hasattr(last, "coefficientMatrix") and last.numClasses > 2:
+        weights = last.coefficientMatrix.toArray().mean(axis=0)
+        found, method = sorted(zip(features, map(float, weights), strict=True), key=lambda x: -abs(x[1])), "coefficients"
+    elif hasattr(last, "coefficients"):
+        found, method = coefficients(fitted, features), "coefficients"
+    else:
+        found = [(r.feature, r.importance) for r in permutation_importance(fitted, rows, features, target, task, key, repeats).collect()]
+        method = "permutation_importance"
+    first = fitted.transform(rows.orderBy(key).limit(top)).orderBy(key).select(*features, target, "prediction").collect()
+    examples = [{"inputs": {c: r[c] for c in features}, "actual": r[target], "predicted": r["prediction"]} for r in first]
+    return {"method": method, "importances": dict(found[:most]), "examples": examples}
+
+
+def segment_columns(rows: DataFrame, error: str, columns: list[str], most: int = 5) -> DataFrame:
+    """(column, strength), strongest first: |r| of a number with the error, and of strings the largest |r| of one
+    category's indicator (all but the first category), in closed form from the counts of each category."""
+    numbers = [c for c in columns if c in numeric(rows)]
+    texts = [c for c in columns if c not in numbers]
+    e = F.col(f"`{error}`").cast("double")
+    out = rows.sparkSession.createDataFrame([], "column string, strength double")
+    if numbers:
+        parts = [F.struct(F.lit(c).alias("column"), F.abs(corr(F.col(f"`{c}`"), e)).alias("strength")) for c in numbers]
+        out = out.union(rows.agg(F.array(*parts).alias("all")).select(F.inline("all")))
+    if texts:
+        pairs = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in texts]
+        cells = rows.select(F.inline(F.array(*pairs)), e.alias("e")).groupBy("column", "value").agg(F.count("*").alias("n"), F.sum("e").alias("wrong"))
+        all_ = F.broadcast(rows.agg(F.count("*").alias("total"), F.sum(e).alias("sum"), F.sum(e * e).alias("squares")))  # one row
+        first = F.broadcast(cells.groupBy("column").agg(F.min("value").alias("first")))
+        n, total = F.col("n").cast("double"), F.col("total").cast("double")
+        r = F.try_divide(F.col("wrong") - n * F.col("sum") / total, F.sqrt((n - n * n / total) * (F.col("squares") - F.col("sum") * F.col("sum") / total)))
+        found = cells.join(all_).join(first, "column").where("value is not null and value <> first").groupBy("column").agg(F.max(F.abs(r)).alias("strength"))
+        out = out.union(found)
+    return out.where("strength is not null").orderBy(F.desc("strength"), "column").limit(most)
+
+
+def analyse_errors(predicted: DataFrame, target: str, segments: list[str] | None = None, prediction: str = "prediction", leave: tuple[str, ...] = ()) -> DataFrame:
+    """(column, segment, n, error_rate), worst first: numbers by quartile, strings by value, nulls as nan. Without segments,
+    the five columns that go with the error most; the first row, without a column, is of all rows."""
+    y, p = F.col(f"`{target}`"), F.col(f"`{prediction}`")
+    rows = predicted.withColumn("_wrong", (~y.eqNullSafe(p)).cast("double"))
+    fine = [f.name for f in rows.schema if isinstance(f.dataType, (T.NumericType, T.StringType))]
+    segments = segments or [r.column for r in segment_columns(rows, "_wrong", [c for c in fine if c not in (target, prediction, "_wrong", *leave)]).collect()]
+    out = rows.agg(F.lit(None).cast("string").alias("column"), F.lit("all").alias("segment"), F.count("*").alias("n"), F.avg("_wrong").alias("error_rate"))
+    for c in segments:
+        part = metrics.quartile(rows, c).withColumn("_segment", F.col("quartile")) if c in numeric(rows) else rows.withColumn("_segment", F.col(f"`{c}`"))
+        out = out.union(metrics.segment_errors(part, "_segment", target, prediction).select(F.lit(c).alias("column"), "segment", "n", "error_rate"))
+    return out.orderBy(F.col("column").isNotNull(), F.desc("error_rate"), "column", "segment")

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 RANGES = 1_024
 #: Rows of a range, about, while there are fewer than RANGES.
 RANGE_ROWS = 50_000
+#: Rows of the sample that the bounds of ranges come from, about.
+SAMPLE_ROWS = 50_000
 #: Ranges of columns that are no numbers or times.
 TEXT_RANGES = 64
 
@@ -25,12 +27,15 @@ def _double(df: DataFrame, column: str):
 
 
 def bounds(df: DataFrame, columns: list[str]) -> list[list[float]]:
-    """Ascending inner bounds of the ranges of each column, by one aggregation of quantile sketches."""
-    steps = [k / RANGES for k in range(1, RANGES)]
-    sketches = [F.approx_percentile(_double(df, c), F.array(*map(F.lit, steps)), RANGES).alias(f"_{i}") for i, c in enumerate(columns)]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *sketches).first()
-    every = max(1, RANGES // max(16, 1 << math.ceil(math.log2(max(1.0, row.n / RANGE_ROWS)))))
-    return [sorted({v for v in (row[f"_{i}"] or [])[every - 1 :: every] if v is not None and math.isfinite(v)}) for i in range(len(columns))]
+    """Ascending inner bounds of the ranges of each column: quantiles of a sample of about SAMPLE_ROWS rows, which say
+    where to cut and nothing else, so results don't depend on them."""
+    values = df.select(*(_double(df, c).alias(f"_{i}") for i, c in enumerate(columns)))
+    n = values.count()
+    ranges = min(RANGES, max(16, 1 << math.ceil(math.log2(max(1.0, n / RANGE_ROWS)))))
+    sample = values.sample(min(1.0, SAMPLE_ROWS / max(1, n)), 17) if n > SAMPLE_ROWS else values
+    steps = F.array(*(F.lit(k / ranges) for k in range(1, ranges)))
+    row = sample.agg(*(F.approx_percentile(f"_{i}", steps, 4 * ranges).alias(f"_{i}") for i in range(len(columns)))).first()
+    return [sorted({v for v in row[f"_{i}"] or [] if v is not None and math.isfinite(v)}) for i in range(len(columns))]
 
 
 def with_range(df: DataFrame, column: str, name: str, inner: list[float] | None = None) -> DataFrame:

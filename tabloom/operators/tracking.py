@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.sources.tables import exists, handle, load, save
+from tabloom.sources.tables import exists, handle, load, save, store_dir
 
 BUCKETS = ["tiny", "small", "medium", "large"]
 EVENTS = "experiment string, run string, kind string, key string, value string, number double, at double"
@@ -33,8 +33,25 @@ def end_run(spark: SparkSession, experiment: str, run: str, status: str = "finis
     _append(spark, [(experiment, run, "status", "status", "FINISHED" if status == "finished" else "FAILED", None, time.time())])
 
 
-def log_parameters(spark: SparkSession, experiment: str, run: str, values: dict) -> None:
-    _append(spark, [(experiment, run, "param", k, str(v)[:500], None, time.time()) for k, v in values.items()])
+def log_parameters(spark: SparkSession, experiment: str, run: str, values: dict | None, **handles: str) -> list[str]:
+    """The names logged: the handles of what the run used (split_id, folds_id and the like), then its parameters."""
+    every = handles | {str(k): v for k, v in (values or {}).items()}
+    _append(spark, [(experiment, run, "param", k, str(v)[:500], None, time.time()) for k, v in every.items()])
+    return list(every)
+
+
+def log_artifact(spark: SparkSession, experiment: str, run: str, path: str) -> str:
+    """Copies a file or folder into the store, beside the run, and logs its place."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, goal = hadoop.Path(path), hadoop.Path(f"{store_dir(spark)}/tracking/artifacts/{run}/{path.rstrip('/').rsplit('/', 1)[-1]}")
+    conf = spark._jsc.hadoopConfiguration()
+    fs, to = source.getFileSystem(conf), goal.getFileSystem(conf)
+    if not fs.exists(source):
+        raise FileNotFoundError(path)
+    to.mkdirs(goal.getParent())
+    hadoop.FileUtil.copy(fs, source, to, goal, False, True, conf)
+    _append(spark, [(experiment, run, "artifact", goal.getName(), goal.toString(), None, time.time())])
+    return goal.toString()
 
 
 def log_metrics(spark: SparkSession, experiment: str, run: str, values: dict) -> list[str]:
@@ -70,6 +87,15 @@ def compare_runs(events: DataFrame, experiment: str, metric: str, mode: str = "m
     return rows.select("run", "number").orderBy(order, "run")
 
 
+def best_run(events: DataFrame, experiment: str, metric: str, mode: str = "max") -> dict | None:
+    """run, metrics and params of the best run by a metric (ties: the smaller name); None without one."""
+    top = compare_runs(events, experiment, metric, mode).first()
+    if top is None:
+        return None
+    rows = latest(events.where((F.col("experiment") == experiment) & (F.col("run") == top.run))).collect()  # of one run
+    return {"run": top.run, "metrics": {r.key: r.number for r in rows if r.kind == "metric"}, "params": {r.key: r.value for r in rows if r.kind == "param"}}
+
+
 def row_bucket(n: int) -> str:
     return BUCKETS[0] if n < 1_000 else BUCKETS[1] if n < 10_000 else BUCKETS[2] if n < 100_000 else BUCKETS[3]
 

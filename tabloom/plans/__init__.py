@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.operators import associate, diagnose, metrics, model, prepare, split, tracking
+from tabloom.operators import associate, diagnose, metrics, model, pipeline, prepare, split, tracking
 from tabloom.streaming.profile import windowed_profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -497,10 +498,88 @@ def cases_similar_orders(t):
     return tracking.similar_cases(cases, {"row_bucket": "small", "n_columns": 4, "role_mix": {"boolean": 2, "identifier": 2}}, "classification").select("id", "distance")
 
 
-@query()
+# Ridge on one column that is imputed by its mean and scaled, both fitted on the fold's training rows, in closed form.
+CV = """WITH d AS (SELECT o_totalprice AS y, CASE WHEN o_custkey % 5 <> 0 THEN (o_custkey % 97)::DOUBLE END AS x, {fold} AS fold FROM orders), k AS (SELECT * FROM range({first}, {last}) r(fold)),
+    m AS (SELECT k.fold, avg(x) AS mx, avg(y) AS my, count(*)::DOUBLE AS n FROM k JOIN d ON {train} GROUP BY 1),
+    s AS (SELECT m.fold, any_value(mx) AS mx, any_value(my) AS my, any_value(n) AS n, stddev_pop(coalesce(x, mx)) AS sx FROM m JOIN d ON {train2} GROUP BY 1),
+    w AS (SELECT s.fold, any_value(mx) AS mx, any_value(my) AS my, any_value(sx) AS sx, sum((coalesce(x, mx) - mx) / sx * (y - my)) / (any_value(n) + 1) AS w FROM s JOIN d ON {train3} GROUP BY 1),
+    e AS (SELECT w.fold, y, my + w * (coalesce(x, mx) - mx) / sx AS p FROM w JOIN d USING (fold)),
+    r AS (SELECT fold, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae, 1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)) AS r2 FROM e GROUP BY 1)
+    SELECT CAST(fold AS INTEGER) AS fold, 'validation' AS part, metric, value FROM r UNPIVOT (value FOR metric IN (rmse, mae, r2))"""
+
+
+def _cv_rows(t, fold):
+    return t("orders").select(F.col("o_totalprice").alias("y"), F.expr("CASE WHEN o_custkey % 5 != 0 THEN CAST(o_custkey % 97 AS DOUBLE) END").alias("x"), fold.cast("int").alias("fold"))
+
+
+RIDGE = pipeline.Spec(imputers={"x": "mean"}, scaler="standard")
+
+
+@query(CV.format(fold="o_orderkey % 3", first=0, last=3, train="d.fold <> k.fold", train2="d.fold <> m.fold", train3="d.fold <> s.fold"), "value")
 def cv_linear(t):
-    rows = split.random_folds(t("orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 7).alias("a"), F.length("o_orderpriority").alias("b")), "o_orderkey", 3)
-    return model.cross_validate(rows, ["a", "b"], "o_totalprice", "linear", "regression", with_train=True)
+    return model.cross_validate(_cv_rows(t, F.col("o_orderkey") % 3), RIDGE, "y", "linear", "regression")
+
+
+@query(CV.format(fold="year(o_orderdate) % 4", first=1, last=4, train="d.fold < k.fold", train2="d.fold < m.fold", train3="d.fold < s.fold"), "value")
+def cv_linear_time(t):
+    return model.cross_validate(_cv_rows(t, F.year("o_orderdate") % 4), RIDGE, "y", "linear", "regression", ordered=True)
+
+
+PREPARED = """WITH tr AS (SELECT * FROM orders WHERE o_custkey % 3 <> 0), q AS (SELECT quantile_cont(o_totalprice, 0.25)::DOUBLE AS a, quantile_cont(o_totalprice, 0.75)::DOUBLE AS b FROM tr),
+    c AS (SELECT *, least(greatest(o_totalprice, a - 1.5 * (b - a)), b + 1.5 * (b - a)) AS x FROM orders, q), f AS (SELECT median(x) AS m, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS w FROM c WHERE o_custkey % 3 <> 0),
+    n AS (SELECT o_orderpriority, count(*) / (SELECT count(*) FROM tr)::DOUBLE AS v FROM tr GROUP BY 1), g AS (SELECT o_clerk, sum(y) AS s, count(*) AS m FROM (SELECT o_custkey % 11 AS o_clerk, o_orderkey % 10 AS y FROM tr) GROUP BY 1)
+    SELECT o_orderkey, (x - m) / w AS price, v AS priority, (s + 10 * (SELECT avg(o_orderkey % 10) FROM tr)) / (g.m + 10) AS clerk, (o_orderstatus = 'F')::INT::DOUBLE AS f, (o_orderstatus = 'O')::INT::DOUBLE AS o, (o_orderstatus = 'P')::INT::DOUBLE AS p
+    FROM c CROSS JOIN f JOIN n USING (o_orderpriority) JOIN g ON g.o_clerk = o_custkey % 11"""
+
+
+@query(PREPARED.replace("SELECT o_orderkey, (x - m) / w", "SELECT o_orderkey, (x - f.m) / w"), "price priority clerk f o p")
+def prepared(t):
+    rows = t("orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"), (F.col("o_custkey") % 11).cast("string").alias("clerk"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 10).cast("double").alias("y"))
+    spec = pipeline.Spec(imputers={"price": "median"}, scaler="robust", outliers=("cap", ["price"]), encoders={"priority": "frequency", "clerk": "target_encoding", "status": "one_hot"})
+    out = pipeline.fit_spec(spec, rows.where("o_custkey % 3 != 0"), "y").transform(rows)
+    v = vector_to_array(pipeline.FEATURES)
+    return out.select("o_orderkey", *(v[i].alias(c) for i, c in enumerate(["price", "priority", "clerk", "f", "o", "p"])))
+
+
+CLASSES = """WITH x AS (SELECT o_orderkey % 3 AS y, unnest([0, 1, 2]) AS c, (o_custkey % 101) / 100.0::DOUBLE AS s FROM orders), r AS (SELECT c, (y = c)::INT AS hit, s2, rank() OVER (PARTITION BY c ORDER BY s2) + (count(*) OVER (PARTITION BY c, s2) - 1) / 2.0::DOUBLE AS k
+        FROM (SELECT *, CASE c WHEN 0 THEN s WHEN 1 THEN s * s WHEN 2 THEN 1 - s END AS s2 FROM x))
+    SELECT c AS class, count(*) AS n, CAST(sum(hit) AS BIGINT) AS n_positive, ((sum(k) FILTER (hit = 1)) - sum(hit) * (sum(hit) + 1) / 2.0) / (sum(hit) * (count(*) - sum(hit)))::DOUBLE AS auc FROM r GROUP BY 1"""
+
+
+@query(CLASSES, "auc")
+def metrics_auc_classes(t):
+    s = (F.col("o_custkey") % 101) / 100.0
+    rows = t("orders").select((F.col("o_orderkey") % 3).alias("y"), F.array(s, s * s, 1 - s).alias("scores"))
+    return metrics.roc_auc_classes(rows, "y", "scores")
+
+
+CATEGORY_SHIFT = """WITH c AS (SELECT o_orderpriority AS v, count(*) FILTER (o_custkey % 4 = 0) AS a, count(*) FILTER (o_custkey % 4 <> 0) AS b FROM orders GROUP BY 1),
+    s AS (SELECT *, (a + b) * sum(a) OVER () / (sum(a + b) OVER ())::DOUBLE AS ea, (a + b) * sum(b) OVER () / (sum(a + b) OVER ())::DOUBLE AS eb FROM c)
+    SELECT CAST(sum(a) AS BIGINT) AS n1, CAST(sum(b) AS BIGINT) AS n2, CAST(count(*) AS INTEGER) AS k, sum((a - ea) * (a - ea) / ea + (b - eb) * (b - eb) / eb) AS chi2 FROM s"""
+
+
+@query(CATEGORY_SHIFT, "chi2")
+def shift_categories(t):
+    return associate.shift_categories(t("orders").withColumn("first", F.col("o_custkey") % 4 == 0), "o_orderpriority", "first")
+
+
+@query("""WITH x AS (SELECT *, (o_orderstatus <> 'F')::INT::DOUBLE AS e FROM orders), d AS (SELECT o_orderpriority AS v, abs(corr(h, e)) AS r FROM (SELECT y.o_orderpriority, (x.o_orderpriority = y.o_orderpriority)::INT::DOUBLE AS h, e FROM x, (SELECT DISTINCT o_orderpriority FROM orders) y WHERE y.o_orderpriority > (SELECT min(o_orderpriority) FROM orders)) GROUP BY 1)
+    SELECT 'o_totalprice' AS "column", abs(corr(o_totalprice, e)) AS strength FROM x UNION ALL SELECT 'o_custkey', abs(corr(o_custkey, e)) FROM x UNION ALL SELECT 'o_orderpriority', max(r) FROM d""", "strength")
+def segment_columns(t):
+    return model.segment_columns(t("orders").withColumn("e", (F.col("o_orderstatus") != "F").cast("int")), "e", ["o_totalprice", "o_custkey", "o_orderpriority"])
+
+
+@query("""WITH r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY md5(concat(CAST(doc_id AS VARCHAR), '|42')), doc_id) AS k, count(*) OVER (PARTITION BY toxic) AS n FROM labels), m AS (SELECT max(n) AS most FROM r)
+    SELECT doc_id, toxic, most // n + (k <= most % n)::INT AS copies FROM r, m""")
+def resample_rows(t):
+    return model.resample(t("labels").select("doc_id", "toxic"), "toxic", "doc_id", "over").groupBy("doc_id", "toxic").agg(F.count("*").alias("copies"))
+
+
+@query("SELECT arg_max(CAST(user_id AS VARCHAR), (value, -user_id)) AS run, max(value) AS number FROM (SELECT user_id, arg_max_null(value, event_id) AS value FROM events WHERE event_type = 'click' GROUP BY 1)", "number")
+def run_best(t):
+    rows = t("events").select(F.col("event_type").alias("experiment"), F.col("user_id").cast("string").alias("run"), F.lit("metric").alias("kind"), F.lit("value").alias("key"), F.lit(None).cast("string").alias("value"), F.col("value").alias("number"), F.col("event_id").cast("double").alias("at"))
+    best = tracking.best_run(rows, "click", "value")
+    return t("region").sparkSession.createDataFrame([(best["run"], best["metrics"]["value"])], "run string, number double")
 
 
 @query()

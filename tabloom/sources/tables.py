@@ -25,7 +25,8 @@ def store_dir(spark: SparkSession) -> str:
 
 def load_dataset(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> tuple[str, DataFrame]:
     """(handle, rows) of a Parquet (by its suffix) or else CSV file or folder. NaN becomes null. Spark
-    raises if the path doesn't exist. The handle covers the path and the reader's options."""
+    raises if the path doesn't exist. The handle covers the path, the reader's options, and size and time of the last
+    change of its files, so an edited file has another one."""
     if path.lower().endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
@@ -34,7 +35,16 @@ def load_dataset(spark: SparkSession, path: str, delimiter: str | None = None, e
         df = typed(df)
     double = (T.DoubleType, T.FloatType)
     df = df.select(*(F.when(~F.isnan(f"`{f.name}`"), F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, double) else F.col(f"`{f.name}`") for f in df.schema))
-    return handle(path, delimiter, encoding), df
+    return handle(path, delimiter, encoding, stamp(spark, path)), df
+
+
+def stamp(spark: SparkSession, path: str) -> list[int]:
+    """Bytes, number of files and latest change of what lies at a path; one listing by the driver."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    summary = fs.getContentSummary(at)
+    inside = fs.listStatus(at) or []
+    return [summary.getLength(), summary.getFileCount(), max([fs.getFileStatus(at).getModificationTime(), *(f.getModificationTime() for f in inside)])]
 
 
 def typed(df: DataFrame) -> DataFrame:
@@ -62,12 +72,37 @@ def exists(spark: SparkSession, folder: str, name: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def save_split(df: DataFrame, name: str) -> str:
-    """Rows with the column part (train or test), partitioned by it, so that reading one never scans the other."""
-    path = f"{store_dir(df.sparkSession)}/splits/{name}"
+def save_split(df: DataFrame, name: str, **meta: object) -> str:
+    """Rows with the column part (train or test), partitioned by it, so that reading one never scans the other. meta (target,
+    task, strategy and so on) is kept with the sizes of the parts."""
+    spark = df.sparkSession
+    path = f"{store_dir(spark)}/splits/{name}"
     df.write.mode("overwrite").partitionBy("part").parquet(path)
+    sizes = {f"n_{r.part}": r["count"] for r in spark.read.parquet(path).groupBy("part").count().collect()}
+    facts = json.dumps({"n_train": 0, "n_test": 0} | sizes | meta, sort_keys=True, default=str)
+    spark.createDataFrame([(facts,)], "facts string").coalesce(1).write.mode("overwrite").parquet(f"{path}_meta")
     return path
 
 
+def split_meta(spark: SparkSession, name: str) -> dict:
+    return json.loads(spark.read.parquet(f"{store_dir(spark)}/splits/{name}_meta").first().facts)
+
+
+def save_folds(df: DataFrame, name: str, split: str, strategy: str, fold: str = "fold") -> str:
+    """Training rows with their fold, partitioned by it, and what they were made from; load_folds reads both."""
+    spark = df.sparkSession
+    path = f"{store_dir(spark)}/folds/{name}"
+    df.write.mode("overwrite").partitionBy(fold).parquet(path)
+    n = spark.read.parquet(path).select(fold).distinct().count()
+    facts = json.dumps({"split_id": split, "strategy": strategy, "n_folds": n, "fold": fold}, sort_keys=True)
+    spark.createDataFrame([(facts,)], "facts string").coalesce(1).write.mode("overwrite").parquet(f"{path}_meta")
+    return path
+
+
+def load_folds(spark: SparkSession, name: str) -> tuple[DataFrame, dict]:
+    path = f"{store_dir(spark)}/folds/{name}"
+    return spark.read.parquet(path), json.loads(spark.read.parquet(f"{path}_meta").first().facts)
+
+
 def load_part(spark: SparkSession, name: str, part: str) -> DataFrame:
     return spark.read.parquet(f"{store_dir(spark)}/splits/{name}").where(F.col("part") == part).drop("part")

@@ -18,7 +18,9 @@ def test_csv_types_and_handles(spark, tmp_path):
     name, df = load_dataset(spark, str(path))
     assert [t for _, t in df.dtypes] == ["bigint", "double", "string", "boolean", "string"]
     assert df.collect()[1].d is None and df.collect()[1].s is None
-    assert name == handle(str(path), None, None) != load_dataset(spark, str(path), ";")[0]
+    assert name == load_dataset(spark, str(path))[0] != load_dataset(spark, str(path), ";")[0]
+    path.write_text("n,d,s,b,none\n1,1.5,x,true,NA\n2,NaN,,false,\n3,1.0,y,true,\n")
+    assert name != load_dataset(spark, str(path))[0]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         load_dataset(spark, str(tmp_path / "missing.csv"))
 
