@@ -12,17 +12,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession, what: str) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share. Where the session names none, a
+    temporary one in local mode, as in tests; on a cluster that would lose data, so it is refused."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix=f"spark-{what}-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df in the folder that spark.checkpoint.dir names, which driver and executors
-    share.  Only where the session names none, as in tests, a temporary folder is used."""
+    """Checkpoint df in the shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_dir(spark, "checkpoint"))
     return df.checkpoint()
 
 
+#: A key with more than this part of all rows is hot; so there are fewer than HOT_PART such keys.
+HOT_PART = 1_000
+#: Tasks that the rows of a hot key are dealt to.
+SPREAD = 128
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> list:
+    """The keys of counts (a row for each) with more than 1 / HOT_PART of the total, fewer than HOT_PART of them."""
+    return [r[0] for r in counts.where(F.col(n) > max(SPREAD, total // HOT_PART)).select(key).limit(HOT_PART).collect()]
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str | list[str], hot: list, how: str = "inner") -> DataFrame:
+    """left.join(right, on, how), where right has a row for each key. Rows of left with a hot value of the first column of
+    `on` are dealt to SPREAD tasks by a hash of the row, and right's row for it is repeated in each."""
+    on = [on] if isinstance(on, str) else on
+    if not hot:
+        return left.join(right, on, how)
+    is_hot = F.col(on[0]).isin(hot)
+    salt = F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0))
+    each = F.when(is_hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    return left.withColumn("_salt", salt).join(right.withColumn("_salt", F.explode(each)), [*on, "_salt"], how).drop("_salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm.bytekit import prefix_hash, ranges, span_hash
-from tabloom.llm.common import cut
+from tabloom.llm.common import cut, hot_keys, join_hot
 from tabloom.llm.docmap import add_columns, explode_rows
 from tabloom.llm.suffix import common_prefixes, packed_bytes, suffix_array
 
@@ -40,7 +40,7 @@ MOST_CONTEXTS = 2_000
 _POSITION = np.uint64((1 << 28) - 1)
 
 RUN = T.StructType(
-    [T.StructField(c, t) for c, t in (("anchor", T.LongType()), ("doc", T.LongType()), ("start", T.IntegerType()), ("windows", T.IntegerType()), ("lead", T.IntegerType()), ("context", T.LongType()))]
+    [T.StructField(c, t) for c, t in (("anchor", T.LongType()), ("doc", T.LongType()), ("doc2", T.LongType()), ("start", T.IntegerType()), ("windows", T.IntegerType()), ("lead", T.IntegerType()), ("context", T.LongType()))]
 )
 CONTEXT = ["anchor", "context", "lead", "windows"]
 
@@ -74,8 +74,11 @@ def runs(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.nda
     return starts[head], np.diff(np.append(head, len(starts))), place[head], doc[head], sums
 
 
-def _document_hash(sums: np.ndarray, off: np.ndarray) -> np.ndarray:
-    return span_hash(sums, off[:-1], off[1:]).view(np.int64)
+def _document_digest(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each whole text."""
+    raw = data.tobytes()
+    both = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)), np.int64)
+    return both[0::2], both[1::2]
 
 
 def _anchors(length: int, k: int):
@@ -89,9 +92,11 @@ def _anchors(length: int, k: int):
 def _all_runs(length: int, k: int):
     def kernel(data: np.ndarray, off: np.ndarray, rows: pa.RecordBatch) -> list[pa.Array]:
         start, count, place, doc, sums = runs(data, off, length, k)
+        one, two = _document_digest(data, off)
         return [
             pa.array(span_hash(sums, place, place + k).view(np.int64)),
-            pa.array(_document_hash(sums, off)[doc]),
+            pa.array(one[doc]),
+            pa.array(two[doc]),
             pa.array(start - off[doc], pa.int32()),
             pa.array(count, pa.int32()),
             pa.array(place - start, pa.int32()),
@@ -102,7 +107,10 @@ def _all_runs(length: int, k: int):
 
 
 def _hashed(data: np.ndarray, off: np.ndarray, rows: pa.RecordBatch) -> list[pa.Array]:
-    return [pa.array(_document_hash(prefix_hash(data), off))]
+    return [pa.array(x) for x in _document_digest(data, off)]
+
+
+DIGEST = [RUN["doc"], RUN["doc2"]]
 
 
 DECIDED = T.StructType(
@@ -170,30 +178,36 @@ def _merge(table: pa.Table) -> pa.Table:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """(doc, spans): for each distinct text with repeats, by its hash, the stretches [from, to) of bytes
+    """(doc, doc2, spans): for each distinct text with repeats, by its digest, the stretches [from, to) of bytes
     that repeated strings of `length` cover; they may overlap. docs has the columns id and text."""
     texts = docs.where(F.octet_length("text") >= length)
-    repeated = explode_rows(texts.select("text"), _anchors(length, k), T.StructType([RUN["anchor"]])).groupBy("anchor").count().where("count > 1").select("anchor")
-    places = explode_rows(texts.select("text"), _all_runs(length, k), RUN).join(repeated, "anchor")
+    counts = explode_rows(texts.select("text"), _anchors(length, k), T.StructType([RUN["anchor"]])).groupBy("anchor").count().where("count > 1")
+    counts = cut(counts)
+    hot = hot_keys(counts, "anchor", "count", counts.agg(F.sum("count")).first()[0] or 0)
+    places = join_hot(explode_rows(texts.select("text"), _all_runs(length, k), RUN), counts.select("anchor"), "anchor", hot)
     # The places of a context in copies of one text are as many places, but one document of the result.
     places = cut(places.groupBy(*RUN.names).agg(F.count("*").alias("n")))
-    contexts = places.groupBy(*CONTEXT).agg(F.sum("n").alias("n"), F.min(F.struct("doc", "start")).alias("at"))
-    contexts = cut(contexts.select(*CONTEXT, "n", "at.doc", "at.start"))
-    several = contexts.groupBy("anchor").count().where(F.col("count") > 1)
-    alone = contexts.join(several, "anchor", "left_anti").where("n > 1")
-    contexts = cut(contexts.join(several, "anchor"))
+    contexts = places.groupBy(*CONTEXT).agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min(F.struct("doc", "doc2", "start")).alias("at"))
+    contexts = cut(contexts.select(*CONTEXT, "n", "rows", "at.doc", "at.doc2", "at.start"))
+    everywhere = hot_keys(contexts, "context", "rows", contexts.agg(F.sum("rows")).first()[0] or 0)
+    contexts = contexts.drop("rows")
+    several = cut(contexts.groupBy("anchor").count().where(F.col("count") > 1))
+    varied = hot_keys(several, "anchor", "count", several.agg(F.sum("count")).first()[0] or 0)
+    alone = join_hot(contexts, several, "anchor", varied, "left_anti").where("n > 1")
+    contexts = cut(join_hot(contexts, several, "anchor", varied))
     total = contexts.agg(F.sum(F.col("windows") + F.lit(length - 1))).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
 
     parts = F.ceil(F.col("count") / F.lit(MOST_CONTEXTS))
     dealt = contexts.withColumn("divided", parts > 1)
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("anchor", F.when(F.col("divided"), F.pmod(F.col("context"), parts))), F.lit(shards)))
-    wanted = dealt.groupBy("doc").agg(F.collect_list(F.struct("shard", *CONTEXT, "n", "divided", "start")).alias("wanted"))
+    wanted = dealt.groupBy("doc", "doc2").agg(F.collect_list(F.struct("shard", *CONTEXT, "n", "divided", "start")).alias("wanted"))
     # One row of each wanted text: the least id. (Rows with the same id and text give contexts twice; shards drop those.)
-    hashed = add_columns(texts.select("id", "text"), _hashed, [RUN["doc"]])
-    holders = hashed.groupBy("doc").agg(F.min("id").alias("id"))
-    wanted = wanted.join(holders, "doc")
-    cuts = hashed.alias("h").join(wanted.alias("w"), (F.col("h.doc") == F.col("w.doc")) & F.col("h.id").eqNullSafe(F.col("w.id"))).select(F.inline("wanted"), F.encode("text", "UTF-8").alias("raw"))
+    hashed = add_columns(texts.select("id", "text"), _hashed, DIGEST)
+    holders = hashed.groupBy("doc", "doc2").agg(F.min("id").alias("id"))
+    wanted = wanted.join(holders, ["doc", "doc2"])
+    same = (F.col("h.doc") == F.col("w.doc")) & (F.col("h.doc2") == F.col("w.doc2")) & F.col("h.id").eqNullSafe(F.col("w.id"))
+    cuts = hashed.alias("h").join(wanted.alias("w"), same).select(F.inline("wanted"), F.encode("text", "UTF-8").alias("raw"))
     cuts = cuts.select("shard", *CONTEXT, "n", "divided", F.substring(F.col("raw"), F.col("start") + 1, F.col("windows") + F.lit(length - 1)).alias("bytes"))
     decided = cut(cuts.groupBy("shard").applyInArrow(_decide(length), DECIDED))
 
@@ -205,9 +219,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     whole = alone.select(*CONTEXT, F.lit(0).alias("place"), (F.col("windows") - 1).alias("last"))
     stretches = sure.union(crossing).union(whole).groupBy(*CONTEXT).agg(F.collect_list(F.struct("place", "last")).alias("found"))
 
-    back = places.select(*CONTEXT, "doc", "start").join(stretches, CONTEXT)
+    back = join_hot(places.select("context", *(c for c in CONTEXT if c != "context"), "doc", "doc2", "start"), stretches, ["context", *(c for c in CONTEXT if c != "context")], everywhere)
     moved = F.transform("found", lambda x: F.struct((x["place"] + F.col("start")).alias("from"), (x["last"] + F.col("start") + F.lit(length)).alias("to")))
-    return back.select("doc", moved.alias("spans")).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return back.select("doc", "doc2", moved.alias("spans")).groupBy("doc", "doc2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 REMOVED = [
@@ -257,7 +271,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     spans = repeated_spans(rows, length, k)
-    hashed = add_columns(rows, _hashed, [RUN["doc"]])
-    joined = hashed.join(spans, "doc", "left").select("id", "text", "spans")
+    hashed = add_columns(rows, _hashed, DIGEST)
+    joined = hashed.join(spans, ["doc", "doc2"], "left").select("id", "text", "spans")
     out = add_columns(joined, _removal(with_kept), REMOVED, drop=("text", "spans"))
     return out.withColumnRenamed("id", doc_id)

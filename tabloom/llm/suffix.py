@@ -50,7 +50,7 @@ def suffix_array(keys: np.ndarray, width: int, depth: int) -> np.ndarray:
 def packed_bytes(data: np.ndarray) -> np.ndarray:
     """The next eight bytes at every position as one big-endian number; past the end counts as 0.
 
-    Text has no zero byte here (callers map it away), so an end orders before any byte.
+    A zero byte looks like the end here; callers put bytes behind the last text that no text has, so no end is near.
     """
     padded = np.zeros(len(data) + 8, np.uint64)
     padded[: len(data)] = data

@@ -14,11 +14,11 @@ from tabloom.llm.suffix import common_prefixes, packed_bytes, suffix_array
 
 def brute(docs, length):
     raw = [(d, (t or "").encode()) for d, t in docs]
-    seen = Counter(x[i : i + length] for _, x in raw for i in range(len(x) - length + 1))
+    seen = Counter(hash(x[i : i + length]) for _, x in raw for i in range(len(x) - length + 1))
     for d, x in raw:
         gone = [False] * (len(x) + 1)
         for i in range(len(x) - length + 1):
-            if seen[x[i : i + length]] > 1:
+            if seen[hash(x[i : i + length])] > 1:
                 gone[i : i + length] = [True] * length
         spans = sum(gone[i] and not (i and gone[i - 1]) for i in range(len(x)))
         kept = bytes(b for b, g in zip(x, gone, strict=False) if not g)
@@ -34,6 +34,24 @@ def test_query_against_brute_force(spark, sf_dir):
     assert rows(queries.op6_suffix_dedup(spark, sf_dir)) == sorted(brute(docs, 400), key=str)
 
 
+def test_larger_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert rows(remove_repeats(docs, with_kept=False)) == sorted(brute([tuple(r) for r in docs.collect()], 400), key=str)
+
+
+def test_hot_keys(spark, monkeypatch):
+    """A third exact copies, a third near copies, one line everywhere: keys with many rows are dealt to several tasks."""
+    monkeypatch.setattr("tabloom.llm.common.SPREAD", 4)
+    monkeypatch.setattr("tabloom.llm.common.HOT_PART", 50)
+    rng = random.Random(5)
+    fresh = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    copy, near, line = fresh(300), fresh(280), "the same old line. "
+    docs = [(i, copy) for i in range(150)] + [(200 + i, near[:140] + fresh(3) + near[140:]) for i in range(150)]
+    docs += [(400 + i, fresh(60) + line * (i % 9) + fresh(40)) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    assert rows(remove_repeats(df, length=40, k=12)) == sorted(brute(docs, 40), key=str)
+
+
 @pytest.mark.parametrize("most", [2000, 3])  # with 3, minimisers are divided and classes merged across shards
 def test_planted(spark, monkeypatch, most):
     monkeypatch.setattr("tabloom.llm.repeats.MOST_CONTEXTS", most)
