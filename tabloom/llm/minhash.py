@@ -8,33 +8,36 @@ chunk without the symbol in error: every document is indexed under 8 x 4 such ke
 similarity 0.8 has no common key with probability 1e-6.)  Candidates are then confirmed on full sets.
 
 A bucket of n documents is not expanded into pairs of rows.  Documents with equal sets are one class.
-All members of a bucket also share its pivot, the class of the smallest id, so classes are
-grouped by pivot, and each group compares its members with the pivot first.  Only in groups that the
-links so far leave in several components, members outside the pivot's component are compared with those
-inside and with each other: in blocks of a bounded size, by a matrix product of the block's incidence of
-shingles, of which only links between different components leave the task.
+All members of a bucket also share its pivot, the class of the smallest id, so classes are grouped by pivot. The
+Hamming distance of signatures comes first: a pair that differs in more than MOST_DISTANCE symbols is no candidate
+(at similarity 0.8 that has probability 3e-8), and only members of candidate pairs have their sets read. Each group
+compares its members with the pivot; only in groups that the links so far leave in several components, members
+outside the pivot's component are compared with those inside and with each other, first by signature, then by set: in
+blocks of a bounded size, by a matrix product of the block's incidence of shingles, of which only links between
+different components leave the task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm.bytekit import LOWER, NOT_SPACE, mix, prefix_hash, sequence_hash, span_hash, words
-from tabloom.llm.common import components, cut
+from tabloom.llm.common import components, cut, hot_keys, join_hot
 from tabloom.llm.docmap import add_columns
 
 CHUNKS, SYMBOLS = 8, 4
-#: Members of a block, about.
-BLOCK = 384
+#: Members of a block, about, and their shingles.
+BLOCK, BLOCK_SHINGLES = 384, 2_000_000
+#: Symbols in which the signatures of a candidate pair differ, at most.
+MOST_DISTANCE = 20
 
 _seeds = np.random.default_rng(7919).integers(1, 2**63, (2, CHUNKS * SYMBOLS), dtype=np.uint64) | np.uint64(1)
-_CHUNK_KEYS = [[s for s in range(SYMBOLS) if s != left_out] for left_out in range(SYMBOLS)]
+#: A signature's chunks, each a number of four symbols of 16 bits.
+CHUNK = [f"c{k}" for k in range(CHUNKS)]
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +74,7 @@ SKETCH = [
     T.StructField("n_shingles", T.LongType()),
     T.StructField("digest1", T.LongType()),
     T.StructField("digest2", T.LongType()),
-    T.StructField("signature", T.BinaryType()),
+    *(T.StructField(c, T.LongType()) for c in CHUNK),
 ]
 
 
@@ -82,7 +85,7 @@ def _sketch(n: int):
         # Digests of the whole set that don't depend on its order.
         sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(seed))))) for seed in (1, 2)]
         one, two = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
-        return [pa.array(np.diff(at), pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([r.tobytes() for r in symbols], pa.binary())]
+        return [pa.array(np.diff(at), pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *(pa.array(np.ascontiguousarray(symbols).view(np.int64)[:, c]) for c in range(CHUNKS))]
 
     return kernel
 
@@ -95,26 +98,29 @@ def _full_set(n: int):
     return kernel
 
 
-def _symbols(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, CHUNKS * SYMBOLS).astype(np.int64)
-
-
 def index_keys(classes: DataFrame) -> DataFrame:
-    """(key, id): each class under its keys, a chunk with one symbol left out each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            symbols, ids = _symbols(batch.column("signature")), batch.column("id")
-            for chunk in range(CHUNKS):
-                for left_out, used in enumerate(_CHUNK_KEYS):
-                    key = np.full(len(symbols), chunk * SYMBOLS + left_out, np.int64)
-                    for s in used:
-                        key = (key << 16) | symbols[:, chunk * SYMBOLS + s]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), ids], names=["key", "id"])
-
-    return classes.select("id", "signature").mapInArrow(run, "key long, id long")
+    """(key, id): each class under its keys, a chunk with one symbol left out each, and their number."""
+    low = lambda x, bits: x.bitwiseAND(F.lit((1 << bits) - 1))
+    keys = []
+    for k, c in enumerate(CHUNK):
+        x = F.col(c)
+        for left_out in range(SYMBOLS):
+            # The symbols above the one left out move down by one.
+            above = F.shiftleft(F.shiftrightunsigned(x, 16 * (left_out + 1)), 16 * left_out) if left_out < SYMBOLS - 1 else F.lit(0).cast("long")
+            rest = above.bitwiseOR(low(x, 16 * left_out)) if left_out else above
+            keys.append(rest.bitwiseOR(F.lit((k * SYMBOLS + left_out) << 48)))
+    return classes.select(F.explode(F.array(*keys)).alias("key"), "id")
+
+
+def symbols_apart(a: str, b: str) -> Column:
+    """In how many symbols the signatures of columns a_c0, ... and b_c0, ... differ."""
+    total = F.lit(0)
+    for c in CHUNK:
+        x = F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))
+        for shift in (8, 4, 2, 1):  # the lowest bit of each symbol says whether any of its bits differs
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+    return total
 
 
 LINK = "a long, b long"
@@ -169,29 +175,55 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("pivot", "i", "j").applyInArrow(_compare(percent), LINK)
 
 
-def star_blocks(groups: DataFrame) -> DataFrame:
-    """Of (pivot, id), blocks of members (side 1) with their pivot (side 0)."""
-    parts = groups.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
-    members = groups.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("parts")).alias("i"), F.lit(1).alias("side"), "id")
+def _near(table: pa.Table) -> pa.Table:
+    """Of a block, the members with a candidate partner in another component: between sides 0 and 1, or among all."""
+    side, ids, component = (table.column(c).to_numpy() for c in ("side", "id", "component"))
+    symbols = np.ascontiguousarray(np.stack([table.column(c).to_numpy() for c in CHUNK], axis=1)).view(np.uint16)
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    first = first if len(first) else second
+    apart = np.zeros((len(first), len(second)), np.int16)
+    for s in range(symbols.shape[1]):
+        apart += symbols[first, s][:, None] != symbols[second, s]
+    near = (apart <= MOST_DISTANCE) & (component[first][:, None] != component[second])
+    found = np.unique(np.concatenate((ids[first[near.any(axis=1)]], ids[second[near.any(axis=0)]])))
+    return pa.table([pa.array(np.full(len(found), table.column("pivot")[0].as_py()), pa.int64()), pa.array(found, pa.int64())], names=["pivot", "id"])
+
+
+def _parts(count: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(count / F.lit(BLOCK), shingles / F.lit(BLOCK_SHINGLES))).cast("long")
+
+
+def star_blocks(groups: DataFrame, hot: list) -> DataFrame:
+    """Of (pivot, id, n_shingles), blocks of members (side 1) with their pivot (side 0)."""
+    parts = groups.groupBy("pivot").agg(_parts(F.count("*"), F.sum("n_shingles")).alias("parts"))
+    members = join_hot(groups.select("pivot", "id"), parts, "pivot", hot).select("pivot", F.pmod(F.xxhash64("id"), F.col("parts")).alias("i"), F.lit(1).alias("side"), "id")
     pivots = parts.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.lit(0).alias("side"), F.col("pivot").alias("id"))
     return members.union(pivots).select("pivot", "i", F.lit(0).alias("j"), "side", "id", F.col("id").alias("component"))
 
 
-def crossing_blocks(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """Of groups (pivot, id) in several components, the pairs of blocks that show every pair of members of
-    which one at least is outside the pivot's component.  Blocks of the pivot's component are 0, 1, ...,
-    those of others -1, -2, ...; a pair of blocks is dealt to every member of both."""
+def in_components(groups: DataFrame, found: DataFrame, classes: DataFrame, hot: list) -> DataFrame:
+    """Of groups (pivot, id) all members and pivots, with component, inside (whether it is the pivot's) and n_shingles."""
     of = found.select("id", "component")
-    both = groups.union(groups.select("pivot", F.col("pivot").alias("id")).distinct())
-    both = both.join(of, "id", "left").join(of.select(F.col("id").alias("pivot"), F.col("component").alias("home")), "pivot", "left")
-    both = cut(both.select("pivot", "id", F.coalesce("component", "id").alias("component"), (F.coalesce("component", "id") == F.coalesce("home", "pivot")).alias("inside")))
-    counts = both.groupBy("pivot").agg(F.count_if("inside").alias("n_in"), F.count_if(~F.col("inside")).alias("n_out")).where("n_out > 0 and n_in + n_out > 1")
-    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("long")
-    rows = both.join(counts.select("pivot", blocks("n_in").alias("ins"), blocks("n_out").alias("outs")), "pivot")
-    mine = F.when(F.col("inside"), F.pmod(F.xxhash64("id"), F.col("ins"))).otherwise(-1 - F.pmod(F.xxhash64("id"), F.col("outs")))
+    both = groups.select("pivot", "id").union(groups.select("pivot", F.col("pivot").alias("id")).distinct())
+    both = both.join(of, "id", "left").join(classes.select("id", "n_shingles"), "id")
+    both = join_hot(both, of.select(F.col("id").alias("pivot"), F.col("component").alias("home")), "pivot", hot, "left")
+    return cut(both.select("pivot", "id", "n_shingles", F.coalesce("component", "id").alias("component"), (F.coalesce("component", "id") == F.coalesce("home", "pivot")).alias("inside")))
+
+
+def crossing_blocks(both: DataFrame, hot: list, by_size: bool) -> DataFrame:
+    """Of in_components, the pairs of blocks that show every pair of members of which one at least is outside the
+    pivot's component.  Blocks of the pivot's component are 0, 1, ..., those of others -1, -2, ...; a pair of blocks is
+    dealt to every member of both. With by_size blocks are bounded in shingles too."""
+    inside = F.col("inside")
+    weight = F.col("n_shingles") if by_size else F.lit(0)
+    parts = [_parts(F.count_if(x), F.coalesce(F.sum(F.when(x, weight)), F.lit(0))).alias(n) for x, n in ((inside, "ins"), (~inside, "outs"))]
+    counts = both.groupBy("pivot").agg(*parts, F.count("*").alias("n")).where("outs > 0 and n > 1").drop("n")
+    rows = join_hot(both, counts, "pivot", hot)
+    mine = F.when(inside, F.pmod(F.xxhash64("id"), F.col("ins"))).otherwise(-1 - F.pmod(F.xxhash64("id"), F.col("outs")))
     rows = rows.withColumn("mine", mine)
     outer = F.sequence(-F.col("outs"), F.lit(-1).cast("long"))
-    others = F.when(F.col("inside"), outer).otherwise(F.concat(outer, F.sequence(F.lit(0).cast("long"), F.col("ins") - 1)))
+    within = F.when(F.col("ins") > 0, F.sequence(F.lit(0).cast("long"), F.col("ins") - 1)).otherwise(F.array().cast("array<long>"))
+    others = F.when(inside, outer).otherwise(F.concat(outer, within))
     rows = rows.select("pivot", "id", "component", "mine", F.explode(others).alias("other"))
     i, j = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when((F.col("mine") == i), 1).otherwise(0)  # a block with itself has side 1 only
@@ -214,20 +246,37 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     rows = cut(add_columns(texts, _sketch(n), SKETCH, drop=("text",)))
     same = ["n_shingles", "digest1", "digest2"]
     known = rows.where("n_shingles > 0 and id is not null")
-    classes = cut(known.groupBy(*same).agg(F.min("id").alias("id"), F.min("signature").alias("signature")))
+    classes = cut(known.groupBy(*same).agg(F.min("id").alias("id"), *(F.min(c).alias(c) for c in CHUNK)))  # equal sets, equal signatures
 
     keys = index_keys(classes)
-    shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
-    groups = cut(keys.join(shared, "key").where("pivot < id").select("pivot", "id").distinct())
-    ids = groups.select("id").union(groups.select("pivot")).distinct()
+    shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("n")).where("pivot < last")
+    shared = cut(shared.select("key", "pivot", "n"))
+    crowded = hot_keys(shared, "key", "n", shared.agg(F.sum("n")).first()[0] or 0)
+    groups = cut(join_hot(keys, shared.select("key", "pivot"), "key", crowded).where("pivot < id").select("pivot", "id").distinct())
+    sizes = groups.groupBy("pivot").count()
+    hot = hot_keys(sizes, "pivot", "count", groups.count())
+    # Members with their own signature, and with that of their pivot.
+    signed = classes.select("id", "n_shingles", *CHUNK)
+    pairs = join_hot(groups.join(signed, "id"), signed.select(F.col("id").alias("pivot"), *(F.col(c).alias(f"p{c}") for c in CHUNK)), "pivot", hot)
+    near = pairs.where(symbols_apart("", "p") <= MOST_DISTANCE).groupBy("pivot", "id").agg(F.max("n_shingles").alias("n_shingles"))
+    star = star_blocks(cut(near), hot)
+
     field = T.StructField("shingles", T.ArrayType(T.LongType()))
-    sets = cut(add_columns(texts.join(ids, "id", "left_semi"), _full_set(n), [field], "text", drop=("text",)).where("size(shingles) > 0"))
 
-    links = cut(_links(star_blocks(groups), sets, percent))
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return cut(add_columns(texts.join(ids.distinct(), "id", "left_semi"), _full_set(n), [field], "text", drop=("text",)).where("size(shingles) > 0"))
+
+    links = cut(_links(star, sets_of(star.select("id")), percent))
     found = components(links)
-    more = cut(_links(crossing_blocks(groups, found), sets, percent))
-    if not more.isEmpty():
-        found = components(links.union(more))
+    both = in_components(groups, found, classes, hot)
+    blocks = crossing_blocks(both, hot, by_size=False).join(signed.drop("n_shingles"), "id")
+    near = cut(blocks.groupBy("pivot", "i", "j").applyInArrow(_near, "pivot long, id long").distinct())
+    if not near.isEmpty():
+        # Only members with a candidate partner go on to the comparison of sets.
+        left = crossing_blocks(both.join(near, ["pivot", "id"], "left_semi"), hot, by_size=True)
+        more = cut(_links(left, sets_of(near.select("id")), percent))
+        if not more.isEmpty():
+            found = components(links.union(more))
 
     named = classes.join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
     out = rows.select("id", *same).join(named, same, "left")

@@ -83,3 +83,44 @@ def test_query_against_sql(spark, sf_dir):
     want = con.sql(queries.ORACLES["op9_minhash"])
     assert want.columns == ["doc_id", "n_shingles", "component_id", "kept"]
     assert sorted(map(tuple, queries.op9_minhash(spark, sf_dir).collect())) == sorted(want.fetchall())
+
+
+def test_signature_distance(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tabloom.llm.minhash import CHUNK, index_keys, symbols_apart
+
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 3, (40, 32), dtype=np.uint16) * np.uint16(40000)
+    b = rng.integers(0, 3, (40, 32), dtype=np.uint16) * np.uint16(40000)
+    rows = [(i, *map(int, a[i].view(np.int64)), *map(int, b[i].view(np.int64))) for i in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(["id long", *(f"a{c} long" for c in CHUNK), *(f"b{c} long" for c in CHUNK)]))
+    got = {r.id: r.d for r in df.select("id", symbols_apart("a", "b").alias("d")).collect()}
+    assert got == {i: int((a[i] != b[i]).sum()) for i in range(40)}
+    # Two signatures share a key exactly if some chunk of four symbols differs in one at most (in the same place).
+    keys = index_keys(df.select("id", *(F.col(f"a{c}").alias(c) for c in CHUNK))).groupBy("id").agg(F.collect_set("key").alias("k")).collect()
+    have = {r.id: set(r.k) for r in keys}
+    for i in range(40):
+        for j in range(i):
+            wrong = (a[i] != a[j]).reshape(8, 4).sum(axis=1)
+            assert bool(have[i] & have[j]) == bool((wrong <= 1).any())
+            assert bool((wrong <= 1).any()) or (a[i] != a[j]).sum() > 15
+
+
+def test_hot_pivots_and_long_texts(spark, monkeypatch):
+    """Groups of thousands under one pivot are dealt to several tasks; blocks are cut by shingles too."""
+    monkeypatch.setattr("tabloom.llm.common.SPREAD", 4)
+    monkeypatch.setattr("tabloom.llm.common.HOT_PART", 20)
+    monkeypatch.setattr("tabloom.llm.minhash.BLOCK_SHINGLES", 2_000)
+    rng = random.Random(8)
+    fresh = lambda k: [f"x{rng.randrange(10**6)}" for _ in range(k)]
+    base, docs = fresh(150), []
+    for k in range(150):
+        words = list(base)
+        for _ in range(k % 6):
+            words[rng.randrange(150)] = f"e{k}"
+        docs.append((900 - k, " ".join(words)))
+    docs += [(1000 + k, " ".join(fresh(50) + base[:100])) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, near_duplicates(df, n=4).collect())) == brute(docs)
