@@ -20,7 +20,9 @@ _rng = np.random.default_rng(20240229)
 #: A random odd 64-bit value per byte, and the odd base of the rolling hash.
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+#: The same for the second hash.
+SECOND_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SECOND_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 #: A-Z to a-z, all else as it is.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -75,24 +77,25 @@ def words(data: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.nda
     return starts, ends, np.searchsorted(starts, off, "left")
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, BASE, np.uint64), np.full(n, BASE_INVERSE, np.uint64)
+@lru_cache(maxsize=4)
+def _powers(n: int, second: bool) -> tuple[np.ndarray, np.ndarray]:
+    base = SECOND_BASE if second else BASE
+    up, down = np.full(n, base, np.uint64), np.full(n, np.uint64(pow(int(base), -1, 2**64)), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse."""
-    up, down = _powers(1 << max(16, int(n).bit_length()))
+def powers(n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    up, down = _powers(1 << max(16, int(n).bit_length()), second)
     return up[:n], down[:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """n + 1 running sums of which span_hash makes the hash of any span."""
-    up, _ = powers(len(data) + 1)
+def prefix_hash(data: np.ndarray, second: bool = False) -> np.ndarray:
+    """n + 1 running sums of which span_hash makes the hash of any span; `second` is another, independent hash."""
+    up, _ = powers(len(data) + 1, second)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
+    np.cumsum((SECOND_VALUE if second else BYTE_VALUE)[data] * up[: len(data)], out=sums[1:])
     return sums
 
 
@@ -103,9 +106,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
     """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand."""
-    _, down = powers(len(sums))
+    _, down = powers(len(sums), second)
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -125,7 +128,3 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(counts) - counts
     return np.arange(total) + np.repeat(starts - first, counts)
-
-
-def large_binary(rows: list[bytes]) -> pa.Array:
-    return pa.array(rows, pa.binary())

@@ -2,11 +2,11 @@
 
 A gear rolling hash of the last 16 bytes decides where a text may be cut, so the chunks of a passage
 are the same wherever it stands and however the text before it has shifted. Chunks are known by a
-64-bit digest. Each digest is owned by the document of the smallest id that holds it; elsewhere, and
+digest of 96 bits, of two independent hashes. Each digest is owned by the document of the smallest id that holds it; elsewhere, and
 at later places in its owner, the chunk is a repeat, and runs of neighbouring repeats of MIN_RUN
 bytes or more are removed.
 
-Only (digest, id) pairs are shuffled, one for each distinct chunk of a document: first to count and
+Only digests with ids are shuffled, one for each distinct chunk of a document: first to count and
 own digests, which Spark sums up before the shuffle, then to join the repeated digests back. Places
 are not shuffled, for the last step cuts the text again.
 """
@@ -68,12 +68,16 @@ def _chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _pairs(data: np.ndarray, off: np.ndarray, rows: pa.RecordBatch) -> list[pa.Array]:
-    _, _, doc, digest = _chunks(data, off)
+    starts, ends, doc, digest = _chunks(data, off)
+    check = (span_hash(prefix_hash(data, True), starts, ends, True) >> np.uint64(32)).astype(np.uint32).view(np.int32)
     by = np.lexsort((digest, doc))
-    doc, digest = doc[by], digest[by]
+    doc, digest, check = doc[by], digest[by], check[by]
     first = np.append(True, (np.diff(doc) != 0) | (digest[1:] != digest[:-1]))[: len(doc)]
-    ids = rows.column("_key").to_numpy()
-    return [pa.array(digest[first].view(np.int64)), pa.array(ids[doc[first]])]
+    ids, texts = rows.column("_key").to_numpy(), rows.column("_t").to_numpy()
+    return [pa.array(digest[first].view(np.int64)), pa.array(check[first]), pa.array(ids[doc[first]]), pa.array(texts[doc[first]])]
+
+
+PAIR = T.StructType([T.StructField("digest", T.LongType()), T.StructField("check", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("t", T.LongType())])
 
 
 REMOVED = [
@@ -125,11 +129,12 @@ def _key(doc_id: str, text: str) -> Column:
 def _deduped(docs: DataFrame, doc_id: str, text: str, min_run: int, keep: tuple[str, ...]) -> DataFrame:
     """dedup_substrings with the id as _id and the columns named in keep as _k0, _k1, ..."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)))
-    rows = rows.withColumn("_key", _key("_id", "text"))
-    pairs = explode_rows(rows.where(F.octet_length("text") > 0).select("_key", "text"), _pairs, T.StructType([T.StructField("digest", T.LongType()), T.StructField("key", T.LongType())]))
-    owners = cut(pairs.groupBy("digest").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner < last").select("digest", "owner"))
-    gone = pairs.join(owners, "digest").where("key <> owner").groupBy("key").agg(F.collect_list("digest").alias("_gone"))
-    joined = rows.join(gone.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+    rows = rows.withColumns({"_key": _key("_id", "text"), "_t": F.xxhash64("text")})
+    pairs = explode_rows(rows.where(F.octet_length("text") > 0).select("_key", "_t", "text"), _pairs, PAIR)
+    owners = cut(pairs.groupBy("digest", "check").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner < last").select("digest", "check", "owner"))
+    # Each text gets the digests that it holds itself, so rows of one id don't gather in one list.
+    gone = pairs.join(owners, ["digest", "check"]).where("key <> owner").groupBy("key", "t").agg(F.collect_set("digest").alias("_gone"))
+    joined = rows.join(gone.withColumnsRenamed({"key": "_key", "t": "_t"}), ["_key", "_t"], "left").drop("_key", "_t")
     out = add_columns(joined, _removal(min_run), REMOVED, drop=("text", "_gone"))
     return out.select("_id", *(f"_k{i}" for i in range(len(keep))), *(f.name for f in REMOVED))
 

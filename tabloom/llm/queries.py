@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm.chunks import dedup_substrings
-from tabloom.llm.common import table
+from tabloom.llm.common import cut, table
 from tabloom.llm.decontaminate import hit_words, matches
 from tabloom.llm.minhash import near_duplicates
-from tabloom.llm.mixing import mix_sources
+from tabloom.llm.mixing import mix_sources, word_count
 from tabloom.llm.quality import grade_quality
 from tabloom.llm.quantise import search
 from tabloom.llm.quotes import link_quotes
@@ -34,7 +34,9 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    # Sizes are taken from the texts once, and kept.
+    sizes = cut(table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("spread")))
+    mixed = mix_sources(sizes, sized=True)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

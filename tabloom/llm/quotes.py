@@ -34,17 +34,22 @@ def passages(text: str = "text") -> Column:
     def line(x: Column) -> Column:
         return F.struct(F.regexp_count(F.regexp_extract(x, MARKS, 0), F.lit(">")).alias("level"), _normal(F.regexp_replace(x, MARKS, "")).alias("line"))
 
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), line), lambda x: x["line"] != "")
-    kind = "array<struct<level:int,lines:array<string>>>"
-
-    def add(runs: Column, x: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        longer = F.struct(last["level"].alias("level"), F.concat(last["lines"], F.array(x["line"])).alias("lines"))
-        fresh = F.struct(x["level"].alias("level"), F.array(x["line"]).alias("lines"))
-        joined = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))
-        return F.when(last["level"] == x["level"], joined).otherwise(F.concat(runs, F.array(fresh))).cast(kind)
-
-    return F.aggregate(lines, F.array().cast(kind), add)
+    every = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), line), lambda x: x["line"] != "")
+    numbers = lambda lines: F.when(F.size(lines) > 0, F.sequence(F.lit(1), F.size(lines))).otherwise(F.array().cast("array<int>"))
+    level = lambda lines, i: F.element_at(lines, i)["level"]
+
+    def cut_at(lines: Column, starts: Column) -> Column:
+        end = lambda k: F.coalesce(F.try_element_at(starts, k + 2), F.size(lines) + 1)
+        run = lambda i, k: F.struct(level(lines, i).alias("level"), F.transform(F.slice(lines, i, end(k) - i), lambda x: x["line"]).alias("lines"))
+        return F.transform(starts, run)
+
+    def runs(lines: Column) -> Column:
+        starts = F.filter(numbers(lines), lambda i: (i == 1) | (level(lines, i) != level(lines, F.greatest(i - 1, F.lit(1)))))
+        return bound(starts, lambda s: cut_at(lines, s))
+
+    # An array of one element gives what is used several times a name, so each text is split once, in linear time.
+    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    return bound(every, runs).cast("array<struct<level:int,lines:array<string>>>")
 
 
 def own_text(text: str = "text") -> Column:

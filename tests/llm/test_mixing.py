@@ -62,5 +62,24 @@ def test_caps_nulls_and_hot_sizes(spark, monkeypatch):
     assert emit_copies(mixed).count() == mixed.selectExpr("sum(copies) c").first().c > 0
 
 
+def test_rows_without_id_or_with_the_same(spark, monkeypatch):
+    """Buckets that one id overfills are dealt by text; nothing is lost, and reruns agree."""
+    monkeypatch.setattr("tabloom.llm.mixing.BUCKET_ROWS", 3)
+    docs = [(None if i % 3 == 0 else 7, f"text {i}", "a") for i in range(200)] + [(i, "x " * 20_000, "b") for i in range(3)]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, source string, key int")
+    rows = [tuple(r) for r in mix_sources(df).collect()]
+    assert len(rows) == len(docs) and sorted(map(str, rows)) == sorted(str(tuple(r)) for r in mix_sources(df.repartition(5)).collect())
+    taken, target = sum(r[-1] for r in rows if r[2] == "a"), next(r[-3] for r in rows if r[2] == "a")
+    assert abs(taken - target) <= 6 and all(r[-1] <= 3 * r[4] for r in rows)
+
+
+def test_exact_three_copies(spark):
+    """At a step of exactly 3 no document gets a fourth copy, however far the sum has run."""
+    docs = [(i, 1 if i else 10**12, "abc"[0] if i else "z", 0) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, size long, source string, spread long")
+    rows = mix_sources(df, weights=(5.0, 1.0), sized=True).collect()
+    assert {r.copies for r in rows if r.source == "a"} == {3}
+
+
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
