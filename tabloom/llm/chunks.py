@@ -25,8 +25,8 @@ from tabloom.llm.docmap import add_columns, explode_rows
 
 #: Bytes that decide a cut, least and most bytes of a chunk, and the share of places that are cuts (1 in 2^CUT_BITS).
 WINDOW, LEAST, MOST, CUT_BITS = 16, 16, 256, 5
-#: Shorter runs of repeated chunks stay.
-MIN_RUN = 64
+#: Shorter runs of repeated chunks stay: a common line or notice of up to 15 words or so is no passage.
+MIN_RUN = 100
 
 _gear = np.random.default_rng(424243).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -154,7 +154,9 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs, with their columns, whose texts have lost their repeats; n_chars follows if it is there. A
-    document of which nothing but white space is left goes, unless it had nothing else before."""
+    document of which nothing but white space is left goes, unless it had nothing else before. A null text stays as an
+    empty one; rows that share an id, or have none, are as in dedup_substrings; other columns keep their values
+    whatever their names, and an empty table gives none."""
     names = docs.columns
     others = tuple(c for c in names if c not in ("doc_id", "text"))
     out = _deduped(docs, "doc_id", "text", MIN_RUN, others).where("n_removed = 0 or trim(kept) <> ''")

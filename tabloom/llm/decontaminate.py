@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm.bytekit import ALNUM, LOWER, pieces, prefix_hash, ranges, span_hash, words
+from tabloom.llm.common import cut
 from tabloom.llm.docmap import add_columns
 from tabloom.llm.suffix import search, suffix_array
 
@@ -128,6 +129,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     out = docs
     for k in range(blocks):
+        # With several blocks what is found so far is kept, so that each job and its tasks hold one block only.
+        out = cut(out) if k else out
         part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
         tests = Tests(sorted(map(tuple, part.collect())), window)  # one block of bounded size
         out = add_columns(out, _kernel(tests, follows=k > 0), FIELDS, text, drop if k == blocks - 1 else (), reads=tuple(f.name for f in FIELDS) if k else ())
@@ -188,7 +191,8 @@ def hit_words() -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents that share no window with the benchmark, with the columns of docs."""
+    """The documents that share no window with the benchmark, with the columns of docs, whatever their names. Null and
+    empty texts stay, as does everything if the benchmark is empty; repeated rows are judged one by one."""
     new = {f.name for f in FIELDS}
     if new.isdisjoint(docs.columns):
         return matches(docs, benchmark, text, window=window).where(F.size("hit_from") == 0).select(docs.columns)

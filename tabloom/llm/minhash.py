@@ -285,6 +285,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that another one of their component stands for. Rows without doc_id stay."""
+    """docs, with their columns, without the documents that another one of their component stands for. Rows without doc_id
+    and rows without words stay; rows that share a doc_id stay or go together, and an empty table gives none."""
     gone = near_duplicates(docs, n, percent).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -4,7 +4,8 @@ With one weight per hashed text feature, shared by all grades, and ordered thres
 P(grade >= k) = sigmoid(z - tk), where z is the weighted sum of a text's features: the shares of its
 1- to 3-grams of bytes, and the bins that a few counts of the whole text fall into. The expected grade
 is the sum of these tails. Weights and thresholds are learnt together in numpy from a bounded sample of
-rated documents (SAMPLE rows of up to SAMPLE_BYTES each, the first by a hash of the id); scoring reads
+rated documents (SAMPLE rows, the first by a hash of the id) of any length: of a text with more than SAMPLE_GRAMS
+distinct n-grams so many are drawn by a hash. Scoring reads
 whole texts, once, where they lie, without a shuffle.
 """
 
@@ -20,10 +21,11 @@ from pyspark.sql import types as T
 
 from tabloom.llm.bytekit import BYTE_VALUE, NOT_SPACE, mix, prefix_hash, span_hash, words
 from tabloom.llm.docmap import add_columns
+from tabloom.llm.toxicity import drawn
 
 BUCKETS = 1 << 16
 SAMPLE = 6_000
-SAMPLE_BYTES = 10_000
+SAMPLE_GRAMS = 8_000
 #: As many passes over the sample as make UPDATES steps of BATCH documents.
 UPDATES, BATCH, RATE, DECAY = 1_875, 64, 0.1, 1e-5
 #: What all n-grams of a text weigh together, beside each of its bins at 1.
@@ -127,7 +129,9 @@ def _features(data: np.ndarray, off: np.ndarray, rows: pa.RecordBatch) -> list[p
     parts = [_grams(data, off, k) for k in (1, 2, 3)]
     bucket, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
     both, count = np.unique(doc * BUCKETS + bucket, return_counts=True)
-    total = np.bincount(doc, minlength=n)
+    keep = drawn(both // BUCKETS, both % BUCKETS, SAMPLE_GRAMS)
+    both, count = both[keep], count[keep]
+    total = np.bincount(both // BUCKETS, count, n)
     value = GRAM_WEIGHT * count / total[both // BUCKETS]
     extra = bins(data, off)
     doc = np.concatenate((both // BUCKETS, np.repeat(np.arange(n), extra.shape[1])))
@@ -145,11 +149,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", top: int = 2, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """A model of grades 0..top learnt from rated documents that are not held out, SAMPLE at most, of
-    at most SAMPLE_BYTES bytes. Grades outside, and null ids, grades and texts, teach nothing. Without
+    """A model of grades 0..top learnt from rated documents that are not held out, SAMPLE at
+    most. Grades outside, and null ids, grades and texts, teach nothing. Without
     rated documents the weights are 0 and the thresholds -1, 0, 1, ..."""
     known = ratings.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{grade}`").cast("int").alias("y")).where(F.col("y").between(0, top))
-    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.octet_length("text") > 0)
     usable = known.where(~held_out("id")).groupBy("id").agg(F.max("y").alias("y")).join(texts.select("id"), "id", "left_semi")
     picked = usable.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     sample = texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # SAMPLE rows at most

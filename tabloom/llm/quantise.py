@@ -29,6 +29,8 @@ ROUNDS = 8
 RERANK = 200
 #: Queries of a block, at most; and components of the queries of a block.
 BLOCK_QUERIES, BLOCK_COMPONENTS = 2_048, 4_000_000
+#: Blocks of one job.
+BLOCKS_AT_ONCE = 8
 _ROWS = 1_024
 
 
@@ -132,13 +134,10 @@ def _scan(codes: DataFrame, ids: np.ndarray, queries: np.ndarray, books: np.ndar
     return codes.mapInArrow(run, "q long, id long, near float")
 
 
-def _usable(rows: DataFrame) -> DataFrame:
-    """Rows whose vectors take part: finite, not zero, and of the most common length (ties: the larger)."""
+def _fine(rows: DataFrame) -> DataFrame:
+    """Rows whose vectors are finite and not zero."""
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    fine = F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", odd) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(fine)
-    top = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.where(F.size("v") == top.d) if top else rows.limit(0)
+    return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", odd) & F.exists("v", lambda x: x != 0))
 
 
 def distance(a: str, b: str) -> Column:
@@ -157,26 +156,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "v
     a query has no rows; an empty table gives none.
     """
     pick = lambda df: df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
-    rows, asked = _usable(pick(vectors)), _usable(pick(queries))
+    rows, asked = _fine(pick(vectors)), _fine(pick(queries))
+    # The most common length of the table (ties: the larger) is that of queries too.
+    top = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    d = top.d if top else 0
+    rows, asked = rows.where(F.size("v") == d), asked.where(F.size("v") == d)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     names = "query_id long, rank int, vec_id long, score double"
     if not sample.num_rows:
         return vectors.sparkSession.createDataFrame([], names)
-    d = len(sample.column("v")[0])
     books = fit_codebooks(_matrix(sample.column("v").combine_chunks(), d))
     codes = cut(_coded(rows, books))
 
-    total = asked.where(F.size("v") == d).count()
+    total = asked.count()
     block = max(1, min(BLOCK_QUERIES, BLOCK_COMPONENTS // d))
     blocks = max(1, math.ceil(total / block * 1.2)) if total > block else 1
     found: DataFrame | None = None
     for b in range(blocks):
-        part = asked.where((F.size("v") == d) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).orderBy("id").toArrow()  # one block
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").toArrow()  # one block
         if part.num_rows:
             ids, at = np.unique(part.column("id").to_numpy(), return_index=True)
             each = _matrix(part.column("v").combine_chunks(), d)
             hits = _scan(codes, ids, each[at], books, rerank)
             found = hits if found is None else found.union(hits)
+        if b % BLOCKS_AT_ONCE == BLOCKS_AT_ONCE - 1 and found is not None:
+            found = cut(found)  # a plan holds the queries of a few blocks only
     if found is None:
         return vectors.sparkSession.createDataFrame([], names)
     best = Window.partitionBy("q").orderBy("near", "id")

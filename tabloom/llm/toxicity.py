@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.bytekit import ALNUM, LOWER, prefix_hash, ranges, span_hash, words
+from tabloom.llm.bytekit import ALNUM, LOWER, mix, prefix_hash, ranges, span_hash, words
 from tabloom.llm.docmap import add_columns
 
 BUCKETS = 1 << 18
 DIMENSION = 8
 GRAMS = (3, 4, 5)
 SAMPLE_PER_CLASS = 2_000
-SAMPLE_BYTES = 10_000
+SAMPLE_GRAMS = 8_000
 #: As many passes over the sample as make UPDATES steps of BATCH documents.
 UPDATES, BATCH, RATE, DECAY = 750, 64, 0.05, 1e-6
 
@@ -104,9 +104,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 5 == 0
 
 
+def drawn(doc: np.ndarray, bucket: np.ndarray, most: int) -> np.ndarray:
+    """Which of the distinct (document, bucket) entries, in order, stay: `most` of each document, by a hash of both."""
+    chance = mix((bucket.astype(np.uint64) << np.uint64(20)) ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+    by = np.lexsort((chance, doc))
+    head = np.flatnonzero(np.append(True, np.diff(doc[by]) != 0)) if len(doc) else np.zeros(0, np.int64)
+    place = np.arange(len(doc)) - np.repeat(head, np.diff(np.append(head, len(doc))))
+    keep = np.zeros(len(doc), bool)
+    keep[by[place < most]] = True
+    return keep
+
+
 def _bag(data: np.ndarray, off: np.ndarray, rows: pa.RecordBatch) -> list[pa.Array]:
     bucket, doc = subwords(data, off)
     both, count = np.unique(doc * BUCKETS + bucket, return_counts=True)
+    keep = drawn(both // BUCKETS, both % BUCKETS, SAMPLE_GRAMS)
+    both, count = both[keep], count[keep]
     at = np.searchsorted(both, np.arange(len(off)) * BUCKETS, "left").astype(np.int32)
     lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v, pa.int32())) for v in ((both % BUCKETS).astype(np.int32), count.astype(np.int32))]
     return lists
@@ -117,13 +130,13 @@ BAG = [T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("co
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
     """A model learnt from labelled documents that are not held out: at most SAMPLE_PER_CLASS of each
-    class, of at most SAMPLE_BYTES bytes. Null labels, ids and texts teach nothing. Without a document
+    class. Null labels, ids and texts teach nothing. Without a document
     of either class the score is the share of label 1 among all (0.5 without labels)."""
     known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1)")
     known = known.where(~held_out("id"))
     shares = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     prior = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)
-    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.octet_length("text") > 0)
     usable = known.join(texts.select("id"), "id", "left_semi").withColumn("h", F.xxhash64("id"))
     picked = [usable.where(F.col("y") == y).orderBy("h", "id").limit(SAMPLE_PER_CLASS) for y in (0, 1)]
     picked = picked[0].union(picked[1]).groupBy("id").agg(F.max("y").alias("y"))
@@ -163,7 +176,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
-    """docs, with their columns, that score below `most`."""
+    """docs, with their columns, whatever their names, that score below `most`. Null and empty texts score as the bias
+    alone says; repeated rows are judged one by one, and an empty table gives none."""
     names = docs.columns
     kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col("text").alias("_text"))
     return score(kept, train(docs, labels), "_text", drop=("_text",)).where(F.col("score") < most).select("_row.*")

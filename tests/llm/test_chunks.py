@@ -16,7 +16,7 @@ def chunks(text):
     return [data[a:b].tobytes() for a, b in zip(at, at[1:] + [len(data)], strict=False)]
 
 
-def brute(docs, min_run=64):
+def brute(docs, min_run=100):
     owner = {}
     for d, t in docs:
         for c in set(chunks(t or "")):

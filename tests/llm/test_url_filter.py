@@ -14,6 +14,15 @@ def test_longest_rule_wins(spark):
     assert url_filter(df.limit(0), queries.RULES).count() == 0
 
 
+def test_many_ends_and_long_urls(spark):
+    """Thousands of partial ends under one host, and urls of a megabyte: the longest end wins."""
+    rules = [("block", "a.com", f"/p{i}") for i in range(3000)] + [("allow", "a.com", "/p12/x"), ("allow", "a.com", "/p12/x/yy"), ("block", "com", "")]
+    long = "http://a.com/p12/x/yyz/" + "s/" * 500_000
+    df = spark.createDataFrame([(1, "http://a.com/p1234567"), (2, long), (3, "http://a.com/p12/xq"), (4, "http://b." + "c." * 5000 + "com/q"), (5, "http://a.com/q")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter(df, rules).collect()}
+    assert got == {1: ("a.com/p1234", "block"), 2: ("a.com/p12/x/yy", "allow"), 3: ("a.com/p12/x", "allow"), 4: ("com", "block"), 5: ("com", "block")}
+
+
 def test_queries_with_sql(spark, sf_dir):
     con = duckdb.connect()
     for t in ("pages", "documents"):
