@@ -201,13 +201,15 @@ def star_blocks(groups: DataFrame, hot: list) -> DataFrame:
     return members.union(pivots).select("pivot", "i", F.lit(0).alias("j"), "side", "id", F.col("id").alias("component"))
 
 
-def in_components(groups: DataFrame, found: DataFrame, classes: DataFrame, hot: list) -> DataFrame:
-    """Of groups (pivot, id) all members and pivots, with component, inside (whether it is the pivot's) and n_shingles."""
+def in_components(pairs: DataFrame, found: DataFrame, hot: list) -> DataFrame:
+    """Of pairs (pivot, id, with n_shingles and signatures of both) all members and pivots of each group, with their component
+    and inside, whether it is the pivot's."""
     of = found.select("id", "component")
-    both = groups.select("pivot", "id").union(groups.select("pivot", F.col("pivot").alias("id")).distinct())
-    both = both.join(of, "id", "left").join(classes.select("id", "n_shingles"), "id")
+    pivots = pairs.select("pivot", F.col("pivot").alias("id"), F.col("pn").alias("n_shingles"), *(F.col(f"p{c}").alias(c) for c in CHUNK)).distinct()
+    both = pairs.select("pivot", "id", "n_shingles", *CHUNK).union(pivots).join(of, "id", "left")
     both = join_hot(both, of.select(F.col("id").alias("pivot"), F.col("component").alias("home")), "pivot", hot, "left")
-    return cut(both.select("pivot", "id", "n_shingles", F.coalesce("component", "id").alias("component"), (F.coalesce("component", "id") == F.coalesce("home", "pivot")).alias("inside")))
+    component = F.coalesce("component", "id")
+    return cut(both.select("pivot", "id", "n_shingles", *CHUNK, component.alias("component"), (component == F.coalesce("home", "pivot")).alias("inside")))
 
 
 def crossing_blocks(both: DataFrame, hot: list, by_size: bool) -> DataFrame:
@@ -224,10 +226,10 @@ def crossing_blocks(both: DataFrame, hot: list, by_size: bool) -> DataFrame:
     outer = F.sequence(-F.col("outs"), F.lit(-1).cast("long"))
     within = F.when(F.col("ins") > 0, F.sequence(F.lit(0).cast("long"), F.col("ins") - 1)).otherwise(F.array().cast("array<long>"))
     others = F.when(inside, outer).otherwise(F.concat(outer, within))
-    rows = rows.select("pivot", "id", "component", "mine", F.explode(others).alias("other"))
+    rows = rows.select("pivot", "id", "component", *CHUNK, "mine", F.explode(others).alias("other"))
     i, j = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when((F.col("mine") == i), 1).otherwise(0)  # a block with itself has side 1 only
-    return rows.select("pivot", i.alias("i"), j.alias("j"), side.alias("side"), "id", "component")
+    return rows.select("pivot", i.alias("i"), j.alias("j"), side.alias("side"), "id", "component", *CHUNK)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,7 +259,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     hot = hot_keys(sizes, "pivot", "count", groups.count())
     # Members with their own signature, and with that of their pivot.
     signed = classes.select("id", "n_shingles", *CHUNK)
-    pairs = join_hot(groups.join(signed, "id"), signed.select(F.col("id").alias("pivot"), *(F.col(c).alias(f"p{c}") for c in CHUNK)), "pivot", hot)
+    heads = signed.select(F.col("id").alias("pivot"), F.col("n_shingles").alias("pn"), *(F.col(c).alias(f"p{c}") for c in CHUNK))
+    pairs = cut(join_hot(groups.join(signed, "id"), heads, "pivot", hot))
     near = pairs.where(symbols_apart("", "p") <= MOST_DISTANCE).groupBy("pivot", "id").agg(F.max("n_shingles").alias("n_shingles"))
     star = star_blocks(cut(near), hot)
 
@@ -268,8 +271,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
 
     links = cut(_links(star, sets_of(star.select("id")), percent))
     found = components(links)
-    both = in_components(groups, found, classes, hot)
-    blocks = crossing_blocks(both, hot, by_size=False).join(signed.drop("n_shingles"), "id")
+    both = in_components(pairs, found, hot)
+    blocks = crossing_blocks(both, hot, by_size=False)
     near = cut(blocks.groupBy("pivot", "i", "j").applyInArrow(_near, "pivot long, id long").distinct())
     if not near.isEmpty():
         # Only members with a candidate partner go on to the comparison of sets.
