@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm.bytekit import LOWER, NOT_SPACE, mix, prefix_hash, sequence_hash, span_hash, words
-from tabloom.llm.common import components, cut, hot_keys, join_hot
+from tabloom.llm.common import components, cut, hot_keys, join_hot, partitions
 from tabloom.llm.docmap import add_columns
 
 CHUNKS, SYMBOLS = 8, 4
@@ -273,6 +273,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     found = components(links)
     both = in_components(pairs, found, hot)
     blocks = crossing_blocks(both, hot, by_size=False)
+    # A block is few bytes and much work: one task for each shuffle partition, not for so many megabytes.
+    blocks = blocks.repartition(partitions(blocks.sparkSession), "pivot", "i", "j")
     near = cut(blocks.groupBy("pivot", "i", "j").applyInArrow(_near, "pivot long, id long").distinct())
     if not near.isEmpty():
         # Only members with a candidate partner go on to the comparison of sets.
