@@ -6,10 +6,10 @@ and the bytes of a run with its last window are its context: equal windows lie i
 minimisers are equal K-grams.  That routes the work without losing a repeat:
 
 1. minimisers are counted over all documents; contexts of those that occur once have no repeats;
-2. equal contexts are collapsed to one with its number of places. A minimiser with one context is
-   done: all windows of that one are repeated. Contexts of other minimisers go to one shard each, of a
-   few megabytes;
-3. every shard builds a suffix array of its contexts (Larsson-Sadakane) and Kasai's common prefixes;
+2. equal contexts are collapsed to one with its number of places. The contexts of a minimiser go to one
+   shard, of a few megabytes. A minimiser with one context may go to any: those go by the text that they
+   are read from, where neighbours overlap and are held as one stretch of it;
+3. every shard builds a suffix array of its bytes (Larsson-Sadakane) and Kasai's common prefixes;
    neighbours with LENGTH common bytes are one class, repeated if its places are two or more;
 4. a minimiser with very many contexts is dealt to several shards. Each publishes one row for each of
    its classes, and sorted runs of those are merged by binary search, in ranges of the class key;
@@ -35,6 +35,8 @@ from tabloom.llm.suffix import common_prefixes, packed_bytes, suffix_array
 LENGTH = 400
 K = 100
 SHARD_BYTES = 2_000_000
+#: Window starts of a text whose lone contexts go to a shard together.
+STRETCH = 250_000
 #: Distinct contexts of one minimiser in a shard.
 MOST_CONTEXTS = 2_000
 _POSITION = np.uint64((1 << 28) - 1)
@@ -123,13 +125,21 @@ def _decide(length: int):
     divided minimisers every window with its class, and on the first window of a class its weight here."""
 
     def shard(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_numpy() for c in (*CONTEXT, "n", "divided")}
+        held = pa.concat_arrays(table.column("held").chunks)
+        row, each = np.repeat(np.arange(len(held)), held.value_lengths().to_numpy()), held.flatten()
+        cols = {c: each.field(c).to_numpy() for c in (*CONTEXT, "n", "at")} | {"divided": table.column("divided").to_numpy()[row]}
+        texts = table.column("bytes").to_pylist()
+        cols["at"] = cols["at"] + np.concatenate(([0], np.cumsum([len(t) for t in texts])))[row]
         _, first = np.unique(np.rec.fromarrays([cols[c] for c in CONTEXT]), return_index=True)  # repeated rows give a context twice
         cols = {c: v[first] for c, v in cols.items()}
-        texts = table.column("bytes").take(pa.array(first)).to_pylist()
-        size = np.array([len(t) for t in texts], np.int64)
-        base = np.concatenate(([0], np.cumsum(size)))[:-1]
-        data = np.frombuffer(b"".join([*texts, b"\xff" * 512]), np.uint8)
+        # Bytes between contexts are left out; overlapping contexts share theirs.
+        whole = np.frombuffer(b"".join(texts), np.uint8)
+        change = np.zeros(len(whole) + 1, np.int64)
+        np.add.at(change, cols["at"], 1)
+        np.add.at(change, cols["at"] + cols["windows"] + (length - 1), -1)
+        covered = np.cumsum(change[:-1]) > 0
+        base = (np.cumsum(covered) - 1)[cols["at"]]
+        data = np.concatenate((whole[covered], np.full(512, 255, np.uint8)))
         packed = packed_bytes(data)
         order = suffix_array(packed, 8, len(data) + 1)  # Kasai's rule needs the order of whole suffixes
         prefix = common_prefixes(packed, order, length)
@@ -193,22 +203,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     contexts = contexts.drop("rows")
     several = cut(contexts.groupBy("anchor").count().where(F.col("count") > 1))
     varied = hot_keys(several, "anchor", "count", several.agg(F.sum("count")).first()[0] or 0)
-    alone = join_hot(contexts, several, "anchor", varied, "left_anti").where("n > 1")
-    contexts = cut(join_hot(contexts, several, "anchor", varied))
-    total = contexts.agg(F.sum(F.col("windows") + F.lit(length - 1))).first()[0] or 0
+    end = F.col("start") + F.col("windows") + F.lit(length - 1)
+    held = lambda at: F.struct(*CONTEXT, "n", at.cast("int").alias("at"))
+    alone = join_hot(contexts, several, "anchor", varied, "left_anti").withColumn("piece", F.floor(F.col("start") / F.lit(STRETCH)))
+    alone = alone.groupBy("doc", "doc2", "piece").agg(F.min("start").alias("lo"), F.max(end).alias("hi"), F.sum(end - F.col("start")).alias("size"), F.collect_list(held(F.col("start"))).alias("held"))
+    inside = F.transform("held", lambda x: x.withField("at", x["at"] - F.col("lo")))
+    alone = alone.select("doc", "doc2", F.xxhash64("doc", "piece").alias("route"), F.lit(False).alias("divided"), "lo", "hi", F.least("size", F.col("hi") - F.col("lo")).alias("size"), inside.alias("held"))
+    parts = F.ceil(F.col("count") / F.lit(MOST_CONTEXTS))
+    mixed = join_hot(contexts, several, "anchor", varied).withColumn("divided", parts > 1)
+    route = F.xxhash64("anchor", F.when(F.col("divided"), F.pmod(F.col("context"), parts)))
+    mixed = mixed.select("doc", "doc2", route.alias("route"), "divided", F.col("start").alias("lo"), end.alias("hi"), (end - F.col("start")).cast("long").alias("size"), F.array(held(F.lit(0))).alias("held"))
+    dealt = cut(mixed.union(alone))
+    total = dealt.agg(F.sum("size")).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
 
-    parts = F.ceil(F.col("count") / F.lit(MOST_CONTEXTS))
-    dealt = contexts.withColumn("divided", parts > 1)
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("anchor", F.when(F.col("divided"), F.pmod(F.col("context"), parts))), F.lit(shards)))
-    wanted = dealt.groupBy("doc", "doc2").agg(F.collect_list(F.struct("shard", *CONTEXT, "n", "divided", "start")).alias("wanted"))
+    dealt = dealt.withColumn("shard", F.pmod("route", F.lit(shards)))
+    wanted = dealt.groupBy("doc", "doc2").agg(F.collect_list(F.struct("shard", "divided", "lo", "hi", "held")).alias("wanted"))
     # One row of each wanted text: the least id. (Rows with the same id and text give contexts twice; shards drop those.)
     hashed = add_columns(texts.select("id", "text"), _hashed, DIGEST)
     holders = hashed.groupBy("doc", "doc2").agg(F.min("id").alias("id"))
     wanted = wanted.join(holders, ["doc", "doc2"])
     same = (F.col("h.doc") == F.col("w.doc")) & (F.col("h.doc2") == F.col("w.doc2")) & F.col("h.id").eqNullSafe(F.col("w.id"))
     cuts = hashed.alias("h").join(wanted.alias("w"), same).select(F.inline("wanted"), F.encode("text", "UTF-8").alias("raw"))
-    cuts = cuts.select("shard", *CONTEXT, "n", "divided", F.substring(F.col("raw"), F.col("start") + 1, F.col("windows") + F.lit(length - 1)).alias("bytes"))
+    cuts = cuts.select("shard", "divided", "held", F.substring(F.col("raw"), F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("bytes"))
     decided = cut(cuts.groupBy("shard").applyInArrow(_decide(length), DECIDED))
 
     sure = decided.where("class is null").select(*CONTEXT, "place", "last")
@@ -216,8 +233,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     published = windows.where("weight > 0").select("anchor", "class", "weight").withColumn("range", F.shiftrightunsigned("class", 64 - max(1, math.ceil(math.log2(shards + 1)))))
     common = published.groupBy("range").applyInArrow(_merge, "anchor long, class long")
     crossing = windows.join(common, ["anchor", "class"]).select(*CONTEXT, "place", F.col("place").alias("last"))
-    whole = alone.select(*CONTEXT, F.lit(0).alias("place"), (F.col("windows") - 1).alias("last"))
-    stretches = sure.union(crossing).union(whole).groupBy(*CONTEXT).agg(F.collect_list(F.struct("place", "last")).alias("found"))
+    stretches = sure.union(crossing).groupBy(*CONTEXT).agg(F.collect_list(F.struct("place", "last")).alias("found"))
 
     back = join_hot(places.select("context", *(c for c in CONTEXT if c != "context"), "doc", "doc2", "start"), stretches, ["context", *(c for c in CONTEXT if c != "context")], everywhere)
     moved = F.transform("found", lambda x: F.struct((x["place"] + F.col("start")).alias("from"), (x["last"] + F.col("start") + F.lit(length)).alias("to")))
