@@ -56,6 +56,7 @@ def test_hot_keys(spark, monkeypatch):
 def test_planted(spark, monkeypatch, most):
     monkeypatch.setattr("tabloom.llm.repeats.MOST_CONTEXTS", most)
     monkeypatch.setattr("tabloom.llm.repeats.SHARD_BYTES", 4000)
+    monkeypatch.setattr("tabloom.llm.repeats.STRETCH", 50)  # texts have several stretches of lone contexts
     rng = random.Random(3)
     fresh = lambda k: "".join(rng.choice("abcdé ") for _ in range(k))
     passage, other = fresh(130), fresh(300)
