@@ -19,6 +19,7 @@ from tabloom.functions.columns import corr
 from tabloom.operators import metrics
 from tabloom.operators.diagnose import numeric
 from tabloom.operators.pipeline import FEATURES, Fitted, Spec, fit_spec, kept_number
+from tabloom.operators.smote import smote
 from tabloom.operators.split import position, time_position
 from tabloom.sources.tables import handle, load, save, store_dir
 
@@ -78,9 +79,10 @@ def _auc(predicted: DataFrame, target: str) -> float | None:
     return None if None in each.values() else sum(each.values()) / len(each)
 
 
-def balanced(train: DataFrame, target: str, imbalance: str | None, key: str | None) -> DataFrame:
-    """Training rows after the strategy: oversample_random (which oversample_smote stands for) and undersample_random deal
-    in rows; class_weight and none leave them as they are, as does a class of a single row."""
+def balanced(train: DataFrame, target: str, imbalance: str | None, key: str | None, features: list[str] | None = None) -> DataFrame:
+    """Training rows after the strategy: oversample_random and undersample_random deal in rows, oversample_smote makes rows
+    between neighbours by the features (all columns but target and key, unless given), where these are known numbers;
+    class_weight and none leave rows as they are, as does a class of a single row."""
     if imbalance in (None, "none", "class_weight"):
         return train
     if imbalance not in ("oversample_smote", "oversample_random", "undersample_random"):
@@ -89,6 +91,8 @@ def balanced(train: DataFrame, target: str, imbalance: str | None, key: str | No
         return train
     if key is None:
         raise ValueError("resampling needs a key column")
+    if imbalance == "oversample_smote":
+        return smote(train, target, key, features or [c for c in train.columns if c not in (target, key)]).drop("_made")
     return resample(train, target, key, "under" if imbalance == "undersample_random" else "over").drop("copy")
 
 
@@ -100,7 +104,7 @@ def cross_validate(df: DataFrame, features: list[str] | Spec, target: str, famil
     rows = []
     for k in folds[1:] if ordered else folds:
         train, held = df.where(F.col(fold) < k if ordered else F.col(fold) != k).drop(fold), df.where(F.col(fold) == k).drop(fold)
-        train = balanced(train, target, imbalance, key).persist()
+        train = balanced(train, target, imbalance, key, None if isinstance(features, Spec) else features).persist()
         without = lambda d: d.drop(key) if key and isinstance(features, Spec) else d
         fitted = fit_pipe(without(train), features, target, family, task, **params)
         for part, data in (("validation", held), ("train", train))[: 1 + with_train]:

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.operators import associate, diagnose, metrics, model, pipeline, prepare, split, tracking
+from tabloom.operators import associate, diagnose, metrics, model, pipeline, prepare, smote, split, tracking
 from tabloom.streaming.profile import windowed_profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -575,6 +575,15 @@ def resample_rows(t):
     return model.resample(t("labels").select("doc_id", "toxic"), "toxic", "doc_id", "over").groupBy("doc_id", "toxic").agg(F.count("*").alias("copies"))
 
 
+@query("""WITH c AS (SELECT o_orderstatus AS status, count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high, min(o_custkey) AS first, max(o_custkey) AS last FROM orders GROUP BY 1)
+    SELECT status, (SELECT max(n) FROM c) AS n, (SELECT max(n) FROM c) - n AS n_made, low, high, first, last FROM c""", "low high")
+def resample_smote(t):
+    """Sizes and ranges: rows between two others never widen a class's range."""
+    out = smote.smote(t("orders"), "o_orderstatus", "o_orderkey", ["o_totalprice", "o_custkey"]).groupBy(F.col("o_orderstatus").alias("status"))
+    price, customer = F.col("o_totalprice"), F.col("o_custkey")
+    return out.agg(F.count("*").alias("n"), F.count_if("_made").alias("n_made"), F.min(price).alias("low"), F.max(price).alias("high"), F.min(customer).alias("first"), F.max(customer).alias("last"))
+
+
 @query("SELECT arg_max(CAST(user_id AS VARCHAR), (value, -user_id)) AS run, max(value) AS number FROM (SELECT user_id, arg_max_null(value, event_id) AS value FROM events WHERE event_type = 'click' GROUP BY 1)", "number")
 def run_best(t):
     rows = t("events").select(F.col("event_type").alias("experiment"), F.col("user_id").cast("string").alias("run"), F.lit("metric").alias("kind"), F.lit("value").alias("key"), F.lit(None).cast("string").alias("value"), F.col("value").alias("number"), F.col("event_id").cast("double").alias("at"))
