@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -14,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from tabloom.functions.columns import corr
 from tabloom.operators import metrics
@@ -23,6 +25,9 @@ from tabloom.operators.smote import smote
 from tabloom.operators.split import position, time_position
 from tabloom.sources.tables import handle, load, save, store_dir
 
+#: Folds that are fitted at a time.
+FOLDS_AT_ONCE = 4
+
 
 def get_model(family: str, task: str, n_classes: int = 2, n: int = 1, spread: float = 1.0, **params: object) -> Estimator:
     """linear or tree_ensemble for classification or regression; parameters the model doesn't have are left out. Linear
@@ -96,20 +101,26 @@ def balanced(train: DataFrame, target: str, imbalance: str | None, key: str | No
     return resample(train, target, key, "under" if imbalance == "undersample_random" else "over").drop("copy")
 
 
-def cross_validate(df: DataFrame, features: list[str] | Spec, target: str, family: str, task: str, fold: str = "fold", with_train: bool = False, ordered: bool = False, imbalance: str | None = None, key: str | None = None, **params: object) -> DataFrame:
+def cross_validate(df: DataFrame, features: list[str] | Spec, target: str, family: str, task: str, fold: str = "fold", with_train: bool = False, ordered: bool = False, imbalance: str | None = None, key: str | None = None, parallelism: int = FOLDS_AT_ONCE, **params: object) -> DataFrame:
     """(fold, part, metric, value): preparation and model fitted on the other folds, scored on each. With ordered the
     folds are blocks of time, and each after the first is scored by what the blocks before it teach. Resampling by
-    `imbalance` touches training rows only. One fit a fold; folds are few."""
+    `imbalance` touches training rows only. One fit a fold; folds are few, and `parallelism` of them are fitted at a time,
+    for a fit is a chain of many short jobs. Their training rows are kept meanwhile."""
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    rows = []
-    for k in folds[1:] if ordered else folds:
+
+    def one(k: object) -> list[tuple]:
         train, held = df.where(F.col(fold) < k if ordered else F.col(fold) != k).drop(fold), df.where(F.col(fold) == k).drop(fold)
         train = balanced(train, target, imbalance, key, None if isinstance(features, Spec) else features).persist()
         without = lambda d: d.drop(key) if key and isinstance(features, Spec) else d
         fitted = fit_pipe(without(train), features, target, family, task, **params)
-        for part, data in (("validation", held), ("train", train))[: 1 + with_train]:
-            rows += [(k, part, m, v) for m, v in score(fitted.transform(without(data)), target, task).items()]
+        parts = (("validation", held), ("train", train))[: 1 + with_train]
+        found = [(k, part, m, v) for part, data in parts for m, v in score(fitted.transform(without(data)), target, task).items()]
         train.unpersist()
+        return found
+
+    asked = folds[1:] if ordered else folds
+    with ThreadPool(max(1, min(parallelism, len(asked)))) as pool:
+        rows = [r for found in pool.map(inheritable_thread_target(df.sparkSession)(one), asked, chunksize=1) for r in found]
     return df.sparkSession.createDataFrame(rows, "fold int, part string, metric string, value double")
 
 
