@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from public_tokenizers import PATTERN
+from public_tokenizers import path as tokenizer
+
+from tabloom.llm.bpe import decode, encode
 from tabloom.llm.chunks import dedup_substrings
 from tabloom.llm.common import cut, table
 from tabloom.llm.decontaminate import hit_words, matches
@@ -82,6 +86,13 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(rows, rows.where("vec_id % 100 = 0"), k=10)
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizer("byte_bpe_multi_50k.tiktoken")
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, PATTERN).drop("text")
+    digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    return decode(encoded, ranks).select("doc_id", "n_tokens", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
@@ -93,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quotes": op8_quotes,
     "op9_minhash": op9_minhash,
     "op10_neighbours": op10_neighbours,
+    "op11_bpe": op11_bpe,
 }
 
 ORACLES: dict[str, str] = {
