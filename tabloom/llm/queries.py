@@ -16,6 +16,7 @@ from tabloom.llm.common import cut, table
 from tabloom.llm.decontaminate import hit_words, matches
 from tabloom.llm.minhash import near_duplicates
 from tabloom.llm.mixing import mix_sources, word_count
+from tabloom.llm.phrases import mine_phrases
 from tabloom.llm.quality import grade_quality
 from tabloom.llm.quantise import search
 from tabloom.llm.quotes import link_quotes
@@ -93,6 +94,10 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(encoded, ranks).select("doc_id", "n_tokens", *digests)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_neighbours": op10_neighbours,
     "op11_bpe": op11_bpe,
+    "op12_phrases": op12_phrases,
 }
 
 ORACLES: dict[str, str] = {
@@ -173,4 +179,33 @@ ORACLES: dict[str, str] = {
         r AS (SELECT doc_id AS id, doc_id AS reached FROM n UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.reached)
         SELECT doc_id, n_shingles, min(reached) AS component_id, doc_id = min(reached) AS kept
         FROM n JOIN r ON r.id = n.doc_id GROUP BY doc_id, n_shingles""",
+    "op12_phrases": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        q AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        g AS (
+            SELECT lang, 1 AS n, unnest(w) AS phrase FROM q UNION ALL
+            SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM q UNION ALL
+            SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM q),
+        f AS (SELECT lang, n, phrase, count(*) AS f FROM g GROUP BY ALL),
+        t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS total FROM f WHERE n = 1 GROUP BY lang),
+        c AS (SELECT lang, n, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE n > 1 AND f >= 10),
+        k AS (SELECT *, {'g': lang, 'p': array_to_string(w[:k], ' ')} AS lkey, {'g': lang, 'p': array_to_string(w[k + 1:], ' ')} AS rkey
+              FROM (SELECT *, unnest(range(1, n)) AS k FROM c)),
+        z AS (SELECT {'g': lang, 'p': phrase} AS key, f FROM f),
+        s AS (
+            SELECT k.lang, k.phrase, k.n, k.a, k.k, x.f AS l, y.f AS r,
+                   (1000000::HUGEINT * k.a * k.a) // (x.f::HUGEINT * y.f) AS score
+            FROM k JOIN z x ON x.key = k.lkey JOIN z y ON y.key = k.rkey),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        o AS (
+            SELECT lang, phrase, max(a) AS a FROM (
+                SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM c WHERE n = 3) GROUP BY ALL),
+        d AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE o.a IS NULL OR 100 * o.a < 50 * b.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+               a, l, r, total AS n, CAST(score AS BIGINT) AS score
+        FROM d JOIN t USING (lang) QUALIFY rank <= 2000""",
 }
