@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from public_tokenizers import PATTERN
 from public_tokenizers import path as tokenizer
 
+from tabloom.llm.alignment import align
 from tabloom.llm.bpe import decode, encode
 from tabloom.llm.chunks import dedup_substrings
 from tabloom.llm.common import cut, table
@@ -98,6 +99,12 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = align(docs, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), digest=True)
+    return made.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
@@ -111,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neighbours": op10_neighbours,
     "op11_bpe": op11_bpe,
     "op12_phrases": op12_phrases,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
