@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.bytekit import ALNUM, LOWER, pieces, prefix_hash, ranges, span_hash, words
+from tabloom.llm.bytekit import ALNUM, LOWER, pieces, ranges, word_hash, words
 from tabloom.llm.common import cut
 from tabloom.llm.docmap import add_columns
 from tabloom.llm.suffix import search, suffix_array
@@ -41,7 +41,7 @@ def tokens_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     the documents' numbers of words."""
     data = LOWER[data]
     starts, ends, at = words(data, off, ALNUM)
-    hashes = span_hash(prefix_hash(data), starts, ends) | np.uint64(1)  # never 0
+    hashes = word_hash(data, starts, ends) | np.uint64(1)  # never 0
     n = np.diff(at)
     first = at[:-1] + np.arange(len(n))
     tokens = np.zeros(len(hashes) + len(n), np.uint64)

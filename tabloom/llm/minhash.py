@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.bytekit import LOWER, NOT_SPACE, mix, prefix_hash, sequence_hash, span_hash, words
+from tabloom.llm.bytekit import LOWER, NOT_SPACE, mix, sequence_hash, word_hash, words
 from tabloom.llm.common import components, cut, hot_keys, join_hot, partitions
 from tabloom.llm.docmap import add_columns
 
@@ -40,22 +40,24 @@ _seeds = np.random.default_rng(7919).integers(1, 2**63, (2, CHUNKS * SYMBOLS), d
 CHUNK = [f"c{k}" for k in range(CHUNKS)]
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each document, joined, and the offsets of documents in them."""
+def shingle_sets(data: np.ndarray, off: np.ndarray, n: int, twice: bool = False) -> tuple[np.ndarray, ...]:
+    """Sorted distinct shingle hashes of each document, joined, and the offsets of documents in them; with `twice` also a
+    second, independent hash of each of these shingles."""
     data = LOWER[data]
     starts, ends, at = words(data, off, NOT_SPACE)
-    tokens = span_hash(prefix_hash(data), starts, ends)
     count = np.diff(at)
-    several = sequence_hash(tokens, n)
-    sets: list[np.ndarray] = []
+    hashes = [word_hash(data, starts, ends, second) for second in (False, True)[: 1 + twice]]
+    several = [sequence_hash(h, n) for h in hashes]
+    sets: list[tuple[np.ndarray, ...]] = []
     for k in range(len(count)):
         if count[k] >= n:
-            sets.append(np.unique(several[at[k] : at[k + 1] - n + 1]))
-        elif count[k]:
-            sets.append(sequence_hash(tokens[at[k] : at[k + 1]], int(count[k])))
+            own = [s[at[k] : at[k + 1] - n + 1] for s in several]
         else:
-            sets.append(np.zeros(0, np.uint64))
-    return np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
+            own = [sequence_hash(h[at[k] : at[k + 1]], int(count[k]))[: int(count[k] > 0)] for h in hashes]
+        distinct, first = np.unique(own[0], return_index=True)
+        sets.append((distinct, *(s[first] for s in own[1:])))
+    joined = [np.concatenate([np.zeros(0, np.uint64), *(s[j] for s in sets)]) for j in range(len(hashes))]
+    return joined[0], np.concatenate(([0], np.cumsum([len(s[0]) for s in sets]))).astype(np.int64), *joined[1:]
 
 
 def signatures(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -80,10 +82,10 @@ SKETCH = [
 
 def _sketch(n: int):
     def kernel(data: np.ndarray, off: np.ndarray, rows: pa.RecordBatch) -> list[pa.Array]:
-        hashes, at = shingle_sets(data, off, n)
+        hashes, at, second = shingle_sets(data, off, n, twice=True)
         symbols = signatures(hashes, at)
-        # Digests of the whole set that don't depend on its order.
-        sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(seed))))) for seed in (1, 2)]
+        # Digests of the whole set that don't depend on its order, of independent hashes of its shingles.
+        sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h)))) for h in (hashes, second)]
         one, two = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
         return [pa.array(np.diff(at), pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *(pa.array(np.ascontiguousarray(symbols).view(np.int64)[:, c]) for c in range(CHUNKS))]
 

@@ -129,7 +129,7 @@ def _features(data: np.ndarray, off: np.ndarray, rows: pa.RecordBatch) -> list[p
     parts = [_grams(data, off, k) for k in (1, 2, 3)]
     bucket, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
     both, count = np.unique(doc * BUCKETS + bucket, return_counts=True)
-    keep = drawn(both // BUCKETS, both % BUCKETS, SAMPLE_GRAMS)
+    keep = drawn(both // BUCKETS, both % BUCKETS, SAMPLE_GRAMS, data, off)
     both, count = both[keep], count[keep]
     total = np.bincount(both // BUCKETS, count, n)
     value = GRAM_WEIGHT * count / total[both // BUCKETS]

@@ -110,14 +110,20 @@ def _scan(codes: DataFrame, ids: np.ndarray, queries: np.ndarray, books: np.ndar
                 rows, norms = part.column("id").to_numpy(), part.column("norm").to_numpy()
                 by = np.argsort(rows, kind="stable")  # equal scores: smaller ids first
                 code, rows, norms = code[by], rows[by], norms[by]
+                # Rows of one id are one item, at its best score; so they take one place among the `most`.
+                starts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+                items = rows[starts]
                 kept_near, kept = [], []
                 for q in range(len(ids)):
                     dots = tables[q, 0, code[:, 0]]
                     for m in range(1, CODEBOOKS):
                         dots = dots + tables[q, m, code[:, m]]
-                    score = norms - 2 * dots
-                    score[rows == ids[q]] = np.inf
-                    score, names = np.concatenate((near[q], score)), np.concatenate((found[q], rows))
+                    score = np.minimum.reduceat(norms - 2 * dots, starts)
+                    score[items == ids[q]] = np.inf
+                    place = np.minimum(np.searchsorted(items, found[q]), len(items) - 1)
+                    again = items[place] == found[q]
+                    score[place[again]] = np.minimum(score[place[again]], near[q][again])
+                    score, names = np.concatenate((near[q][~again], score)), np.concatenate((found[q][~again], items))
                     if len(score) > most:
                         edge = np.partition(score, most - 1)[most - 1]
                         sure, ties = np.flatnonzero(score < edge), np.flatnonzero(score == edge)
@@ -126,7 +132,10 @@ def _scan(codes: DataFrame, ids: np.ndarray, queries: np.ndarray, books: np.ndar
                         score, names = score[top], names[top]
                     kept_near.append(score)
                     kept.append(names)
-                near, found = np.stack(kept_near), np.stack(kept)
+                # Queries have found unlike numbers of items while there are few.
+                width = max(map(len, kept))
+                near = np.stack([np.pad(x, (0, width - len(x)), constant_values=np.inf) for x in kept_near])
+                found = np.stack([np.pad(x, (0, width - len(x)), constant_values=-1) for x in kept])
         if near.shape[1]:
             real = np.isfinite(near).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, near.shape[1])[real]), pa.array(found.ravel()[real]), pa.array(near.ravel()[real])], names=["q", "id", "near"])
@@ -184,6 +193,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "v
     if found is None:
         return vectors.sparkSession.createDataFrame([], names)
     best = Window.partitionBy("q").orderBy("near", "id")
+    found = found.groupBy("q", "id").agg(F.min("near").alias("near"))  # an id may stand in several tasks
     candidates = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rerank).select("q", "id")
     exact = candidates.join(rows, "id").join(asked.select(F.col("id").alias("q"), F.col("v").alias("w")), "q")
     exact = exact.groupBy("q", "id").agg(F.min(distance("v", "w")).alias("score"))

@@ -3,13 +3,15 @@
 A document is the average of the vectors of its words and of their character 3- to 5-grams (marked
 where they touch a word's edge), hashed into BUCKETS rows; a linear softmax reads that average. Vectors
 and softmax are trained jointly in numpy, so an unseen misspelling is near the word it shares n-grams
-with. Training takes a bounded sample of labelled documents (SAMPLE_PER_CLASS of each class, of up to
-SAMPLE_BYTES each, the first by a hash of the id). Since the average is linear, the trained model is one
+with. Training takes a bounded sample of labelled documents (SAMPLE_PER_CLASS of each class, the first by a hash of the id) of any
+length; of a text with more than SAMPLE_GRAMS distinct n-grams so many are drawn, by a hash of the text. Since the average is linear, the trained model is one
 number per bucket: scoring reads whole texts, once, where they lie, without a shuffle.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -104,9 +106,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 5 == 0
 
 
-def drawn(doc: np.ndarray, bucket: np.ndarray, most: int) -> np.ndarray:
-    """Which of the distinct (document, bucket) entries, in order, stay: `most` of each document, by a hash of both."""
-    chance = mix((bucket.astype(np.uint64) << np.uint64(20)) ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+def drawn(doc: np.ndarray, bucket: np.ndarray, most: int, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which of the distinct (document, bucket) entries, in order, stay: `most` of each document, by a hash of its text and the
+    bucket, so wherever and in whatever company the document is read."""
+    texts = [blake2b(data[s:e].tobytes(), digest_size=8).digest() for s, e in zip(off[:-1], off[1:], strict=True)]
+    chance = mix((bucket.astype(np.uint64) << np.uint64(20)) ^ np.frombuffer(b"".join(texts), "<u8")[doc])
     by = np.lexsort((chance, doc))
     head = np.flatnonzero(np.append(True, np.diff(doc[by]) != 0)) if len(doc) else np.zeros(0, np.int64)
     place = np.arange(len(doc)) - np.repeat(head, np.diff(np.append(head, len(doc))))
@@ -118,7 +122,7 @@ def drawn(doc: np.ndarray, bucket: np.ndarray, most: int) -> np.ndarray:
 def _bag(data: np.ndarray, off: np.ndarray, rows: pa.RecordBatch) -> list[pa.Array]:
     bucket, doc = subwords(data, off)
     both, count = np.unique(doc * BUCKETS + bucket, return_counts=True)
-    keep = drawn(both // BUCKETS, both % BUCKETS, SAMPLE_GRAMS)
+    keep = drawn(both // BUCKETS, both % BUCKETS, SAMPLE_GRAMS, data, off)
     both, count = both[keep], count[keep]
     at = np.searchsorted(both, np.arange(len(off)) * BUCKETS, "left").astype(np.int32)
     lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v, pa.int32())) for v in ((both % BUCKETS).astype(np.int32), count.astype(np.int32))]

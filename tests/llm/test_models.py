@@ -175,5 +175,8 @@ def test_long_texts_teach(spark, monkeypatch):
     bad, good = (r.score for r in tox.score(spark.createDataFrame([(0, "vile awful vile"), (1, "kind nice kind")], "i int, text string"), model).orderBy("i").collect())
     assert bad > good
     doc, bucket = np.repeat(np.arange(3), [50, 5, 0]), np.concatenate((np.arange(50), np.arange(5)))
-    kept = tox.drawn(doc, bucket, 20)
-    assert kept.sum() == 25 and kept[50:].all() and (kept == tox.drawn(doc, bucket, 20)).all()
+    data, off = np.frombuffer(b"onetwo", np.uint8), np.array([0, 3, 6, 6])
+    kept = tox.drawn(doc, bucket, 20, data, off)
+    assert kept.sum() == 25 and kept[50:].all()
+    # The same of a text wherever it stands.
+    assert (tox.drawn(doc[:50], bucket[:50], 20, data[:3], off[:2]) == kept[:50]).all()
