@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.sources.records import read_delimited
+
 #: Strings of a CSV file that mean "missing". Fixed values.
 MISSING = ["", "NA", "N/A", "n/a", "NaN", "nan", "-NaN", "-nan", "null", "NULL", "None", "<NA>", "#N/A", "#NA", "1.#IND", "-1.#IND", "1.#QNAN", "-1.#QNAN", "#N/A N/A"]
 
@@ -24,13 +26,13 @@ def store_dir(spark: SparkSession) -> str:
 
 
 def load_dataset(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> tuple[str, DataFrame]:
-    """(handle, rows) of a Parquet (by its suffix) or else CSV file or folder. NaN becomes null. Spark
+    """(handle, rows) of a Parquet (by its suffix) or else CSV file or folder, whose fields may hold line breaks. NaN becomes null. Spark
     raises if the path doesn't exist. The handle covers the path, the reader's options, and size and time of the last
     change of its files, so an edited file has another one."""
     if path.lower().endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
-        df = spark.read.csv(path, header=True, inferSchema=False, sep=delimiter or ",", encoding=encoding or "UTF-8", multiLine=False)
+        df = read_delimited(spark, path, delimiter or ",", encoding or "UTF-8")
         df = df.select(*(F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns))
         df = typed(df)
     double = (T.DoubleType, T.FloatType)
