@@ -9,8 +9,12 @@ word shorter, are frequent. Others can't be. Counts of the parts of candidates a
 
 from __future__ import annotations
 
+import re
 import string
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,16 +24,33 @@ from tabloom.llm.counting import run_sql, spill_folder
 
 #: Distinct n-grams that a bucket holds, about.
 BUCKET_ROWS = 1_000_000
+#: Texts whose pieces a task counts at once.
+TEXTS = 2_000
+_ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]")
+_LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 WIDE = T.DecimalType(38, 0)
 
 
 def pieces_of(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, piece, w): distinct pieces, of words with one space between, and how often each occurs."""
-    lowered = F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    cut = F.explode(F.split(lowered, r"[.,;:!?\x0A-\x0D]", -1))
-    plain = F.trim(F.regexp_replace("piece", "[ \t]+", " "))
-    rows = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), cut.alias("piece")).select("lang", plain.alias("piece"))
-    return rows.where("piece <> ''").groupBy("lang", "piece").agg(F.count("*").alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                found: Counter[tuple[str, bytes]] = Counter()
+                for name, value in zip(some.column("lang").to_pylist(), some.column("text").to_pylist(), strict=True):
+                    # split() cuts at the white space that words cannot have; line ends are gone by then.
+                    joined = [b" ".join(piece.split()) for piece in _ENDS.split(value.encode().translate(_LOWER))]
+                    found.update([(name, piece) for piece in joined if piece])
+                names, texts = zip(*found, strict=True) if found else ((), ())
+                for k in range(0, len(found), 50_000):
+                    part = slice(k, k + 50_000)
+                    columns = [pa.array(names[part], pa.string()), pa.array(texts[part], pa.binary()).cast(pa.string()), pa.array(list(found.values())[part], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "piece", "w"])
+
+    rows = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    return rows.mapInArrow(run, "lang string, piece string, w long").groupBy("lang", "piece").agg(F.sum("w").alias("w"))
 
 
 def _grams(n: int) -> str:
