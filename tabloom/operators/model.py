@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, PipelineModel
@@ -116,6 +115,7 @@ def cross_validate(df: DataFrame, features: list[str] | Spec, target: str, famil
         parts = (("validation", held), ("train", train))[: 1 + with_train]
         found = [(k, part, m, v) for part, data in parts for m, v in score(fitted.transform(without(data)), target, task).items()]
         train.unpersist()
+        fitted.prepared.release()
         return found
 
     asked = folds[1:] if ordered else folds
@@ -145,19 +145,17 @@ def sweep(df: DataFrame, features: list[str] | Spec, target: str, task: str, alp
 
 
 def finalize(train: DataFrame, features: list[str] | Spec, target: str, family: str, task: str, **params: object) -> str:
-    """The id of a model fitted on all of train and saved; the same request is fitted once. With a Spec its training rows
-    are saved too, for load_model fits the preparation on them again, which gives the same one."""
+    """The id of a model fitted on all of train and saved; the same request is fitted once. With a Spec its preparation is the
+    model's first stage, saved with it, so loading reads no training rows."""
     spark = train.sparkSession
     made = features.name if isinstance(features, Spec) else sorted(features)
     name = handle(made, target, family, task, params, train.schema.json(), train.agg(F.count("*"), F.sum(F.xxhash64(*train.columns).cast("decimal(38,0)"))).first())
     path = f"{store_dir(spark)}/models/{name}"
     if not _there(spark, path):
         if isinstance(features, Spec):
-            train.write.mode("overwrite").parquet(f"{path}_rows")
-            facts = json.dumps({"spec": asdict(features), "target": target})
-            spark.createDataFrame([(facts,)], "facts string").coalesce(1).write.mode("overwrite").parquet(f"{path}_spec")
-            train = spark.read.parquet(f"{path}_rows")
-            PipelineModel([fit_pipe(train, features, target, family, task, **params).model]).write().save(path)
+            pipe = fit_pipe(train, features, target, family, task, **params)
+            PipelineModel([pipe.prepared, pipe.model]).write().save(path)
+            pipe.prepared.release()
         else:
             facts = train.agg(F.count(target).alias("n"), F.stddev_pop(F.col(target)).alias("s") if task == "regression" else F.lit(1.0).alias("s"), F.count_distinct(target).alias("k")).first()
             model = get_model(family, task, facts.k, facts.n, facts.s or 1.0, **params)._set(labelCol=target, featuresCol=FEATURES)
@@ -170,16 +168,9 @@ def _there(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def load_model(spark: SparkSession, name: str) -> PipelineModel | Pipe:
-    path = f"{store_dir(spark)}/models/{name}"
-    fitted = PipelineModel.load(path)
-    if not _there(spark, f"{path}_spec"):
-        return fitted
-    facts = json.loads(spark.read.parquet(f"{path}_spec").first().facts)
-    spec = facts["spec"]
-    spec |= {k: tuple(spec[k]) for k in ("outliers", "selection") if spec[k]}
-    rows = spark.read.parquet(f"{path}_rows").where(F.col(f"`{facts['target']}`").isNotNull())
-    return Pipe(fit_spec(Spec(**spec), rows, facts["target"]), fitted.stages[0], facts["target"])
+def load_model(spark: SparkSession, name: str) -> PipelineModel:
+    """A saved model; with a Spec its first stage is the fitted preparation."""
+    return PipelineModel.load(f"{store_dir(spark)}/models/{name}")
 
 
 def final_test(spark: SparkSession, split: str, model: str, test: DataFrame, target: str, task: str) -> dict[str, float]:

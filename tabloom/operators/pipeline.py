@@ -9,9 +9,11 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, UnivariateFeatureSelector, VectorAssembler, VectorSlicer
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,7 +146,8 @@ def auto_spec(train: DataFrame, target: str, family: str | None = None, **parts:
 
 
 def fixed(table: DataFrame) -> DataFrame:
-    """A fitted table that is not computed again by each use: local rows up to SMALL_TABLE of them, else persisted."""
+    """A fitted table that is not computed again by each use: local rows up to SMALL_TABLE of them, else persisted until
+    Fitted.release()."""
     some = table.limit(prepare.SMALL_TABLE + 1).toArrow()
     if some.num_rows > prepare.SMALL_TABLE:
         return table.persist()
@@ -156,37 +159,147 @@ def _join(rows: DataFrame, table: DataFrame, column: str, name: str, otherwise)
     return rows.join(table.withColumn("_hit", F.lit(True)), F.col(f"`{column}`") == F.col("_c"), "left").withColumn(name, F.when(F.col("_hit"), F.col("_v")).otherwise(otherwise)).drop("_c", "_v", "_hit")
 
 
-class Fitted:
-    """What fit_spec learnt. names are the features, as far as categories are few enough to be listed."""
+@dataclass
+class Step:
+    """What one step learnt: facts that JSON can hold and, for some kinds, a table. Steps with `training` are for training rows only."""
 
-    def __init__(self, spec: Spec, target: str):
-        self.spec, self.target = spec, target
-        self.steps: list = []
+    kind: str
+    facts: dict
+    table: DataFrame | None = None
+    training: bool = False
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        return _APPLY[self.kind](rows, self.facts, self.table)
+
+
+def _apply_impute(rows: DataFrame, facts: dict, table: DataFrame | None) -> DataFrame:
+    cast = {c: F.col(f"`{c}`").cast(kind) for c, kind in facts["cast"].items()}
+    return prepare.apply_impute(rows.withColumns(cast) if cast else rows, {c: v for c, v in facts["fill"].items() if v is not None})
+
+
+def _hash_fold(keys: list[str]):
+    return F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in keys)), F.lit(ENCODING_FOLDS)).cast("int")
+
+
+def _apply_own(rows: DataFrame, facts: dict, table: DataFrame) -> DataFrame:
+    """The target encoding of training rows, each by the folds other than its own."""
+    name, c = facts["name"], facts["column"]
+    joined = rows.withColumn("_mine", _hash_fold(facts["keys"])).join(table, (F.col(f"`{c}`") == F.col("_c")) & (F.col("_mine") == F.col("_q")), "left")
+    return joined.withColumn(f"{name}_own", F.coalesce("_v", F.lit(facts["otherwise"]))).drop("_c", "_q", "_v", "_mine")
+
+
+def _apply_one_hot(rows: DataFrame, facts: dict, table: DataFrame) -> DataFrame:
+    """A slot a category; unknown ones have the code `size`, whose slot is dropped."""
+    size = float(facts["size"])
+    codes = rows.sparkSession.createDataFrame([(size,)], "_at double")
+    hot = OneHotEncoder(inputCol="_at", outputCol=facts["name"], dropLast=True).fit(codes)
+    return hot.transform(_join(rows, table, facts["column"], "_at", F.lit(size))).drop("_at")
+
+
+#: How each kind of step turns rows, from what it learnt.
+_APPLY = {
+    "row_feature": lambda rows, facts, table: prepare.row_feature(rows, facts["name"], facts["definition"]),
+    "group_feature": lambda rows, facts, table: prepare.apply_group_feature(rows, table, facts["rest"], facts["name"], facts["keys"]),
+    "outliers": lambda rows, facts, table: prepare.apply_outliers(rows, facts["bounds"], facts["strategy"]),
+    "impute": _apply_impute,
+    "scale": lambda rows, facts, table: prepare.apply_scale(rows, facts["widths"]),
+    "lookup": lambda rows, facts, table: _join(rows, table, facts["column"], facts["name"], F.lit(facts["otherwise"])),
+    "own": _apply_own,
+    "one_hot": _apply_one_hot,
+}
+
+
+class Fitted(Model, MLWritable, MLReadable):
+    """What fit_spec learnt: steps, inputs of the vector, slots of it that are kept (None: all). names are the features, as far as
+    categories are few enough to be listed. It can be a stage of a PipelineModel, and is saved with its tables as Parquet."""
+
+    def __init__(self, spec: Spec | None = None, target: str = ""):
+        super().__init__()
+        self.spec, self.target = spec or Spec(), target
+        self.steps: list[Step] = []
         self.names: list[str] = []
-        self.selector = None
+        self.inputs: list[str] = []
+        self.slots: list[int] | None = None
         #: In the training rows a target encoding takes the place of that of the other rows.
         self.own: dict[str, str] = {}
 
-    def _prepared(self, rows: DataFrame, training: bool = False) -> DataFrame:
-        for training_only, step in self.steps:
-            if training or not training_only:
-                rows = step(rows)
-        return rows
+    def add(self, step: Step, train: DataFrame) -> DataFrame:
+        self.steps.append(step)
+        return step.apply(train)
 
-    def transform(self, rows: DataFrame, training: bool = False) -> DataFrame:
+    def transform(self, rows: DataFrame, params: dict | None = None, training: bool = False) -> DataFrame:
         """rows, all of them, with the vector column FEATURES. With training, rows that fit_spec took as outliers go,
         and target encodings leave out the folds of the row."""
-        out = self._prepared(rows, training)
+        out = rows
+        for step in self.steps:
+            if training or not step.training:
+                out = step.apply(out)
         inputs = [self.own.get(c, c) if training else c for c in self.inputs]
-        out = VectorAssembler(inputCols=inputs, outputCol=FEATURES if self.selector is None else "_all", handleInvalid="keep").transform(out)
+        out = VectorAssembler(inputCols=inputs, outputCol=FEATURES if self.slots is None else "_all", handleInvalid="keep").transform(out)
         made = [c for c in out.columns if c.startswith("_f_")]
-        if self.selector is not None:
-            out = self.selector.transform(out).drop("_all")
+        if self.slots is not None:
+            out = VectorSlicer(inputCol="_all", outputCol=FEATURES, indices=self.slots).transform(out).drop("_all")
         return out.drop(*made)
 
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.transform(dataset)
+
     def columns_of(self, slots: list[int]) -> list[str]:
         return [self.names[i] for i in slots]
 
+    def release(self) -> None:
+        """Let go of tables that `fixed` keeps."""
+        for step in self.steps:
+            if step.table is not None and step.table.is_cached:
+                step.table.unpersist()
+
+    def write(self) -> MLWriter:
+        return _FittedWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _FittedReader()
+
+
+class _FittedWriter(MLWriter):
+    def __init__(self, fitted: Fitted):
+        super().__init__()
+        self.fitted = fitted
+
+    def saveImpl(self, path: str) -> None:
+        fitted, spark = self.fitted, self.sparkSession
+        steps = [{"kind": s.kind, "facts": s.facts, "training": s.training, "table": s.table is not None} for s in fitted.steps]
+        facts = {"spec": asdict(fitted.spec), "target": fitted.target, "steps": steps, "names": fitted.names, "inputs": fitted.inputs, "slots": fitted.slots, "own": fitted.own}
+        DefaultParamsWriter.saveMetadata(fitted, path, spark, extraMetadata={"preparation": facts})
+        for k, step in enumerate(fitted.steps):
+            if step.table is not None:
+                step.table.write.parquet(f"{path}/tables/{k}")
+
+
+class _FittedReader(MLReader):
+    def load(self, path: str) -> Fitted:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        facts = metadata["preparation"]
+        spec = facts["spec"] | {k: tuple(facts["spec"][k]) for k in ("outliers", "selection") if facts["spec"][k]}
+        fitted = Fitted(Spec(**spec), facts["target"])
+        fitted._resetUid(metadata["uid"])
+        fitted.names, fitted.inputs, fitted.slots, fitted.own = (facts[k] for k in ("names", "inputs", "slots", "own"))
+        for k, s in enumerate(facts["steps"]):
+            table = prepare.small(self.sparkSession.read.parquet(f"{path}/tables/{k}")) if s["table"] else None
+            fitted.steps.append(Step(s["kind"], s["facts"], table, s["training"]))
+        return fitted
+
+
+class Preparation(Estimator):
+    """fit_spec as a stage of a pyspark.ml Pipeline."""
+
+    def __init__(self, spec: Spec, target: str):
+        super().__init__()
+        self.spec, self.target = spec, target
+
+    def _fit(self, dataset: DataFrame) -> Fitted:
+        return fit_spec(self.spec, dataset, self.target)
+
 
 def _encode(fitted: Fitted, train: DataFrame, c: str, how: str, smoothing: float) -> DataFrame:
     """train with the feature _f_<c>; the step is added to fitted."""
@@ -195,57 +308,40 @@ def _encode(fitted: Fitted, train: DataFrame, c: str, how: str, smoothing: float
     if how == "frequency":
         counts = train.groupBy(x.alias("_c")).agg(F.count("*").alias("_n"))
         table = fixed(counts.join(F.broadcast(train.agg(F.count("*").alias("_all")))).select("_c", (F.col("_n") / F.col("_all")).alias("_v")))
-        step = lambda r: _join(r, table, c, name, F.lit(0.0))
         fitted.names.append(c)
-    elif how == "target_encoding":
+        return fitted.add(Step("lookup", {"column": c, "name": name, "otherwise": 0.0}, table), train)
+    if how == "target_encoding":
+        keys = sorted(k for k in train.columns if not k.startswith("_f_"))
         sums = [F.sum(y.cast("double")).alias("_s"), F.count(y).alias("_m")]
         whole = train.agg(F.avg(y.cast("double"))).first()[0] or 0.0
         smooth = F.try_divide(F.col("_s") + smoothing * whole, F.col("_m") + smoothing)
         table = fixed(train.groupBy(x.alias("_c")).agg(*sums).select("_c", smooth.alias("_v")))
-        part = F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in sorted(train.columns) if not k.startswith("_f_"))), F.lit(ENCODING_FOLDS)).cast("int")
-        cells = train.select(x.alias("_c"), part.alias("_p"), y.cast("double").alias("y")).groupBy("_c", "_p").agg(F.sum("y").alias("_s"), F.count("y").alias("_m"))
+        cells = train.select(x.alias("_c"), _hash_fold(keys).alias("_p"), y.cast("double").alias("y")).groupBy("_c", "_p").agg(F.sum("y").alias("_s"), F.count("y").alias("_m"))
         total = cells.groupBy("_c").agg(F.sum("_s").alias("_ts"), F.sum("_m").alias("_tm"))
         # The other folds of a category: its sums less those of the own fold.
         others = fixed(cells.join(total, "_c").select("_c", "_p", (F.col("_ts") - F.coalesce("_s", F.lit(0.0))).alias("_s"), (F.col("_tm") - F.col("_m")).alias("_m")).select("_c", F.col("_p").alias("_q"), smooth.alias("_v")))
-        keys = sorted(k for k in train.columns if not k.startswith("_f_"))
-
-        def step(r: DataFrame) -> DataFrame:
-            return _join(r, table, c, name, F.lit(whole))
-
-        def own(r: DataFrame) -> DataFrame:
-            mine = F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in keys)), F.lit(ENCODING_FOLDS)).cast("int")
-            joined = r.withColumn("_mine", mine).join(others, (F.col(f"`{c}`") == F.col("_c")) & (F.col("_mine") == F.col("_q")), "left")
-            return joined.withColumn(f"{name}_own", F.coalesce("_v", F.lit(whole))).drop("_c", "_q", "_v", "_mine")
-
         fitted.own[name] = f"{name}_own"
-        fitted.steps.append((True, own))
-        train = own(train)
         fitted.names.append(c)
-    elif how in ("label", "one_hot"):
-        codes = prepare.label_codes(train, c).select(F.col(f"`{c}`").alias("_c"), F.col("_code").cast("double").alias("_v"))
-        size = codes.count()
-        table = fixed(codes)
-        if how == "label":
-            step = lambda r: _join(r, table, c, name, F.lit(-1.0))
-            fitted.names.append(c)
-        else:
-            every = train.sparkSession.range(size + 1).select(F.col("id").cast("double").alias("_at"))
-            hot = OneHotEncoder(inputCol="_at", outputCol=name, dropLast=True).fit(every)  # the last slot, of unknown values, is dropped
-            step = lambda r: hot.transform(_join(r, table, c, "_at", F.lit(float(size)))).drop("_at")
-            listed = [str(r[0]) for r in codes.orderBy("_v").limit(1_000).collect()] if size <= 1_000 else map(str, range(size))
-            fitted.names += [f"{c}_{v}" for v in listed]
-    else:
+        train = fitted.add(Step("own", {"column": c, "name": name, "keys": keys, "otherwise": whole}, others, training=True), train)
+        return fitted.add(Step("lookup", {"column": c, "name": name, "otherwise": whole}, table), train)
+    if how not in ("label", "one_hot"):
         raise ValueError(f"unknown encoder: {how}")
-    fitted.steps.append((False, step))
-    return step(train)
+    codes = prepare.label_codes(train, c).select(F.col(f"`{c}`").alias("_c"), F.col("_code").cast("double").alias("_v"))
+    size = codes.count()
+    table = fixed(codes)
+    if how == "label":
+        fitted.names.append(c)
+        return fitted.add(Step("lookup", {"column": c, "name": name, "otherwise": -1.0}, table), train)
+    fitted.names += [f"{c}_{v}" for v in ([str(r[0]) for r in codes.orderBy("_v").limit(1_000).collect()] if size <= 1_000 else map(str, range(size)))]
+    return fitted.add(Step("one_hot", {"column": c, "name": name, "size": size}, table), train)
 
 
 def _selector(train: DataFrame, target: str, names: list[str], selection: tuple[str, float | int, str]):
-    """A fitted transformer from _all to FEATURES, and the slots it keeps; None if it would keep all."""
+    """The slots of _all that are kept; None if there is nothing to choose from."""
     method, keep, task = selection
     n = len(names)
     if n <= 1:
-        return None, list(range(n))
+        return None
     most = kept_number(keep, n)
     if method == "filter":
         kind = "continuous" if task == "regression" else "categorical"
@@ -264,23 +360,18 @@ def _selector(train: DataFrame, target: str, names: list[str], selection: tuple[
                 part = VectorSlicer(inputCol="_all", outputCol="_part", indices=slots).transform(train)
                 weight = forest("_part").fit(part).featureImportances.toArray()
                 slots.pop(min(range(len(slots)), key=lambda i: (weight[i], i)))
-    slots = slots or list(range(n))
-    return VectorSlicer(inputCol="_all", outputCol=FEATURES, indices=slots), slots
+    return slots or list(range(n))
 
 
 def fit_spec(spec: Spec, train: DataFrame, target: str) -> Fitted:
     """Fits spec on train, which has the target; rows given to transform need not have it."""
     fitted = Fitted(spec, target)
     for d in spec.derived:
-        step = _derive_step(d, train)
-        fitted.steps.append((False, step))
-        train = step(train)
+        train = fitted.add(_derive_step(d, train), train)
     if spec.outliers and spec.outliers[1]:
         strategy, columns = spec.outliers
         bounds = dict.fromkeys(columns, (0.0, 0.0)) if strategy == "transform" else prepare.fit_outliers(train, columns)
-        step = lambda r: prepare.apply_outliers(r, bounds, strategy)
-        fitted.steps.append((strategy == "remove", step))
-        train = step(train)
+        train = fitted.add(Step("outliers", {"bounds": bounds, "strategy": strategy}, training=strategy == "remove"), train)
     if not spec.imputers and not spec.encoders:
         fitted.inputs = [c for c in numeric(train) if c != target]
         fitted.names = list(fitted.inputs)
@@ -288,19 +379,11 @@ def fit_spec(spec: Spec, train: DataFrame, target: str) -> Fitted:
         numbers = [c for c in spec.imputers if c not in spec.encoders]
         strategies = {c: spec.imputers[c] for c in numbers} | {c: spec.imputers.get(c, "constant") for c in spec.encoders}
         strategies = {c: {"mode": "most_frequent"}.get(s, s) for c, s in strategies.items()}
-        flags = [c for c in strategies if isinstance(train.schema[c].dataType, T.BooleanType)]
-        plain = lambda r: r.withColumns({c: F.col(f"`{c}`").cast("string" if c in spec.encoders else "double") for c in strategies if c in spec.encoders or c in flags})
-        fill = prepare.fit_impute(plain(train), strategies)
-        fitted.fill = fill
-        step = lambda r: prepare.apply_impute(plain(r), {c: v for c, v in fill.items() if v is not None})
-        fitted.steps.append((False, step))
-        train = step(train)
+        cast = {c: "string" for c in strategies if c in spec.encoders} | {c: "double" for c in numbers if isinstance(train.schema[c].dataType, T.BooleanType)}
+        fill = prepare.fit_impute(train.withColumns({c: F.col(f"`{c}`").cast(kind) for c, kind in cast.items()}) if cast else train, strategies)
+        train = fitted.add(Step("impute", {"cast": cast, "fill": fill}), train)
         if spec.scaler != "none" and numbers:
-            widths = prepare.fit_scale(train, numbers, spec.scaler)
-            fitted.scale = widths
-            scaled = lambda r: prepare.apply_scale(r, widths)
-            fitted.steps.append((False, scaled))
-            train = scaled(train)
+            train = fitted.add(Step("scale", {"widths": prepare.fit_scale(train, numbers, spec.scaler)}), train)
         fitted.names = list(numbers)
         for c, how in spec.encoders.items():
             train = _encode(fitted, train, c, how, spec.smoothing)
@@ -308,15 +391,17 @@ def fit_spec(spec: Spec, train: DataFrame, target: str) -> Fitted:
     if spec.selection:
         inputs = [fitted.own.get(c, c) for c in fitted.inputs]
         vectors = VectorAssembler(inputCols=inputs, outputCol="_all", handleInvalid="keep").transform(train)
-        fitted.selector, slots = _selector(vectors, target, fitted.names, spec.selection)
-        fitted.names = fitted.columns_of(slots)
+        fitted.slots = _selector(vectors, target, fitted.names, spec.selection)
+        if fitted.slots is not None:
+            fitted.names = fitted.columns_of(fitted.slots)
     return fitted
 
 
-def _derive_step(definition: dict, train: DataFrame):
+def _derive_step(definition: dict, train: DataFrame) -> Step:
     """A step for one definition; aggregates come from train, as it is after the definitions before."""
     derived_spec([definition])
-    if definition["expression_type"] == "row_wise":
-        return lambda r: prepare.row_feature(r, definition["name"], definition["definition"])
     d = definition["definition"]
-    return lambda r: prepare.group_feature(train, r, definition["name"], d["group_by"], d["value_column"], d.get("agg", "mean"))
+    if definition["expression_type"] == "row_wise":
+        return Step("row_feature", {"name": definition["name"], "definition": d})
+    table, rest = prepare.fit_group_feature(train, d["group_by"], d["value_column"], d.get("agg", "mean"))
+    return Step("group_feature", {"name": definition["name"], "keys": d["group_by"], "rest": rest}, fixed(table))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import clip, part_of_date, signed_log
-from tabloom.operators.ranges import quantiles, running, with_codes, with_range
+from tabloom.operators.ranges import median_by, quantiles, running, with_codes, with_range
 
 AGGREGATES = {
     "mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "median": F.median, "std": F.stddev_samp, "var": F.var_samp, "nunique": F.count_distinct,
@@ -70,14 +70,33 @@ def derive(df: DataFrame, definitions: list[dict], train: DataFrame | None = Non
     return df
 
 
-def group_feature(train: DataFrame, rows: DataFrame, name: str, keys: list[str], value: str, agg: str = "mean") -> DataFrame:
-    """rows with the aggregate of value by keys over train; keys that train lacks get the one over all of train."""
+def fit_group_feature(train: DataFrame, keys: list[str], value: str, agg: str = "mean") -> tuple[DataFrame, object]:
+    """(_<key>, ..., _v) of train's groups, and the value over all of train. A median is taken from counted values by ranges, so
+    no task holds all values of a group or of the table."""
     if agg not in AGGREGATES:
         raise ValueError(f"unknown aggregate: {agg}")
-    fitted = train.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(AGGREGATES[agg](value).alias("_v"))
-    rest = F.broadcast(train.agg(AGGREGATES[agg](value).alias("_all")))  # one row
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    return rows.join(small(fitted), same, "left").join(rest).withColumn(name, F.coalesce("_v", "_all")).drop("_v", "_all", *(f"_{k}" for k in keys))
+    named = train.select(*(F.col(f"`{k}`").alias(f"_{k}") for k in keys), F.col(f"`{value}`").alias("_x"))
+    by = [f"_{k}" for k in keys]
+    if agg == "median":
+        known = named.withColumn("_x", F.col("_x").cast("double"))
+        found = median_by(known, by, "_x")
+        # Groups without known values have none.
+        fitted = named.select(*by).distinct().join(found, [F.col(f"`{k}`").eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(by)], "left").select(*by, "_v")
+        q = quantiles(known, ["_x"], [0.5])["_x"]
+        return fitted, q[0] if q else None
+    return named.groupBy(*by).agg(AGGREGATES[agg]("_x").alias("_v")), named.agg(AGGREGATES[agg]("_x").alias("_v")).first()._v
+
+
+def apply_group_feature(rows: DataFrame, table: DataFrame, rest: object, name: str, keys: list[str]) -> DataFrame:
+    same = [F.col(f"`{k}`") == F.col(f"`_{k}`") for k in keys]
+    filled = F.coalesce("_v", F.lit(rest)) if rest is not None else F.col("_v")
+    return rows.join(table, same, "left").withColumn(name, filled).drop("_v", *(f"_{k}" for k in keys))
+
+
+def group_feature(train: DataFrame, rows: DataFrame, name: str, keys: list[str], value: str, agg: str = "mean") -> DataFrame:
+    """rows with the aggregate of value by keys over train; keys that train lacks get the one over all of train."""
+    fitted, rest = fit_group_feature(train, keys, value, agg)
+    return apply_group_feature(rows, small(fitted), rest, name, keys)
 
 
 def fit_impute(train: DataFrame, strategies: dict[str, str]) -> dict[str, object]:

@@ -108,6 +108,17 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) ->
     return {c: found.get(c) for c in columns}
 
 
+def median_by(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """(_g0, ..., _v): the exact median of the known values of a numeric column for each value of the columns `by`. The ranges are
+    those of the whole column, so a group of any size is spread over them."""
+    keys = [f"_g{i}" for i in range(len(by))]
+    known = df.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)), F.col(f"`{column}`").cast("double").alias("value")).where("value is not null")
+    counts = with_range(known, "value", "_b").groupBy(*keys, "_b", "value").agg(F.count("*").alias("n"))
+    ranked = running(counts, ["value"], ["n"], keys).withColumn("_from", F.col("upto_n") - F.col("n"))
+    middle = [F.max(F.when((F.col("_from") <= at) & (at < F.col("upto_n")), F.col("value"))) for at in (F.floor((F.col("all_n") - 1) / 2), F.floor(F.col("all_n") / 2))]
+    return ranked.groupBy(*keys).agg(((middle[0] + middle[1]) / 2).alias("_v"))
+
+
 def text_bounds(values: DataFrame) -> list:
     """Rows (column, value) that cut distinct (column, value) strings into ranges, from a bounded sample."""
     known = values.where("value is not null")

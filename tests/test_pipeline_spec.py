@@ -1,11 +1,19 @@
 """Preparation is learnt from training rows only, and its parts choose as documented."""
 
+import random
+import shutil
+import statistics
+from pathlib import Path
+
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from tabloom.operators import associate, diagnose, metrics, model, pipeline, prepare
+from tabloom.operators import associate, diagnose, metrics, model, pipeline, prepare, ranges
 from tabloom.sources import tables
+from tabloom.sources.tables import store_dir
 
 SCHEMA = "id long, x double, z double, c string, wide string, flag boolean, y double"
 
@@ -139,3 +147,49 @@ def test_one_hot_vector_and_auc_of_classes(rows, spark):
     assert {r.c: r.v for r in out} == {"a": [0.0, 0.0], "b": [1.0, 0.0], "c": [0.0, 1.0], None: [0.0, 0.0]}
     three = spark.createDataFrame([(0, [0.9, 0.1, 0.0]), (1, [0.1, 0.8, 0.1]), (2, [0.2, 0.9, 0.5])], "y int, p array<double>")
     assert {r["class"]: r.auc for r in metrics.roc_auc_classes(three, "y", "p").collect()} == {0: 1.0, 1: 0.5, 2: 1.0}
+
+
+def test_saved_preparation_reads_no_training_rows(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(k, rng.choice([None, rng.gauss(3, 2)]), rng.choice("abcd"), rng.choice("uvw"), rng.choice(["p", None, "q"]), rng.random() < 0.5) for k in range(400)]
+    data = spark.createDataFrame([(*r, 2.0 * (r[1] or 0) + (r[2] == "a") + rng.gauss(0, 0.1)) for r in rows], "id long, x double, c string, d string, e string, b boolean, y double")
+    where = str(tmp_path / "train.parquet")
+    data.write.parquet(where)
+    spec = pipeline.Spec(
+        imputers={"x": "median", "b": "most_frequent"}, encoders={"c": "target_encoding", "d": "one_hot", "e": "label"}, scaler="robust", outliers=("cap", ["x"]),
+        derived=[{"name": "mx", "expression_type": "aggregation", "definition": {"group_by": ["c"], "value_column": "x", "agg": "median"}}, {"name": "x2", "expression_type": "row_wise", "definition": {"kind": "arithmetic", "expression": "x * x"}}],
+        selection=("filter", 0.8, "regression"),
+    )
+    train = spark.read.parquet(where)
+    fitted = model.fit_pipe(train, spec, "y", "linear", "regression")
+    test = data.where("id % 3 = 0").withColumn("c", F.when(F.col("id") == 3, F.lit("never")).otherwise(F.col("c")))
+    before = {r.id: r.prediction for r in fitted.transform(test).collect()}
+    name = model.finalize(train, spec, "y", "linear", "regression")
+    shutil.rmtree(where)
+    loaded = model.load_model(spark, name)
+    assert isinstance(loaded.stages[0], pipeline.Fitted) and loaded.stages[0].spec == spec
+    assert loaded.stages[0].names == fitted.prepared.names
+    out = loaded.transform(test)
+    assert "train.parquet" not in "".join(out.inputFiles())
+    assert {r.id: r.prediction for r in out.collect()} == pytest.approx(before, abs=1e-9)
+    left = [p.name for p in Path(store_dir(spark).removeprefix("file:")).joinpath("models").iterdir() if p.name.startswith(name)]
+    assert left == [name]
+
+
+def test_preparation_as_a_stage(spark):
+    data = spark.createDataFrame([(float(k), "ab"[k % 2], float(3 * k + k % 2)) for k in range(40)], "x double, c string, y double")
+    stages = [pipeline.Preparation(pipeline.Spec(imputers={"x": "mean"}, encoders={"c": "label"}), "y"), LinearRegression(labelCol="y", featuresCol=pipeline.FEATURES)]
+    got = Pipeline(stages=stages).fit(data).transform(data.drop("y")).orderBy("x").select("prediction").collect()
+    assert [r.prediction for r in got] == pytest.approx([3.0 * k + k % 2 for k in range(40)], abs=1e-3)
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_median_by_group(spark, monkeypatch, parts):
+    monkeypatch.setattr(ranges, "SAMPLE_ROWS", 100)
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randint(0, 40)), rng.random()])) for _ in range(900)] + [("lone", None), ("one", 7.0)]
+    train = spark.createDataFrame(rows, "k string, v double").repartition(parts)
+    got = {r.k: r.m for r in prepare.group_feature(train, train.select("k").distinct().union(spark.createDataFrame([("new",)], "k string")), "m", ["k"], "v", "median").collect()}
+    whole = statistics.median(v for _, v in rows if v is not None)
+    want = {k: statistics.median([v for g, v in rows if g == k and v is not None]) for k in ("a", "b", "one")}
+    assert got == pytest.approx(want | {"lone": whole, "new": whole, None: whole})
