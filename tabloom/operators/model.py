@@ -18,6 +18,7 @@ from pyspark.util import inheritable_thread_target
 
 from tabloom.functions.columns import corr
 from tabloom.operators import metrics
+from tabloom.operators.boost import SoftmaxBoost
 from tabloom.operators.diagnose import numeric
 from tabloom.operators.pipeline import FEATURES, Fitted, Spec, fit_spec, kept_number
 from tabloom.operators.smote import smote
@@ -38,7 +39,7 @@ def get_model(family: str, task: str, n_classes: int = 2, n: int = 1, spread: fl
         ("linear", "regression"): lambda: LinearRegression(regParam=ridge, elasticNetParam=0.0, standardization=False, solver="normal"),
         ("linear", "classification"): lambda: LogisticRegression(regParam=inverse, elasticNetParam=0.0, standardization=False, maxIter=1000),
         ("tree_ensemble", "regression"): lambda: GBTRegressor(maxIter=200, stepSize=0.1, seed=42),
-        ("tree_ensemble", "classification"): lambda: GBTClassifier(maxIter=200, stepSize=0.1, seed=42) if n_classes <= 2 else RandomForestClassifier(numTrees=200, seed=42),
+        ("tree_ensemble", "classification"): lambda: GBTClassifier(maxIter=200, stepSize=0.1, seed=42) if n_classes <= 2 else SoftmaxBoost(rounds=200, rate=0.1),
     }
     if (family, task) not in table:
         raise ValueError(f"no model {family} for {task}")

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.operators import associate, diagnose, metrics, model, pipeline, prepare, smote, split, tracking
+from tabloom.operators import associate, boost, diagnose, metrics, model, pipeline, prepare, smote, split, tracking
 from tabloom.streaming.profile import windowed_profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -466,28 +467,12 @@ def windowed_events(t):
     return windowed_profile(t("events"), "ts", "value").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("SELECT 'b' AS run, 0.9::DOUBLE AS number UNION ALL SELECT 'a', 0.7", "number")
-def runs_compared(t):
-    rows = [("e", "a", "metric", "f1", None, 0.5, 1.0), ("e", "a", "metric", "f1", None, 0.7, 2.0), ("e", "b", "metric", "f1", None, 0.9, 1.0), ("e", "c", "param", "f1", "x", None, 1.0)]
-    spark = t("region").sparkSession
-    return tracking.compare_runs(spark.createDataFrame(rows, tracking.EVENTS), "e", "f1")
-
-
 @query("SELECT CAST(user_id AS VARCHAR) AS run, arg_max_null(value, event_id) AS number FROM events WHERE event_type = 'click' GROUP BY 1", "number")
 def runs_compared_events(t):
     rows = t("events").select(F.col("event_type").alias("experiment"), F.col("user_id").cast("string").alias("run"), F.lit("metric").alias("kind"), F.lit("value").alias("key"), F.lit(None).cast("string").alias("value"), F.col("value").alias("number"), F.col("event_id").cast("double").alias("at"))
     return tracking.compare_runs(rows, "click", "value")
 
 
-# y: 0.2 * 2 / 4; x: 0.3 for the bucket and 0.5 * (1 + 1) / 2 for the roles.
-@query("SELECT 'y' AS id, 0.1::DOUBLE AS distance UNION ALL SELECT 'x', 0.8", "distance")
-def cases_similar(t):
-    kind = "id string, row_bucket string, n_columns int, role_mix map<string,int>, task string, scope string"
-    rows = [("x", "small", 4, {"boolean": 4}, "classification", "private"), ("y", "tiny", 2, {"identifier": 2}, "classification", "private"), ("z", "tiny", 2, {"identifier": 2}, "regression", "private")]
-    cases = t("region").sparkSession.createDataFrame(rows, kind)
-    return tracking.similar_cases(cases, {"row_bucket": "tiny", "n_columns": 4, "role_mix": {"identifier": 2}}, "classification").select("id", "distance")
-
-
 @query("""WITH c AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 4 AS bucket, o_custkey % 10 + 1 AS n, (o_orderkey % 3)::DOUBLE AS a, (o_custkey % 4)::DOUBLE AS b FROM orders WHERE o_orderstatus = 'F')
     SELECT id, round(0.3::DOUBLE * abs(bucket - 1) + 0.2::DOUBLE * abs(n - 4) / greatest(n, 4) + 0.5::DOUBLE * (abs(0.5::DOUBLE - a / greatest(a + b, 1)) + abs(0.5::DOUBLE - b / greatest(a + b, 1))) / 2, 4) AS distance FROM c ORDER BY 2, 1 LIMIT 5""", "distance")
 def cases_similar_orders(t):
@@ -595,3 +580,12 @@ def run_best(t):
 def cv_trees(t):
     rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice", (F.col("l_orderkey") % 3).cast("int").alias("fold"))
     return model.cross_validate(rows, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "tree_ensemble", "regression")
+
+
+@query()
+def boost_classes(t):
+    """Predicted status and its probability of every order, of trees boosted on them."""
+    rows = t("orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.datediff("o_orderdate", F.lit("1992-01-01")).cast("double").alias("day"), F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("y"))
+    rows = VectorAssembler(inputCols=["price", "day"], outputCol="features").transform(rows)
+    out = boost.SoftmaxBoost(labelCol="y", rounds=3, depth=3).fit(rows).transform(rows)
+    return out.select("o_orderkey", "y", F.col("prediction").cast("int").alias("predicted"), F.round(F.array_max(vector_to_array("probability")), 9).alias("p"))
