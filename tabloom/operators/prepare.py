@@ -3,13 +3,12 @@ is applied as column expressions or a join with a small fitted table."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import clip, part_of_date, signed_log
+from tabloom.functions.expressions import arithmetic
 from tabloom.operators.ranges import median_by, quantiles, running, with_codes, with_range
 
 AGGREGATES = {
@@ -17,34 +16,12 @@ AGGREGATES = {
 }
 #: Fitted tables of at most so many rows are broadcast; larger ones are joined by shuffle.
 SMALL_TABLE = 100_000
-_TOKEN = re.compile(r"\s*(`[^`]+`|[A-Za-z_]\w*|\d+\.?\d*(?:[eE][+-]?\d+)?|\*\*|<=|>=|==|!=|[-+*/()<>&|~%])")
 
 
 def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE else table
 
 
-def arithmetic(expression: str, columns: list[str]) -> Column:
-    """An expression of columns, numbers, arithmetic, comparisons and & | ~; anything else is refused."""
-    out, at = [], 0
-    while at < len(expression.rstrip()):
-        m = _TOKEN.match(expression, at)
-        if not m:
-            raise ValueError(f"not understood at {expression[at:]!r}")
-        token, at = m[1], m.end()
-        name = token.strip("`")
-        if re.match(r"[A-Za-z_`]", token) and name not in columns:
-            raise ValueError(f"unknown column: {name}")
-        out.append({"**": "**", "&": " AND ", "|": " OR ", "~": " NOT ", "==": "="}.get(token, f"`{name}`" if name in columns else token))
-    text = "".join(out)
-    atom = r"(`[^`]+`|[\d.]+|\([^()]*\))"
-    while "**" in text:
-        text, n = re.subn(rf"{atom}\*\*{atom}", r"pow(\1, \2)", text)
-        if not n:
-            raise ValueError("** takes columns, numbers and simple brackets")
-    return F.expr(text)
-
-
 def row_feature(df: DataFrame, name: str, definition: dict) -> DataFrame:
     kind = definition["kind"]
     if kind == "datetime_part":

@@ -589,3 +589,11 @@ def boost_classes(t):
     rows = VectorAssembler(inputCols=["price", "day"], outputCol="features").transform(rows)
     out = boost.SoftmaxBoost(labelCol="y", rounds=3, depth=3).fit(rows).transform(rows)
     return out.select("o_orderkey", "y", F.col("prediction").cast("int").alias("predicted"), F.round(F.array_max(vector_to_array("probability")), 9).alias("p"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN l_quantity / (l_linenumber - 3)::DOUBLE END AS d,
+    CASE WHEN l_linenumber <> 3 THEN -7 - (l_linenumber - 3) * floor(-7 / (l_linenumber - 3)::DOUBLE) END AS m, -pow(2.0, pow(l_linenumber % 3, 2)) + 1 AS p, l_tax >= 0.02 AND l_tax < l_discount OR l_quantity = 1 AS c FROM lineitem""", "d m p")
+def derive_expressions(t):
+    defs = {"d": "l_quantity / (l_linenumber - 3)", "m": "-7 % (l_linenumber - 3)", "p": "-2 ** (l_linenumber % 3) ** 2 + 1", "c": "0.02 <= l_tax < l_discount | l_quantity == 1"}
+    rows = prepare.derive(t("lineitem"), [{"name": k, "expression_type": "row_wise", "definition": {"kind": "arithmetic", "expression": v}} for k, v in defs.items()])
+    return rows.select("l_orderkey", "l_linenumber", "d", F.col("m").cast("double"), "p", "c")
