@@ -5,8 +5,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ks_tail(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
@@ -98,3 +101,97 @@ def f_tail(f: float, df1: float, df2: float) -> float:
 def t_tail(t: float, df: float) -> float:
     """P(|t of df degrees| > |t|)."""
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
+
+
+# Coefficients of the normal quantile (Wichura's AS 241), numerator and denominator by rising power, for the middle and both tails. Fixed values.
+QUANTILE_MIDDLE = (
+    [3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727],
+    [1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610],
+)
+QUANTILE_NEAR = (
+    [1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 7.74545014278341407640e-4],
+    [1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 5.47593808499534494600e-4, 1.05075007164441684324e-9],
+)
+QUANTILE_FAR = (
+    [6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930, 0.00124266094738807843860, 2.71155556874348757815e-5, 2.01033439929228813265e-7],
+    [1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15],
+)
+# Royston's polynomials (AS R94): of the two outer weights, by 1 / sqrt(n), and of mean and log deviation of log(1 - W), by n up to 11 and by log n above. Fixed values.
+WEIGHT_OUTER = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
+WEIGHT_NEXT = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
+FEW_BOUND, FEW_MEAN, FEW_DEVIATION = [-2.273, 0.459], [0.5440, -0.39978, 0.025054, -6.714e-4], [1.3822, -0.77857, 0.062767, -0.0020322]
+MANY_MEAN, MANY_DEVIATION = [-1.5861, -0.31082, -0.083751, 0.0038915], [-0.4803, -0.082676, 0.0030302]
+
+
+def polynomial(x: Column, coefficients: list[float]) -> Column:
+    out = F.lit(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out = out * x + F.lit(c)
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal value below which the share p, between 0 and 1, lies."""
+    q = p - 0.5
+    r = F.sqrt(-F.log(F.least(p, 1 - p)))
+    ratio = lambda x, pair: polynomial(x, pair[0]) / polynomial(x, pair[1])
+    tail = F.when(r <= 5, ratio(r - 1.6, QUANTILE_NEAR)).otherwise(ratio(r - 5, QUANTILE_FAR))
+    return F.when(F.abs(q) <= 0.425, q * ratio(0.180625 - q * q, QUANTILE_MIDDLE)).otherwise(F.signum(q) * tail)
+
+
+@F.pandas_udf(T.DoubleType())
+def normal_tail(z: pd.Series) -> pd.Series:
+    """P(standard normal > z), of the few rows that tests give."""
+    return z.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2)), na_action="ignore").astype(float)
+
+
+#: Two samples of at most so many values have an exact tail.
+EXACT_ROWS = 10_000
+
+
+def ks_exact(d: float, n1: int, n2: int) -> float:
+    """P(largest distance of the two samples' distributions >= d) if all orders of n1 and n2 values are alike: one less the share
+    of lattice paths from (0, 0) to (n1, n2) that stay closer to the diagonal. Along a row of the lattice, the paths to
+    a point are the sum of those to the row below up to it, so a row is one running sum; rows are scaled as they grow."""
+    n1, n2 = max(n1, n2), min(n1, n2)
+    most = round(d * n1 * n2)  # distances are whole multiples of 1 / (n1 n2)
+    if most <= 0:
+        return 1.0
+    at = np.arange(n2 + 1, dtype=np.int64)
+    paths, scale = np.zeros(n2 + 1), 0.0
+    paths[np.abs(at * n1) < most] = 1.0
+    # In the first row there is one way to each point, as long as none before is outside.
+    for i in range(1, n1 + 1):
+        inside = np.abs(i * n2 - at * n1) < most
+        paths = np.where(inside, paths, 0.0)
+        first, last = np.argmax(inside), n2 - np.argmax(inside[::-1])
+        if not inside.any():
+            return 1.0
+        paths[first : last + 1] = np.cumsum(paths[first : last + 1])
+        top = paths.max()
+        if top == 0:
+            return 1.0
+        if top > 1e200:
+            paths, scale = paths / top, scale + math.log(top)
+    total = math.lgamma(n1 + n2 + 1) - math.lgamma(n1 + 1) - math.lgamma(n2 + 1)
+    if paths[-1] <= 0:
+        return 1.0
+    return min(1.0, max(0.0, -math.expm1(math.log(paths[-1]) + scale - total)))
+
+
+def ks_tail_of(d: float, n1: int, n2: int) -> float:
+    """The exact tail of two samples of up to EXACT_ROWS values, else Kolmogorov's limit."""
+    if max(n1, n2) <= EXACT_ROWS:
+        return ks_exact(d, n1, n2)
+    x2 = d * d * n1 * n2 / (n1 + n2)
+    return 1.0 if x2 < 0.04 else min(1.0, max(0.0, sum((2.0 if k % 2 else -2.0) * math.exp(-2.0 * k * k * x2) for k in range(1, 101))))
+
+
+@F.pandas_udf(T.DoubleType())
+def _ks_tails(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) else ks_tail_of(x, int(a), int(b)) for x, a, b in zip(d, n1, n2, strict=True)], dtype=float)
+
+
+def ks_p_value(d: Column, n1: Column, n2: Column) -> Column:
+    """The tail of the one row that a test gives: the limit as an expression, where both samples are small the exact value."""
+    return F.when(F.greatest(n1, n2) <= EXACT_ROWS, _ks_tails(d, n1, n2)).otherwise(ks_tail(d, n1.cast("double"), n2))

@@ -3,13 +3,18 @@ ranges of values, so no task sees a whole column; tables of categories are never
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.columns import corr, finite
-from tabloom.functions.tails import chi_square_tail, f_tail, ks_tail, normality_z, t_tail
-from tabloom.operators.ranges import average_ranks, quantiles, running, with_range
+from tabloom.functions.tails import (
+    FEW_BOUND, FEW_DEVIATION, FEW_MEAN, MANY_DEVIATION, MANY_MEAN, WEIGHT_NEXT, WEIGHT_OUTER,
+    chi_square_tail, f_tail, ks_p_value, ks_tail, ks_tail_of, normal_quantile, normal_tail, normality_z, polynomial, t_tail,
+)
+from tabloom.operators.ranges import average_ranks, counted, quantiles, running, with_range
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -87,9 +92,11 @@ def ks_two_samples(df: DataFrame, value: str, first: str) -> DataFrame:
     return steps.agg(F.max("all_a").alias("n1"), F.max("all_b").alias("n2"), F.max(F.abs(F.try_divide("upto_a", "all_a") - F.try_divide("upto_b", "all_b"))).alias("d"))
 
 
-def shift(df: DataFrame, value: str, first: str, alpha: float = 0.05) -> DataFrame:
-    """(n1, n2, d, p_value, shifted): whether the two samples of value come from different distributions."""
-    found = ks_two_samples(df, value, first).withColumn("p_value", ks_tail(F.col("d"), F.col("n1").cast("double"), F.col("n2")))
+def shift(df: DataFrame, value: str, first: str, alpha: float = 0.05, exact: bool = True) -> DataFrame:
+    """(n1, n2, d, p_value, shifted): whether the two samples of value come from different distributions. The p-value is exact for
+    samples of up to EXACT_ROWS values each, unless `exact` is false, and that of Kolmogorov's limit for larger ones."""
+    d, n1, n2 = F.col("d"), F.col("n1"), F.col("n2")
+    found = ks_two_samples(df, value, first).withColumn("p_value", ks_p_value(d, n1, n2) if exact else ks_tail(d, n1.cast("double"), n2))
     return found.withColumn("shifted", F.col("p_value") < alpha)
 
 
@@ -113,8 +120,8 @@ def validate_split(df: DataFrame, part: str = "part", target: str | None = None,
         kind = df.schema[c].dataType
         if isinstance(kind, (T.NumericType, T.BooleanType)):
             x = F.col(f"`{c}`")
-            r = ks_two_samples(rows.select((x.cast("int") if isinstance(kind, T.BooleanType) else x).cast("double").alias("v"), "_first"), "v", "_first").withColumn("p", ks_tail(F.col("d"), F.col("n1").cast("double"), F.col("n2"))).first()
-            found = ("ks", r.d, r.p) if r.n1 and r.n2 else None
+            r = ks_two_samples(rows.select((x.cast("int") if isinstance(kind, T.BooleanType) else x).cast("double").alias("v"), "_first"), "v", "_first").first()
+            found = ("ks", r.d, ks_tail_of(r.d, r.n1, r.n2)) if r.n1 and r.n2 else None
         else:
             r = shift_categories(rows, c, "_first").first()
             found = ("chi_square", r.chi2, chi_square_tail(r.chi2, r.k - 1) if r.k > 1 else 1.0) if r.n1 and r.n2 else None
@@ -136,6 +143,55 @@ def normality(df: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFra
     return tested.select("column", F.col("count").alias("n"), "k2", "p_value", F.coalesce(F.col("p_value") > alpha, F.lit(False)).alias("is_normal"))
 
 
+#: Columns with fewer known values are tested by Shapiro and Wilk's W.
+FEW_VALUES = 5_000
+
+
+def shapiro_wilk(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, w, p_value) of the columns with 3 to FEW_VALUES - 1 known values, all in one pass: W is the squared correlation of
+    the values with weights made from the normal scores of their ranks, by Royston's approximation (AS R94), as is the
+    p-value. Equal values share out the scores of their ranks. Where all values are equal, w is 1 and p_value 1."""
+    rows = df.select(*(finite(F.col(f"`{c}`").cast("double")).alias(c) for c in columns))
+    ranked = running(counted(rows, columns), ["value"], ["n"], ["column"])
+    few = ranked.where((F.col("all_n") >= 3) & (F.col("all_n") < FEW_VALUES))
+    at = few.select("column", "value", F.col("all_n").cast("double").alias("size"), F.explode(F.sequence(F.col("upto_n") - F.col("n") + 1, F.col("upto_n"))).alias("i"))
+    z = normal_quantile((F.col("i") - 0.375) / (F.col("size") + 0.25))
+    at = at.withColumn("z", z).withColumn("outer", F.when(F.col("size") > 5, 2).otherwise(1))
+    inner = (F.col("i") > F.col("outer")) & (F.col("i") <= F.col("size") - F.col("outer"))
+    value = lambda i: F.max(F.when(F.col("i") == i, F.col("value")))
+    score = lambda i: F.max(F.when(F.col("i") == i, F.col("z")))
+    n = F.col("size")
+    sums = at.groupBy("column", "size").agg(
+        F.sum(F.col("z") * F.col("z")).alias("zz"), F.sum(F.when(inner, F.col("z") * F.col("value"))).alias("zx"), F.var_pop("value").alias("v"),
+        (value(n) - value(F.lit(1))).alias("d1"), (value(n - 1) - value(F.lit(2))).alias("d2"), score(n).alias("z1"), score(n - 1).alias("z2"),
+    )
+    root = 1 / F.sqrt(n)
+    a = sums.withColumn("a1", F.when(n > 3, F.col("z1") / F.sqrt("zz") + polynomial(root, WEIGHT_OUTER)).otherwise(F.sqrt(F.lit(0.5))))
+    a = a.withColumn("a2", F.when(n > 5, F.col("z2") / F.sqrt("zz") + polynomial(root, WEIGHT_NEXT)).otherwise(F.lit(0.0)))
+    left = F.when(n > 5, F.col("zz") - 2 * F.col("z1") * F.col("z1") - 2 * F.col("z2") * F.col("z2")).otherwise(F.col("zz") - 2 * F.col("z1") * F.col("z1"))
+    share = 1 - 2 * F.col("a1") * F.col("a1") - 2 * F.col("a2") * F.col("a2")
+    top = F.col("a1") * F.col("d1") + F.col("a2") * F.col("d2") + F.when(n > 3, F.coalesce("zx", F.lit(0.0)) / F.sqrt(left / share)).otherwise(F.lit(0.0))
+    w = F.when(F.col("v") > 0, F.least(F.lit(1.0), top * top / (n * F.col("v")))).otherwise(F.lit(1.0))
+    found = a.withColumn("w", w).withColumn("y", F.log(F.greatest(1 - F.col("w"), F.lit(1e-300))))
+    bound, log_n = polynomial(n, FEW_BOUND), F.log(n)
+    few_z = (-F.log(F.greatest(bound - F.col("y"), F.lit(1e-300))) - polynomial(n, FEW_MEAN)) / F.exp(polynomial(n, FEW_DEVIATION))
+    many_z = (F.col("y") - polynomial(log_n, MANY_MEAN)) / F.exp(polynomial(log_n, MANY_DEVIATION))
+    three = F.greatest(F.lit(0.0), 6 / math.pi * (F.asin(F.sqrt("w")) - F.asin(F.sqrt(F.lit(0.75)))))
+    found = found.withColumn("tail", normal_tail(F.when(n <= 11, few_z).otherwise(many_z)))
+    p = F.when(F.col("v") <= 0, 1.0).when(n == 3, three).when((n <= 11) & (F.col("y") >= bound), 0.0).otherwise(F.col("tail"))
+    return found.select("column", F.col("size").cast("long").alias("n"), "w", p.alias("p_value"))
+
+
+def normality_test(df: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFrame:
+    """(column, n, test, statistic, p_value, is_normal): shapiro_wilk below FEW_VALUES known values, from there on the test of skewness and
+    kurtosis; with fewer than three values no test, and not normal."""
+    few = shapiro_wilk(df, columns).select("column", F.col("w").alias("statistic"), "p_value", F.lit("shapiro_wilk").alias("test"))
+    many = normality(df, columns).where(F.col("n") >= FEW_VALUES).select("column", F.col("k2").alias("statistic"), "p_value", F.lit("skewness_kurtosis").alias("test"))
+    sizes = normality(df, columns).select("column", "n")
+    out = sizes.join(F.broadcast(few.union(many)), "column", "left")  # a row a column
+    return out.select("column", "n", "test", "statistic", "p_value", F.coalesce(F.col("p_value") > alpha, F.lit(False)).alias("is_normal"))
+
+
 def f_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """(column, f) of univariate regression on the target."""
     rows = []

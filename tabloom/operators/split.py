@@ -5,6 +5,7 @@ digest and row numbers within those, so no window holds a whole table."""
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,16 +91,37 @@ def stratified_folds(df: DataFrame, key: str, target: str, k: int) -> DataFrame:
     return position(df, key, [target]).withColumn("fold", ((F.col("pos") - 1) % k).cast("int")).drop("pos", "n")
 
 
+def deal(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, list[int]]]:
+    """(size, how many of its groups go to folds 0, 0..1, ..., 0..k-1) of (size, number of groups), largest first, when each group in
+    turn goes to the fold with the fewest rows, the first of equal ones. Groups of a size fill the folds up to a level, which
+    is searched for; so the work depends on the number of sizes, not of groups."""
+    rows, out = [0] * k, []
+    for size, m in sizes:
+        # A fold takes its next group at its rows then; groups go in the order of (rows, fold). Count those that go below a level.
+        below = lambda level: [max(0, -(-(level - r) // size)) for r in rows]  # noqa: B023, E731
+        low, high = min(rows), max(rows) + size * m + 1
+        while low < high - 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if sum(below(middle)) <= m else (low, middle)
+        taken = below(low)
+        left = m - sum(taken)
+        for f in [f for f in range(k) if rows[f] + taken[f] * size == low][:left]:
+            taken[f] += 1
+        rows = [r + t * size for r, t in zip(rows, taken, strict=True)]
+        out.append((size, list(accumulate(taken))))
+    return out
+
+
 def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
-    """Groups dealt in the order of their size, there and back (0..k-1, k-1..0), which balances rows."""
-    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
-    # Rank by size: groups of one size are counted, and numbered within it.
-    per = sizes.groupBy("_n").agg(F.count("*").alias("_m"))
-    before = per.select("_n", F.coalesce(F.sum("_m").over(Window.orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = sizes.join(before, "_n").withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_n").orderBy(F.md5(F.col("_g").cast("string")), "_g")) - 1)
-    turn = F.col("_r") % (2 * k)
-    folds = ranked.select("_g", F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
-    return df.join(folds, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    """Whole groups, each in turn, the largest first, to the fold with the fewest rows. Only the histogram of group sizes, with
+    fewer entries than the root of twice the rows, is looked at in order; which groups of a size go to which fold says
+    their shuffled order, by buckets. A null group is a group."""
+    sizes = df.groupBy(F.col(f"`{group}`").alias("_g")).agg(F.count("*").alias("_rows"))
+    histogram = [(r._rows, r.m) for r in sizes.groupBy("_rows").agg(F.count("*").alias("m")).orderBy(F.desc("_rows")).toLocalIterator()]
+    upto = df.sparkSession.createDataFrame([(size, *bounds) for size, bounds in deal(histogram, k)], "_size long, " + ", ".join(f"_u{f} long" for f in range(k)))
+    placed = position(sizes, "_g", ["_rows"]).join(upto, F.col("_rows") == F.col("_size"))
+    fold = sum(((F.col("pos") > F.col(f"_u{f}")).cast("int") for f in range(k - 1)), F.lit(0))
+    return df.join(placed.select("_g", fold.alias("fold")), F.col(f"`{group}`").eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def time_folds(df: DataFrame, time: str, key: str, k: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.functions import tails
 from tabloom.operators import associate, boost, diagnose, metrics, model, pipeline, prepare, smote, split, tracking
 from tabloom.streaming.profile import windowed_profile
 
@@ -222,7 +223,7 @@ KS_P = """WITH c AS (SELECT l_extendedprice AS v, count(*) FILTER (l_linenumber
 
 @query(KS_P, "d p_value")
 def shift_test(t):
-    return associate.shift(t("lineitem").withColumn("first", F.col("l_linenumber") < 3), "l_extendedprice", "first")
+    return associate.shift(t("lineitem").withColumn("first", F.col("l_linenumber") < 3), "l_extendedprice", "first", exact=False)
 
 
 K2 = """WITH a AS (SELECT count(o_totalprice)::DOUBLE AS n, avg(o_totalprice) AS mu, var_pop(o_totalprice) AS v FROM orders),
@@ -279,10 +280,18 @@ def folds_stratified(t):
     return split.stratified_folds(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", 5).drop("o_orderstatus")
 
 
-@query("""WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT o_custkey, (row_number() OVER (ORDER BY n DESC, md5(CAST(o_custkey AS VARCHAR)), o_custkey) - 1) % 10 AS turn FROM s)
-    SELECT o_orderkey, CAST(CASE WHEN turn < 5 THEN turn ELSE 9 - turn END AS INTEGER) AS fold FROM orders JOIN r USING (o_custkey)""")
+# One customer after the other, largest first, to the fold with the fewest rows.
+GREEDY = """WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY n DESC) AS i, n FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)),
+    g AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS rows, [0, 0, 0, 0, 0]::BIGINT[] AS groups UNION ALL
+        SELECT s.i, list_transform(rows, lambda x, k: x + CASE WHEN k = list_position(rows, list_min(rows)) THEN s.n ELSE 0 END), list_transform(groups, lambda x, k: x + CASE WHEN k = list_position(rows, list_min(rows)) THEN 1 ELSE 0 END) FROM g JOIN s ON s.i = g.i + 1),
+    l AS (SELECT rows, groups FROM g ORDER BY i DESC LIMIT 1)
+    SELECT CAST(unnest(range(5)) AS INTEGER) AS fold, unnest(rows) AS n_rows, unnest(groups) AS n_groups FROM l"""
+
+
+@query(GREEDY)
 def folds_group(t):
-    return split.group_folds(t("orders").select("o_orderkey", "o_custkey"), "o_custkey", 5).drop("o_custkey")
+    folds = split.group_folds(t("orders").select("o_orderkey", "o_custkey"), "o_custkey", 5)
+    return folds.groupBy("fold", "o_custkey").count().groupBy("fold").agg(F.sum("count").alias("n_rows"), F.count("*").alias("n_groups"))
 
 
 @query("""WITH p AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS pos, count(*) OVER () AS n FROM events)
@@ -597,3 +606,36 @@ def derive_expressions(t):
     defs = {"d": "l_quantity / (l_linenumber - 3)", "m": "-7 % (l_linenumber - 3)", "p": "-2 ** (l_linenumber % 3) ** 2 + 1", "c": "0.02 <= l_tax < l_discount | l_quantity == 1"}
     rows = prepare.derive(t("lineitem"), [{"name": k, "expression_type": "row_wise", "definition": {"kind": "arithmetic", "expression": v}} for k, v in defs.items()])
     return rows.select("l_orderkey", "l_linenumber", "d", F.col("m").cast("double"), "p", "c")
+
+
+def _poly(x, coefficients):
+    return " + ".join(f"{c!r}::DOUBLE * pow({x}, {k})" for k, c in enumerate(coefficients))
+
+
+def _ratio(x, pair):
+    return f"(({_poly(x, pair[0])}) / ({_poly(x, pair[1])}))"
+
+
+SHAPIRO = f"""WITH r AS (SELECT c_acctbal AS x, row_number() OVER (ORDER BY c_acctbal) AS i, count(*) OVER () AS n FROM customer WHERE c_acctbal IS NOT NULL), p AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM r),
+    q AS (SELECT *, p - 0.5 AS q, sqrt(-ln(least(p, 1 - p))) AS t FROM p), z AS (SELECT *, CASE WHEN abs(q) <= 0.425 THEN q * {_ratio("(0.180625 - q * q)", tails.QUANTILE_MIDDLE)} WHEN t <= 5 THEN sign(q) * {_ratio("(t - 1.6)", tails.QUANTILE_NEAR)} ELSE sign(q) * {_ratio("(t - 5)", tails.QUANTILE_FAR)} END AS z FROM q),
+    s AS (SELECT n, sum(z * z) AS zz, sum(z * x) FILTER (i BETWEEN 3 AND n - 2) AS zx, var_pop(x) AS v, max(x) FILTER (i = n) - max(x) FILTER (i = 1) AS d1, max(x) FILTER (i = n - 1) - max(x) FILTER (i = 2) AS d2, max(z) FILTER (i = n) AS z1, max(z) FILTER (i = n - 1) AS z2 FROM z GROUP BY n),
+    a AS (SELECT *, z1 / sqrt(zz) + {_poly("(1 / sqrt(n))", tails.WEIGHT_OUTER)} AS a1, z2 / sqrt(zz) + {_poly("(1 / sqrt(n))", tails.WEIGHT_NEXT)} AS a2 FROM s)
+    SELECT 'c_acctbal' AS "column", n, pow(a1 * d1 + a2 * d2 + zx / sqrt((zz - 2 * z1 * z1 - 2 * z2 * z2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)), 2) / (n * v) AS w FROM a WHERE n < 5000"""
+
+
+@query(SHAPIRO, "w")
+def normality_few(t):
+    return associate.shapiro_wilk(t("customer"), ["c_acctbal"]).select("column", "n", "w")
+
+
+# Lattice paths from (0, 0) to (n1, n2), a diagonal at a time, that stay closer than d.
+EXACT_KS = """WITH RECURSIVE c AS (SELECT s_acctbal AS v, count(*) FILTER (s_nationkey < 12)::DOUBLE AS a, count(*) FILTER (s_nationkey >= 12)::DOUBLE AS b FROM supplier GROUP BY 1),
+    s AS (SELECT sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER () AS n1, sum(b) OVER () AS n2 FROM c WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)), x AS (SELECT max(n1) AS n1, max(n2) AS n2, max(abs(ca / n1 - cb / n2)) AS d FROM s),
+    p AS (SELECT 0 AS i, 0 AS j, 1.0::DOUBLE AS paths UNION ALL
+        SELECT i, j, sum(paths) AS paths FROM (SELECT i + 1 AS i, j, paths FROM p UNION ALL SELECT i, j + 1, paths FROM p), x WHERE i <= n1 AND j <= n2 AND abs(i * n2 - j * n1) < round(d * n1 * n2) GROUP BY i, j)
+    SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, d, 1 - coalesce((SELECT max(paths) FROM p, x WHERE i = n1 AND j = n2), 0) * exp(lgamma(n1 + 1) + lgamma(n2 + 1) - lgamma(n1 + n2 + 1)) AS p_value FROM x"""
+
+
+@query(EXACT_KS, "d p_value")
+def shift_exact(t):
+    return associate.shift(t("supplier").withColumn("first", F.col("s_nationkey") < 12), "s_acctbal", "first").drop("shifted")
