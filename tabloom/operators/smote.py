@@ -1,27 +1,27 @@
 """Made rows for the smaller classes, each between a row and one of the nearest rows of its class.
 
 Neighbours are looked for along PROJECTIONS random directions: the rows of a class are put in order along each, and each
-row is measured against the SIDE rows before and after it. So the work grows with the rows, not with their square. In a
+row is measured against the SIDE rows before and after it, wherever the order is cut for the tasks. So the work grows with the rows, not with their square. In a
 class of SIDE + 1 rows or fewer every row meets every other, and the nearest are exact; in larger classes they are the
 nearest of those met."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.columns import shuffle_key
+from tabloom.operators.ranges import running, with_range
 from tabloom.operators.split import SEED, position
 
 NEAREST = 5
 PROJECTIONS, SIDE = 4, 64
-#: Rows that a task puts in order, and that it measures at once.
+#: Rows of a stretch of the order, and rows that are measured at once.
 TASK_ROWS, ROWS = 20_000, 8_000
 
 
@@ -64,16 +64,24 @@ def _neighbours(k: int):
     return run
 
 
-def nearest(rows: DataFrame, features: list[str], k: int = NEAREST, total: int | None = None) -> DataFrame:
+def nearest(rows: DataFrame, features: list[str], k: int = NEAREST) -> DataFrame:
     """(class, pos, others): of each row (class, pos, features), pos being unique in a class, the pos of its k nearest of
     its class, nearest first, ties to the smaller pos. Features are known and finite numbers."""
-    total = rows.count() if total is None else total
     x = F.array(*(F.col(f"`{c}`").cast("double") for c in features))
     along = [sum((F.col("x")[i] * float(w) for i, w in enumerate(d)), F.lit(0.0)) for d in directions(len(features))]
     placed = rows.select("class", "pos", x.alias("x")).select("class", "pos", "x", F.posexplode(F.array(*along)).alias("direction", "at"))
-    tasks = max(1, math.ceil(total * len(along) / TASK_ROWS))
-    order = ["direction", "class", "at", "pos"]
-    sorted_ = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select(F.concat_ws("|", "direction", "class").alias("group"), "class", "pos", "x")
+    # The place of each row in the order of its direction and class, by ranges of the projection; equal ones by pos, in buckets.
+    placed = with_range(placed, "at", "_b").withColumn("_pb", F.floor(F.col("pos") / TASK_ROWS))
+    cells = placed.groupBy("direction", "class", "_b", "at", "_pb").agg(F.count("*").alias("n"))
+    before = running(cells, ["at", "_pb"], ["n"], ["direction", "class"]).select("direction", "class", "at", "_pb", (F.col("upto_n") - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("direction", "class", "at", "_pb").orderBy("pos"))
+    ordered = placed.withColumn("inside", inside).join(before, ["direction", "class", "at", "_pb"]).withColumn("place", F.col("before") + F.col("inside") - 1)
+    # Stretches of TASK_ROWS places, each with the SIDE places before and behind it, so every row meets the same rows in any of them.
+    stretch, within = F.floor(F.col("place") / TASK_ROWS), F.col("place") % TASK_ROWS
+    each = F.array(stretch, F.when((within < SIDE) & (stretch > 0), stretch - 1), F.when(within >= TASK_ROWS - SIDE, stretch + 1))
+    dealt = ordered.withColumn("stretch", F.explode(F.array_compact(each)))
+    key = ["direction", "class", "stretch"]
+    sorted_ = dealt.repartition(*key).sortWithinPartitions(*key, "place").select(F.concat_ws("|", *key).alias("group"), "class", "pos", "x")
     kind = T.StructType([rows.schema["class"], T.StructField("pos", T.LongType()), T.StructField("other", T.LongType()), T.StructField("apart", T.DoubleType())])
     found = sorted_.mapInArrow(_neighbours(k), kind).groupBy("class", "pos").agg(F.array_sort(F.collect_set(F.struct("apart", "other"))).alias("met"))
     return found.select("class", "pos", F.slice(F.col("met.other"), 1, k).alias("others"))
@@ -101,7 +109,7 @@ def smote(df: DataFrame, y: str, key: str, features: list[str], k: int = NEAREST
     taken = known.select(F.col(f"`{y}`").alias("class"), F.col(f"`{key}`").alias("key"), *(value(c).alias(f"_{i}") for i, c in enumerate(features)))
     names = [f"_{i}" for i in range(len(features))]
     rows = position(taken, "key", ["class"]).where(F.col("n") < facts[1]).select("class", F.col("pos").cast("long").alias("pos"), "n", "key", *names)
-    near = nearest(rows, names, k, facts[2])
+    near = nearest(rows, names, k)
     more = F.lit(facts[1]) - F.col("n")
     copies = (F.floor(more / F.col("n")) + (F.col("pos") <= more % F.col("n")).cast("long")).cast("long")
     bases = rows.join(near, ["class", "pos"]).where(copies > 0).select("*", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("turn"))

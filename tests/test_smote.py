@@ -88,3 +88,22 @@ def test_folds_take_made_rows(rows):
     assert {r.y: r["count"] for r in train.groupBy("y").count().collect()} == {0: 150, 1: 150}
     scores = model.cross_validate(data, ["a", "b"], "y", "linear", "classification", imbalance="oversample_smote", key="id")
     assert scores.where("metric = 'accuracy'").count() == 2
+
+
+@pytest.mark.parametrize(("classes", "each", "stretch"), [(800, 50, 20_000), (3, 900, 200)])
+def test_whatever_the_partitions(spark, monkeypatch, classes, each, stretch):
+    monkeypatch.setattr(smote, "TASK_ROWS", stretch)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(classes, each)), 2)  # with ties
+    table = spark.createDataFrame([(c, p, float(x[c, p])) for c in range(classes) for p in range(each)], "class int, pos long, a double")
+    found = [{(r["class"], r.pos): r.others for r in smote.nearest(table.repartition(n), ["a"]).collect()} for n in (1, 3, 16)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == classes * each
+    for c in range(0, classes, max(1, classes // 20)):
+        apart = (x[c][:, None] - x[c][None]) ** 2
+        np.fill_diagonal(apart, np.inf)
+        for p in range(each):
+            others = found[0][c, p]
+            # One feature: the nearest lie around a row, so they are exact at any size, up to which of equal ones.
+            assert np.allclose(np.sort(apart[p])[:5], apart[p, others]), (c, p)
+            if each <= smote.SIDE + 1:
+                assert others == sorted(range(each), key=lambda j: (apart[p, j], j))[:5]
