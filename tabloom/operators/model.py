@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, PipelineModel
@@ -23,7 +24,7 @@ from tabloom.operators.diagnose import numeric
 from tabloom.operators.pipeline import FEATURES, Fitted, Spec, fit_spec, kept_number
 from tabloom.operators.smote import smote
 from tabloom.operators.split import position, time_position
-from tabloom.sources.tables import handle, load, save, store_dir
+from tabloom.sources.tables import handle, store_dir
 
 #: Folds that are fitted at a time.
 FOLDS_AT_ONCE = 4
@@ -174,28 +175,61 @@ def load_model(spark: SparkSession, name: str) -> PipelineModel:
     return PipelineModel.load(f"{store_dir(spark)}/models/{name}")
 
 
+def _claim(spark: SparkSession, path: str, holder: str) -> str:
+    """Who holds the file: `holder`, if nobody made it before. Making a file that must not exist is one step of the file system, so of
+    any number of callers one wins; the others wait until its name is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    at = fs.makeQualified(at)
+    fs.mkdirs(at.getParent())
+    if at.toUri().getScheme() == "file":
+        # The local file system looks and makes in two steps through the first interface.
+        won = spark._jvm.java.io.File(at.toUri().getPath()).createNewFile()
+        stream = fs.create(at, True) if won else None
+    else:
+        try:
+            stream = fs.create(at, False)
+        except Exception as e:
+            if not fs.exists(at):
+                raise e
+            stream = None
+    if stream is not None:
+        stream.write(bytearray(holder.encode()))
+        stream.close()
+        return holder
+    for _ in range(100):
+        if size := fs.getFileStatus(at).getLen():
+            source = fs.open(at)
+            try:
+                return bytes(source.readNBytes(size)).decode()
+            finally:
+                source.close()
+        time.sleep(0.1)
+    return "a caller that did not leave its name"
+
+
 def final_test(spark: SparkSession, split: str, model: str, test: DataFrame, target: str, task: str) -> dict[str, float]:
-    """Scores on the test part. The first model to be tested on a split is the only one that ever may be."""
-    try:
-        used = load(spark, "tested", split).first().model_id
-    except Exception as e:  # no such table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        used = None
-    if used not in (None, model):
+    """Scores on the test part. The first model to be tested on a split is the only one that ever may be: it is marked before the
+    test part is looked at, so of models that are tested at the same time only one is."""
+    used = _claim(spark, f"{store_dir(spark)}/tested/{split}.holder", model)
+    if used != model:
         raise RuntimeError(f"split {split} was tested with {used}: another model violates the one-shot test rule")
     out = score(load_model(spark, model).transform(test), target, task)
-    if used is None:
-        save(spark.createDataFrame([(model, json.dumps(out))], "model_id string, scores string"), "tested", split)
+    _claim(spark, f"{store_dir(spark)}/tested/{split}.scores", json.dumps(out))
     return out
 
 
 def calibrate(predicted: DataFrame, target: str, method: str = "platt"):
-    """A fitted map from the column `score` to a probability, on rows held out by the caller."""
+    """A fitted map from the column `score` to a probability, on rows held out by the caller. isotonic: equal scores are one
+    weighted row with their mean label first, so what is pooled grows with distinct scores; rows without score or label don't count."""
+    if method not in ("platt", "isotonic"):
+        raise ValueError(f"unknown method: {method}")
+    known = predicted.where(F.col("score").isNotNull() & F.col(f"`{target}`").isNotNull())
     if method == "isotonic":
-        return IsotonicRegression(labelCol=target, featuresCol="score", predictionCol="calibrated").fit(predicted)
+        counts = known.groupBy(F.col("score").cast("double").alias("score")).agg(F.avg(F.col(f"`{target}`").cast("double")).alias("_y"), F.count("*").cast("double").alias("_w"))
+        return IsotonicRegression(labelCol="_y", featuresCol="score", weightCol="_w", predictionCol="calibrated").fit(counts)
     data = VectorAssembler(inputCols=["score"], outputCol="_score")
-    return Pipeline(stages=[data, LogisticRegression(labelCol=target, featuresCol="_score", predictionCol="_label", rawPredictionCol="_raw", probabilityCol="calibrated")]).fit(predicted)
+    return Pipeline(stages=[data, LogisticRegression(labelCol=target, featuresCol="_score", predictionCol="_label", rawPredictionCol="_raw", probabilityCol="calibrated")]).fit(known)
 
 
 def permute(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:

@@ -639,3 +639,35 @@ EXACT_KS = """WITH RECURSIVE c AS (SELECT s_acctbal AS v, count(*) FILTER (s_nat
 @query(EXACT_KS, "d p_value")
 def shift_exact(t):
     return associate.shift(t("supplier").withColumn("first", F.col("s_nationkey") < 12), "s_acctbal", "first").drop("shifted")
+
+
+@query("SELECT metric, avg(value) AS mean, stddev_pop(value) AS std FROM (" + CV.format(fold="o_orderkey % 3", first=0, last=3, train="d.fold <> k.fold", train2="d.fold <> m.fold", train3="d.fold <> s.fold") + ") GROUP BY 1", "mean std")
+def cv_summary(t):
+    return metrics.fold_summary(model.cross_validate(_cv_rows(t, F.col("o_orderkey") % 3), RIDGE, "y", "linear", "regression"))
+
+
+@query("""WITH s AS (SELECT (o_custkey % 101) / 100.0::DOUBLE AS s, (o_orderkey % 3 = 0)::INT AS y FROM orders), h AS (SELECT k, k / 100.0::DOUBLE AS t, sum(y) FILTER (s >= k / 100.0::DOUBLE - 1e-12) AS tp, count(*) FILTER (s >= k / 100.0::DOUBLE - 1e-12) AS called, sum(y) AS all_ FROM s, range(1, 100) r(k) GROUP BY k)
+    SELECT arg_max(t, (2.0::DOUBLE * tp / (called + all_), -k)) AS threshold FROM h""", "threshold")
+def best_threshold_orders(t):
+    rows = t("orders").select(((F.col("o_custkey") % 101) / 100.0).alias("s"), (F.col("o_orderkey") % 3 == 0).cast("int").alias("y"))
+    return metrics.thresholds(rows, "y", "s").agg(F.max_by("threshold", F.struct(F.col("f1"), -F.col("threshold"))).alias("threshold"))
+
+
+@query("SELECT o_orderstatus AS class, count(*) AS n, sum(count(*)) OVER () / (count(*) OVER () * count(*))::DOUBLE AS weight FROM orders GROUP BY 1", "weight")
+def class_weights_orders(t):
+    counts = t("orders").groupBy(F.col("o_orderstatus").alias("class")).agg(F.count("*").alias("n"))
+    return counts.join(metrics.class_weights(t("orders"), "o_orderstatus"), "class")
+
+
+# Pool of adjacent violators as the slope of the greatest convex minorant: the largest mean up to here of the least means from here on.
+ISOTONIC = """WITH c AS (SELECT (o_custkey % 37)::DOUBLE AS score, sum((o_orderstatus = 'F')::INT)::DOUBLE AS y, count(*)::DOUBLE AS w FROM orders GROUP BY 1),
+    b AS (SELECT *, sum(y) OVER (ORDER BY score) AS sy, sum(w) OVER (ORDER BY score) AS sw FROM c),
+    m AS (SELECT a.score AS low, z.score AS high, (z.sy - a.sy + a.y) / (z.sw - a.sw + a.w) AS mean FROM b a JOIN b z ON a.score <= z.score),
+    k AS (SELECT c.score, m.low, min(m.mean) AS least FROM c JOIN m ON m.low <= c.score AND m.high >= c.score GROUP BY 1, 2)
+    SELECT score, max(least) AS calibrated FROM k GROUP BY 1"""
+
+
+@query(ISOTONIC, "calibrated")
+def calibrated_isotonic(t):
+    rows = t("orders").select((F.col("o_custkey") % 37).cast("double").alias("score"), (F.col("o_orderstatus") == "F").cast("double").alias("y"))
+    return model.calibrate(rows, "y", "isotonic").transform(rows.select("score").distinct())
