@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions import tails
-from tabloom.operators import associate, boost, diagnose, metrics, model, pipeline, prepare, smote, split, tracking
+from tabloom.operators import associate, boost, diagnose, metrics, model, neighbours, pipeline, prepare, smote, split, tracking
 from tabloom.streaming.profile import windowed_profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -671,3 +671,8 @@ ISOTONIC = """WITH c AS (SELECT (o_custkey % 37)::DOUBLE AS score, sum((o_orders
 def calibrated_isotonic(t):
     rows = t("orders").select((F.col("o_custkey") % 37).cast("double").alias("score"), (F.col("o_orderstatus") == "F").cast("double").alias("y"))
     return model.calibrate(rows, "y", "isotonic").transform(rows.select("score").distinct())
+
+
+@query()
+def mutual_info_neighbours(t):
+    return neighbours.of_category(t("orders"), "o_totalprice", "o_orderpriority").select("n", F.round("mi", 9).alias("mi"))
