@@ -676,3 +676,8 @@ def calibrated_isotonic(t):
 @query()
 def mutual_info_neighbours(t):
     return neighbours.of_category(t("orders"), "o_totalprice", "o_orderpriority").select("n", F.round("mi", 9).alias("mi"))
+
+
+@query()
+def mutual_info_numbers(t):
+    return neighbours.of_numbers(t("part"), "p_retailprice", "p_size").select("n", F.round("mi", 9).alias("mi"))

@@ -17,6 +17,16 @@ def near(r, apart):
     return (apart < r) | ((r == 0) & (apart == 0))
 
 
+def numbers(x, y, k):
+    x, y = (v / (float(f"{v.std():.10g}") or 1.0) for v in (x, y))
+    n, out = len(x), []
+    for i in range(n):
+        dx, dy = np.abs(x - x[i]), np.abs(y - y[i])
+        r = np.sort(np.delete(np.maximum(dx, dy), i))[k - 1]
+        out.append(digamma(int(near(r, dx).sum())) + digamma(int(near(r, dy).sum())))
+    return max(0.0, digamma(n) + digamma(k) - np.mean(out))
+
+
 def category(x, g, k):
     keep = np.array([(g == v).sum() > 1 for v in g])
     every, x, g, out = x, x[keep], g[keep], []
@@ -57,3 +67,14 @@ def test_few_rows(spark):
     df = spark.createDataFrame([(1.0, "a"), (1.0, "a"), (2.0, "b")], "x double, g string")
     assert neighbours.of_category(df, "x", "g").first().n == 2
     assert tuple(neighbours.of_category(df.limit(0), "x", "g").first()) == (0, 0.0)
+
+
+@pytest.mark.parametrize(("parts", "stretch"), [(1, 2_048), (5, 100)])
+def test_two_numbers_against_brute_force(spark, monkeypatch, parts, stretch):
+    monkeypatch.setattr(neighbours, "STRETCH", stretch)
+    x, y, _ = sample(600, 1)
+    rows = [(float(a), float(b)) for a, b in zip(x, y, strict=True)]
+    df = spark.createDataFrame([*rows, (None, 1.0), (math.nan, 2.0)], "x double, y double").repartition(parts)
+    got = neighbours.of_numbers(df, "x", "y").first()
+    assert got.n == 600 and got.mi == pytest.approx(numbers(x, y, 3), abs=1e-9)
+    assert tuple(neighbours.of_numbers(df.limit(3), "x", "y").first()) == (3, 0.0)
