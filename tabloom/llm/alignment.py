@@ -28,14 +28,16 @@ from tabloom.llm.bytekit import ranges
 from tabloom.llm.common import discard, written
 
 #: UTF-8 text of a batch, more only where a single document is longer.
-BATCH_BYTES = 64_000_000
+BATCH_BYTES = 14_000_000
 #: Text that is tokenised at once.
-CHUNK_BYTES = 400_000
+CHUNK_BYTES = 100_000
 SPACE = "▁"
 #: What a segment is tokenised behind, so that nothing is added to it or taken from it.
 LEAD = "x"
-#: Counts of A tokens, B tokens, groups and links, before the links and the groups of a segment.
-HEAD = struct.Struct("<4I")
+#: Numbers of A and B tokens of a segment. Their ids follow, then for each A token twice the number of its links, and one more
+#: where it ends a group: a segment's alignment, as its next A token begins at the B token where the last one ended or, behind
+#: the end of a group, at the one after that.
+HEAD = struct.Struct("<2I")
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -82,7 +84,7 @@ class Pair:
         return b"".join([self.b_bytes[k] for k in ids])
 
     def payloads(self, segments: list[str]) -> list[bytes]:
-        """HEAD, links (pairs of ids) and groups of each segment; nothing for one whose tokens don't spell it."""
+        """HEAD, ids and codes of each segment; nothing for one whose tokens don't spell it."""
         out: list[bytes] = []
         at = 0
         while at < len(segments):
@@ -113,31 +115,28 @@ class Pair:
             return self._chunk(segments[:half]) + self._chunk(segments[half:])
         a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        cuts = np.intersect1d(a_end, b_end, assume_unique=True)
-        a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
+        ends_group = np.isin(a_end, np.intersect1d(a_end, b_end, assume_unique=True))
         # Links: the B tokens from the one that holds an A token's first byte to the one that holds its last.
-        first, last = np.searchsorted(b_end, a_end - self.a_size[a], "right"), np.searchsorted(b_end, a_end)
-        links = np.stack([np.repeat(a, last - first + 1), b[ranges(first, last - first + 1)]], 1).astype(self.dtype)
-        link_end = np.cumsum(last - first + 1)
-        # The words of a group: its A ids, then its B ids.
-        a_upto, b_upto = np.searchsorted(a_end, cuts, "right"), np.searchsorted(b_end, cuts, "right")
-        words = np.empty(len(a) + len(b), np.int64)
-        words[np.arange(len(a)) + np.concatenate([[0], b_upto])[a_group]] = 2 * a + np.isin(np.arange(1, len(a) + 1), a_upto)
-        words[np.arange(len(b)) + a_upto[b_group]] = 2 * (len(self.a_bytes) + b) + np.isin(np.arange(1, len(b) + 1), b_upto)
-        texts = [self.word[k] for k in words.tolist()]
-
+        links = np.searchsorted(b_end, a_end) - np.searchsorted(b_end, a_end - self.a_size[a], "right") + 1
+        codes = (2 * links + ends_group).astype(self.dtype)
         ends = np.cumsum([len(s.encode()) for s in segments])
-        a_at = np.concatenate([[0], np.searchsorted(a_end, ends, "right")])
-        b_at = np.concatenate([[0], np.searchsorted(b_end, ends, "right")])
-        group_at = np.concatenate([[0], np.searchsorted(cuts, ends, "right")])
-        link_at = np.concatenate([[0], link_end[a_at[1:] - 1]])
-        flat, width = links.tobytes(), 2 * self.dtype.itemsize
-        counts = zip(*(np.diff(x).tolist() for x in (a_at, b_at, group_at, link_at)), strict=True)
-        a_at, b_at, link_at = a_at.tolist(), b_at.tolist(), link_at.tolist()
-        return [
-            HEAD.pack(*n) + flat[link_at[k] * width : link_at[k + 1] * width] + "".join(texts[a_at[k] + b_at[k] : a_at[k + 1] + b_at[k + 1]])[:-1].encode()
-            for k, n in enumerate(counts)
-        ]
+        a_at = np.concatenate([[0], np.searchsorted(a_end, ends, "right")]).tolist()
+        b_at = np.concatenate([[0], np.searchsorted(b_end, ends, "right")]).tolist()
+        a, b = a.astype(self.dtype), b.astype(self.dtype)
+        out = []
+        for a0, a1, b0, b1 in zip(a_at, a_at[1:], b_at, b_at[1:], strict=False):
+            out.append(HEAD.pack(a1 - a0, b1 - b0) + a[a0:a1].tobytes() + b[b0:b1].tobytes() + codes[a0:a1].tobytes())
+        return out
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, all first bytes, then all second ones and so on: the high ones of small numbers are zeros in a row,
+    which shuffles and files compress."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _byte_level() -> dict[int, int]:
@@ -197,7 +196,7 @@ def _segments(docs: DataFrame, text: str, blocked: str) -> DataFrame:
                         numbers.append(b"")
                         continue
                     size += len(value)
-                    numbers.append(np.array([number.setdefault(s, len(number)) for s in cut(value)], "<u4").tobytes())
+                    numbers.append(_packed(np.array([number.setdefault(s, len(number)) for s in cut(value)])))
                 n = some.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([batch] * n, pa.int64()), some.column("kept"), pa.array(numbers, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=schema.names)
         if number:
@@ -228,19 +227,44 @@ def _aligned(segments: DataFrame, held) -> DataFrame:
 class _Answers:
     """Alignments of a batch's segments by number."""
 
-    def __init__(self, numbers: list[np.ndarray], payloads: list[bytes], dtype: np.dtype) -> None:
+    def __init__(self, numbers: list[np.ndarray], payloads: list[bytes], pair: Pair) -> None:
         order = np.argsort(np.concatenate(numbers)) if numbers else np.zeros(0, np.int64)
         made = [payloads[k] for k in order.tolist()]
         self.fine = np.array([bool(p) for p in made], bool)
         made = [p or bytes(HEAD.size) for p in made]
-        data = np.frombuffer(b"".join(made), np.uint8)
+        data, width = np.frombuffer(b"".join(made), np.uint8), pair.dtype.itemsize
         start = np.cumsum([0, *(len(p) for p in made)])[:-1]
-        self.head = data[start[:, None] + np.arange(HEAD.size)].copy().view("<u4").astype(np.int64).reshape(-1, 4)
-        width = 2 * dtype.itemsize
-        flat = data[ranges(start + HEAD.size, self.head[:, 3] * width)].view(dtype).astype(np.int64).reshape(-1, 2)
-        self.pairs, self.pair_of = np.unique(flat[:, 0] << 32 | flat[:, 1], return_inverse=True)
-        self.first = np.cumsum(self.head[:, 3]) - self.head[:, 3]
-        self.groups = [p[HEAD.size + n * width :] for p, n in zip(made, self.head[:, 3].tolist(), strict=True)]
+        del made
+        payloads.clear()
+        n_a, n_b = data[start[:, None] + np.arange(HEAD.size)].copy().view("<u4").astype(np.int64).reshape(-1, 2).T
+        part = lambda at, n: data[ranges(at, n * width)].view(pair.dtype).astype(np.int64)
+        at = start + HEAD.size
+        a, b, code = part(at, n_a), part(at + n_a * width, n_b), part(at + (n_a + n_b) * width, n_a)
+        n, ends_group = code >> 1, code & 1
+        # The first and last B token of each A token; each segment's last A token ends a group, so the next segment goes on rightly.
+        step = n - 1 + ends_group
+        first = np.cumsum(step) - step
+        flat = a.repeat(n) << 32 | b[ranges(first, n)]
+        self.pairs, self.pair_of = np.unique(flat, return_inverse=True)
+        upto = lambda values: np.concatenate([[0], np.cumsum(values)])
+        a_at, b_at, links = upto(n_a), upto(n_b), upto(n)[upto(n_a)]
+        self.first = links[:-1]
+        groups = upto(ends_group)
+        self.head = np.stack([n_a, n_b, np.diff(groups[a_at]), np.diff(links)], 1)
+        # The words of a group: its A ids, then its B ids.
+        a_upto = np.flatnonzero(ends_group) + 1
+        b_upto = (first + n)[a_upto - 1]
+        words = np.empty(len(a) + len(b), np.int64)
+        words[np.arange(len(a)) + np.concatenate([[0], b_upto])[groups[:-1]]] = 2 * a + ends_group
+        last = np.zeros(len(b), np.int64)
+        last[b_upto - 1] = 1
+        words[np.arange(len(b)) + a_upto[upto(last)[:-1]]] = 2 * (len(pair.a_bytes) + b) + last
+        del a, b, code, n, first, step, flat, last, data
+        at, self.groups = a_at + b_at, []
+        for k in range(0, len(at) - 1, 20_000):
+            some = (at[k : k + 20_001] - at[k]).tolist()
+            texts = [pair.word[w] for w in words[at[k] : at[min(k + 20_000, len(at) - 1)]].tolist()]
+            self.groups += ["".join(texts[s:e])[:-1].encode() for s, e in zip(some, some[1:], strict=False)]
         self.documents = np.zeros(len(self.pairs), np.int64)
 
     def document(self, numbers: np.ndarray) -> tuple[list[int], bytes | None, bytes]:
@@ -250,14 +274,16 @@ class _Answers:
         links = self.pair_of[ranges(self.first[numbers], self.head[numbers, 3])]
         pairs, n = np.unique(links, return_counts=True)
         self.documents[pairs] += 1
-        packed = np.diff(pairs, prepend=0).astype("<u4").tobytes() + n.astype("<u4").tobytes()
+        packed = _packed(np.concatenate([np.diff(pairs, prepend=0), n]))
         return self.head[numbers].sum(0).tolist(), b";".join([self.groups[k] for k in numbers.tolist()]), packed
 
 
-def _by_batch(documents: DataFrame, answers: DataFrame) -> DataFrame:
-    """Both, a batch's answers before its documents in one partition."""
+def _by_batch(documents: DataFrame, answers: DataFrame, tasks: int) -> DataFrame:
+    """Both, a batch's answers before its documents in one partition; batches of one task in different ones, as far as there are
+    others."""
     both = documents.withColumn("is_document", F.lit(True)).unionByName(answers.withColumn("is_document", F.lit(False)), allowMissingColumns=True)
-    return both.repartition("batch").sortWithinPartitions("batch", "is_document")
+    place = F.pmod(F.shiftright("batch", 32) + F.col("batch").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(tasks))
+    return both.repartitionById(tasks, place.cast("int")).sortWithinPartitions("batch", "is_document")
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
@@ -269,9 +295,9 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
             yield int(key[s] >> 1), bool(key[s] & 1), batch.slice(s, e - s)
 
 
-def _composed(documents: DataFrame, answers: DataFrame, held, digest: bool) -> DataFrame:
+def _composed(documents: DataFrame, answers: DataFrame, held, digest: bool, tasks: int) -> DataFrame:
     """Documents with counts, groups and pairs, and rows of each batch's pairs: ids, and documents that hold them."""
-    work = _by_batch(documents, answers)
+    work = _by_batch(documents, answers, tasks)
     names = ["batch", "kept", *RESULTS[:4], "groups", "packed", "pair", "a", "b", "documents"]
     long = T.LongType()
     schema = T.StructType([T.StructField("batch", long), work.schema["kept"], *(T.StructField(c, long) for c in RESULTS[:4]), T.StructField("groups", T.StringType()), T.StructField("packed", T.BinaryType()), T.StructField("pair", T.IntegerType()), *(T.StructField(c, long) for c in ("a", "b", "documents"))])
@@ -282,7 +308,6 @@ def _composed(documents: DataFrame, answers: DataFrame, held, digest: bool) -> D
         return pa.RecordBatch.from_arrays([made[c] if c in made else pa.nulls(n, kinds.get(c, pa.int64())) for c in names], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = _pair(*held.value).dtype
         now, numbers, payloads, table, arrow = None, [], [], None, None
 
         def pairs() -> Iterator[pa.RecordBatch]:
@@ -301,10 +326,10 @@ def _composed(documents: DataFrame, answers: DataFrame, held, digest: bool) -> D
                     payloads += some.column("payload").to_pylist()
                     continue
                 if table is None:
-                    table, numbers, payloads = _Answers(numbers, payloads, dtype), [], []
+                    table, numbers, payloads = _Answers(numbers, payloads, _pair(*held.value)), [], []
                 for at in range(0, some.num_rows, 500):
                     part = some.slice(at, 500)
-                    made = [table.document(np.frombuffer(x, "<u4").astype(np.int64)) for x in part.column("numbers").to_pylist()]
+                    made = [table.document(_unpacked(x)) for x in part.column("numbers").to_pylist()]
                     counts = np.array([m[0] for m in made], np.int64)
                     groups = [("" if digest else None) if m[1] is None else hashlib.sha256(m[1]).hexdigest() if digest else m[1].decode() for m in made]
                     columns = {c: pa.array(counts[:, k]) for k, c in enumerate(RESULTS[:4])}
@@ -314,9 +339,9 @@ def _composed(documents: DataFrame, answers: DataFrame, held, digest: bool) -> D
     return work.mapInArrow(run, schema)
 
 
-def _scored(documents: DataFrame, answers: DataFrame) -> DataFrame:
+def _scored(documents: DataFrame, answers: DataFrame, tasks: int) -> DataFrame:
     """Documents with sums over their links of the pairs' counts, and of being an A id's best."""
-    work = _by_batch(documents, answers)
+    work = _by_batch(documents, answers, tasks)
     names = ["kept", *RESULTS, "groups"]
     schema = T.StructType([work.schema["kept"], *(T.StructField(c, T.LongType()) for c in RESULTS), T.StructField("groups", T.StringType())])
 
@@ -336,7 +361,7 @@ def _scored(documents: DataFrame, answers: DataFrame) -> DataFrame:
                     got = []
                 sums = np.zeros((some.num_rows, 2), np.int64)
                 for k, packed in enumerate(some.column("packed").to_pylist()):
-                    halves = np.frombuffer(packed, "<u4").astype(np.int64).reshape(2, -1)
+                    halves = _unpacked(packed).reshape(2, -1)
                     pairs = np.cumsum(halves[0])
                     sums[k] = (best[pairs] * halves[1]).sum(), (count[pairs] * halves[1]).sum()
                 old = [some.column(c) for c in RESULTS[:4]]
@@ -363,8 +388,9 @@ def align(docs: DataFrame, a_json: str, b_model: str, text: str = "text", digest
         held = spark.sparkContext.broadcast((a.read(), b.read()))
     blocked = _pair(*held.value).blocked
     cut = written(_segments(docs, text, blocked), "segments")
+    tasks = ((cut.agg(F.max("batch")).first()[0] or 0) >> 32) + 1
     answers = _aligned(cut.where("segment IS NOT NULL").select("batch", "number", "segment"), held)
-    made = written(_composed(cut.where("numbers IS NOT NULL").select("batch", "kept", "numbers"), answers, held, digest), "aligned")
+    made = written(_composed(cut.where("numbers IS NOT NULL").select("batch", "kept", "numbers"), answers, held, digest, tasks), "aligned")
     discard(cut)
     asked = made.where("pair IS NOT NULL").select("batch", "pair", "a", "b", "documents")
     counts = asked.groupBy("a", "b").agg(F.sum("documents").alias("count"))
@@ -372,7 +398,7 @@ def align(docs: DataFrame, a_json: str, b_model: str, text: str = "text", digest
     judged = counts.join(most, "a").select("a", "b", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
     told = asked.join(judged, ["a", "b"]).select("batch", "pair", "count", "best")
     documents = made.where("pair IS NULL").select("batch", "kept", *RESULTS[:4], "groups", "packed")
-    scored = written(_scored(documents, told), "alignments")
+    scored = written(_scored(documents, told, tasks), "alignments")
     discard(made)
     kept = [f.name for f in scored.schema["kept"].dataType.fields if f.name != "_none"]
     return scored.select(*(F.col("kept").getField(c).alias(c) for c in kept), *RESULTS, "groups")
