@@ -28,7 +28,7 @@ from tabloom.llm.bytekit import ranges
 from tabloom.llm.common import discard, written
 
 #: UTF-8 text of a batch, more only where a single document is longer.
-BATCH_BYTES = 14_000_000
+BATCH_BYTES = 16_000_000
 #: Text that is tokenised at once.
 CHUNK_BYTES = 100_000
 SPACE = "▁"
