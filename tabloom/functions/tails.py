@@ -150,33 +150,24 @@ EXACT_ROWS = 10_000
 
 
 def ks_exact(d: float, n1: int, n2: int) -> float:
-    """P(largest distance of the two samples' distributions >= d) if all orders of n1 and n2 values are alike: one less the share
-    of lattice paths from (0, 0) to (n1, n2) that stay closer to the diagonal. Along a row of the lattice, the paths to
-    a point are the sum of those to the row below up to it, so a row is one running sum; rows are scaled as they grow."""
+    """P(largest distance of the two samples' distributions >= d) if all orders of n1 and n2 values are alike: the share of lattice
+    paths from (0, 0) to (n1, n2) that somewhere come as far from the diagonal. Of the paths to (i, j) the share i / (i + j) comes by
+    (i - 1, j), so the share of those that were outside is a mean of two, a diagonal i + j at a time. Nothing is taken off
+    anything, so small values are as exact as large ones."""
     n1, n2 = max(n1, n2), min(n1, n2)
     most = round(d * n1 * n2)  # distances are whole multiples of 1 / (n1 n2)
     if most <= 0:
         return 1.0
-    at = np.arange(n2 + 1, dtype=np.int64)
-    paths, scale = np.zeros(n2 + 1), 0.0
-    paths[np.abs(at * n1) < most] = 1.0
-    # In the first row there is one way to each point, as long as none before is outside.
-    for i in range(1, n1 + 1):
-        inside = np.abs(i * n2 - at * n1) < most
-        paths = np.where(inside, paths, 0.0)
-        first, last = np.argmax(inside), n2 - np.argmax(inside[::-1])
-        if not inside.any():
-            return 1.0
-        paths[first : last + 1] = np.cumsum(paths[first : last + 1])
-        top = paths.max()
-        if top == 0:
-            return 1.0
-        if top > 1e200:
-            paths, scale = paths / top, scale + math.log(top)
-    total = math.lgamma(n1 + n2 + 1) - math.lgamma(n1 + 1) - math.lgamma(n2 + 1)
-    if paths[-1] <= 0:
-        return 1.0
-    return min(1.0, max(0.0, -math.expm1(math.log(paths[-1]) + scale - total)))
+    j = np.arange(n2 + 1, dtype=np.int64)
+    far = np.zeros(n2 + 1)  # by j, on the diagonal i + j = s
+    for s in range(1, n1 + n2 + 1):
+        # Points with 0 <= i <= n1 and 0 <= j <= n2.
+        low, high = max(0, s - n1), min(n2, s)
+        at = j[low : high + 1]
+        by_i = (s - at) * far[low : high + 1]
+        by_j = at * np.concatenate((far[low - 1 : low] if low else [0.0], far[low:high]))
+        far[low : high + 1] = np.where(np.abs((s - at) * n2 - at * n1) >= most, 1.0, (by_i + by_j) / s)
+    return min(1.0, float(far[n2]))
 
 
 def ks_tail_of(d: float, n1: int, n2: int) -> float:
