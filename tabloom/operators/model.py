@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 import time
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,8 @@ from tabloom.sources.tables import handle, store_dir
 
 #: Folds that are fitted at a time.
 FOLDS_AT_ONCE = 4
+#: Merged rows of a part, about, that boosted trees go over in each round.
+ROUND_ROWS = 20_000
 
 
 def get_model(family: str, task: str, n_classes: int = 2, n: int = 1, spread: float = 1.0, **params: object) -> Estimator:
@@ -64,9 +67,26 @@ def fit_pipe(train: DataFrame, features: list[str] | Spec, target: str, family:
     spec = features if isinstance(features, Spec) else Spec()
     prepared = fit_spec(spec, rows if isinstance(features, Spec) else rows.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in features), F.col(f"`{target}`")), target)
     y = F.col(f"`{target}`")
-    facts = rows.agg(F.count(y).alias("n"), F.stddev_pop(y).alias("s") if task == "regression" else F.lit(1.0).alias("s"), F.count_distinct(y).alias("k")).first()
+    regression = task == "regression"
+    facts = rows.agg(F.count(y).alias("n"), F.stddev_pop(y).alias("s") if regression else F.lit(1.0).alias("s"), F.lit(0).alias("k") if regression else F.count_distinct(y).alias("k")).first()
     model = get_model(family, task, facts.k, facts.n, facts.s or 1.0, **params)._set(labelCol=target, featuresCol=FEATURES)
-    return Pipe(prepared, model.fit(prepared.transform(rows, training=True)), target)
+    return Pipe(prepared, fit_merged(model, prepared.transform(rows, training=True)), target)
+
+
+def fit_merged(model: Estimator, rows: DataFrame) -> Model:
+    """The model fitted on rows. Boosted trees of squared errors go over their rows a thousand times, and see of rows with the
+    same features their mean and number only; so these are made one, weighed by their number: the same trees."""
+    same = isinstance(model, GBTRegressor) and model.getLossType() == "squared" and model.getSubsamplingRate() == 1 and model.getMinInstancesPerNode() == 1
+    if not same or model.isSet("weightCol") or model.isSet("validationIndicatorCol"):
+        return model.fit(rows)
+    x, y = F.col(f"`{model.getFeaturesCol()}`"), F.col(f"`{model.getLabelCol()}`")
+    merged = rows.groupBy(vector_to_array(x).alias("_x")).agg(F.avg(y.cast("double")).alias("_y"), F.count("*").cast("double").alias("_weight"))
+    kept = merged.select(array_to_vector("_x").alias(model.getFeaturesCol()), F.col("_y").alias(model.getLabelCol()), "_weight").persist()
+    # Each round is several short jobs over all parts of the rows.
+    parts = math.ceil(max(1, kept.count()) / ROUND_ROWS)
+    fitted = model.copy({model.weightCol: "_weight"}).fit(kept.coalesce(parts))
+    kept.unpersist()
+    return fitted
 
 
 def score(predicted: DataFrame, target: str, task: str) -> dict[str, float]:
