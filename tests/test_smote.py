@@ -107,3 +107,18 @@ def test_whatever_the_partitions(spark, monkeypatch, classes, each, stretch):
             assert np.allclose(np.sort(apart[p])[:5], apart[p, others]), (c, p)
             if each <= smote.SIDE + 1:
                 assert others == sorted(range(each), key=lambda j: (apart[p, j], j))[:5]
+
+
+def test_first_few_with_ties_beyond_them():
+    """Of many equal distances those to the smallest places count, as by sorting all."""
+    rng = np.random.default_rng(3)
+    near = rng.integers(0, 4, (500, 128)).astype(float)
+    near[:100] = rng.random((100, 128))
+    near[100:120] = np.inf
+    near[100:110, :3] = 1.0
+    who = np.argsort(rng.random((500, 128)), axis=1)
+    got, want = smote._first(near, lambda rows, columns: who[rows, columns], 5), np.lexsort((who, near), axis=1)[:, :5]
+    rows = np.arange(500)[:, None]
+    assert (near[rows, got] == near[rows, want]).all()
+    known = np.isfinite(near[rows, want])
+    assert (who[rows, got] == who[rows, want])[known].all()
